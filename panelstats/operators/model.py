@@ -7,6 +7,7 @@ coefficients live on the driver.  Results come back as small DataFrames.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -197,9 +198,13 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
     ``na.omit``).  Output: model, term, estimate, std_error, t_value, p_value,
     r2, n.
     """
-    formula = f"{label} ~ {' + '.join(terms)}"
     used = sorted({label, *[p for t in terms for p in t.split(":")]})
-    data = df.select(*used).na.drop()
+    # RFormula resolves names as column paths, so dotted R names are swapped for
+    # plain tokens v<i>v while fitting and swapped back in the term names.
+    token = {c: f"v{i}v" for i, c in enumerate(used)}
+    data = df.select(*[F.col(f"`{c}`").alias(token[c]) for c in used]).na.drop()
+    tokterms = [":".join(token[p] for p in t.split(":")) for t in terms]
+    formula = f"{token[label]} ~ {' + '.join(tokterms)}"
     rf = RFormula(formula=formula, featuresCol="features", labelCol="__label",
                   stringIndexerOrderType=factor_order, handleInvalid="error")
     rf_model = rf.fit(data)
@@ -208,10 +213,16 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
                           regParam=0.0, fitIntercept=True)
     m = lr.fit(prepared)
     s = m.summary
-    names = _term_names(prepared) + ["(Intercept)"]
+    back = lambda m: used[int(m.group(1))]
+    names = [re.sub(r"v(\d+)v", back, n) for n in _term_names(prepared)] + ["(Intercept)"]
     est = [float(v) for v in m.coefficients.toArray()] + [float(m.intercept)]
-    se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
-    rows = [(model_name or formula, n, e, float(a), float(b), float(c), float(s.r2), int(s.numInstances))
+    try:
+        se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
+    except Exception:  # singular design (aliased terms): R reports NA, so do we
+        se = tv = pv = [None] * len(est)
+    num = lambda v: None if v is None else float(v)
+    rows = [(model_name or f"{label} ~ {' + '.join(terms)}", n, e, num(a), num(b), num(c), float(s.r2),
+             int(s.numInstances))
             for n, e, a, b, c in zip(names, est, se, tv, pv)]
     schema = T.StructType([T.StructField(n, t) for n, t in [
         ("model", T.StringType()), ("term", T.StringType()), ("estimate", T.DoubleType()),
