@@ -86,38 +86,37 @@ def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]],
             .agg(F.count(F.lit(1)).cast("double").alias("n")))
 
 
-def _ranked(cells: DataFrame, n: str, s: str, rank: str, size: str) -> DataFrame:
-    lv = cells.select("pair", n, s).distinct()
-    w = Window.partitionBy("pair").orderBy(F.col(n).asc_nulls_first(), F.col(s).asc_nulls_first())
-    return (lv.withColumn(rank, F.dense_rank().over(w) - 1)
-            .withColumn(size, F.count(F.lit(1)).over(Window.partitionBy("pair"))))
-
-
 def concordance(cells: DataFrame) -> DataFrame:
-    """Per grid cell of every pair: count n, concordant mass A and discordant mass D."""
-    xl = _ranked(cells, "xn", "xs", "rx", "n_rows")
-    yl = _ranked(cells, "yn", "ys", "ry", "n_cols")
-    x = xl.select(F.col("pair").alias("kp"), F.col("xn").alias("kxn"), F.col("xs").alias("kxs"), "rx")
-    y = yl.select(F.col("pair").alias("kp"), F.col("yn").alias("kyn"), F.col("ys").alias("kys"), "ry")
-    c = (cells.join(x, (F.col("pair") == F.col("kp")) & F.col("xn").eqNullSafe(F.col("kxn"))
-                    & F.col("xs").eqNullSafe(F.col("kxs")))
-         .select("pair", "yn", "ys", "rx", "n"))
-    c = (c.join(y, (F.col("pair") == F.col("kp")) & F.col("yn").eqNullSafe(F.col("kyn"))
-                & F.col("ys").eqNullSafe(F.col("kys")))
-         .select("pair", "rx", "ry", "n"))
-    # Dense grid: every (row, column) of the pair, zero where no rows fell.
-    n_cols = yl.groupBy("pair").agg(F.max("n_cols").alias("n_cols"))
-    grid = (xl.select("pair", "rx").join(n_cols, "pair")
-            .select("pair", "rx", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("ry")))
-    g = grid.join(c, ["pair", "rx", "ry"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    """Per grid cell of every pair: count n, concordant mass A and discordant mass D.
+
+    Cells are hash-partitioned by pair once; every later window, distinct and
+    aggregate is keyed by pair plus grid coordinates, so Spark reuses that
+    partitioning instead of shuffling again.
+    """
+    byp = Window.partitionBy("pair")
+    ranked = (cells.repartition("pair")
+              .withColumn("rx", F.dense_rank().over(byp.orderBy(F.col("xn").asc_nulls_first(),
+                                                                 F.col("xs").asc_nulls_first())) - 1)
+              .withColumn("ry", F.dense_rank().over(byp.orderBy(F.col("yn").asc_nulls_first(),
+                                                                 F.col("ys").asc_nulls_first())) - 1))
+    ranked = ranked.select("pair", "rx", "ry", "n", (F.max("ry").over(byp) + 1).alias("n_cols"),
+                           (F.col("ry") == F.min("ry").over(Window.partitionBy("pair", "rx"))).alias("first"))
+    # Dense grid in the same pass: the first cell of each grid row also emits a
+    # zero for every column of that row; the sum per grid position fills gaps.
+    cell = F.array(F.struct(F.col("ry").alias("ry"), F.col("n").alias("n")))
+    zeros = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1),
+                        lambda j: F.struct(j.alias("ry"), F.lit(0.0).alias("n")))
+    items = F.when(F.col("first"), F.concat(cell, zeros)).otherwise(cell)
+    g = (ranked.select("pair", "rx", F.inline(items))
+         .groupBy("pair", "rx", "ry").agg(F.sum("n").alias("n")))
     row = Window.partitionBy("pair", "rx").orderBy("ry")
-    after = F.sum("n").over(row.rowsBetween(1, Window.unboundedFollowing))
-    before = F.sum("n").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    g = g.withColumn("r_after", F.coalesce(after, F.lit(0.0))).withColumn("r_before", F.coalesce(before, F.lit(0.0)))
+    z = F.lit(0.0)
+    g = g.select("pair", "rx", "ry", "n",
+                 F.coalesce(F.sum("n").over(row.rowsBetween(1, Window.unboundedFollowing)), z).alias("r_after"),
+                 F.coalesce(F.sum("n").over(row.rowsBetween(Window.unboundedPreceding, -1)), z).alias("r_before"))
     colw = Window.partitionBy("pair", "ry").orderBy("rx")
     below = colw.rowsBetween(1, Window.unboundedFollowing)
     above = colw.rowsBetween(Window.unboundedPreceding, -1)
-    z = F.lit(0.0)
     return g.select(
         "pair", "rx", "ry", "n",
         (F.coalesce(F.sum("r_after").over(below), z) + F.coalesce(F.sum("r_before").over(above), z)).alias("A"),
@@ -125,25 +124,22 @@ def concordance(cells: DataFrame) -> DataFrame:
     )
 
 
-def gamma_from_cells(cells: DataFrame, n_pairs: int, level: float | None = 0.95) -> DataFrame:
+def gamma_from_cells(cells: DataFrame, level: float | None = 0.95) -> DataFrame:
     """Gamma (and with ``level`` its ASE and confidence interval) per pair."""
     g = concordance(cells)
-    tot = g.groupBy("pair").agg(F.sum(F.col("n") * F.col("A")).alias("P"),
-                                F.sum(F.col("n") * F.col("D")).alias("Q"),
-                                F.sum("n").alias("n_obs"))
-    out = tot.select("pair", "n_obs", "P", "Q",
-                     ((F.col("P") - F.col("Q")) / (F.col("P") + F.col("Q"))).alias("gamma"))
+    byp = Window.partitionBy("pair")
+    g = g.select("*", F.sum(F.col("n") * F.col("A")).over(byp).alias("P"),
+                 F.sum(F.col("n") * F.col("D")).over(byp).alias("Q"))
+    # Both totals are known per cell, so the deviation sum needs no second pass.
+    dev = F.col("n") * F.pow(F.col("Q") * F.col("A") - F.col("P") * F.col("D"), 2)
+    out = g.groupBy("pair").agg(F.first("P").alias("P"), F.first("Q").alias("Q"),
+                                F.sum("n").alias("n_obs"), F.sum(dev).alias("S"))
+    out = out.withColumn("gamma", (F.col("P") - F.col("Q")) / (F.col("P") + F.col("Q")))
     if level is None:
-        return out
-    # One row per pair: the bound is the number of pairs, known on the driver.
-    tb = F.broadcast(tot.select("pair", "P", "Q")) if n_pairs <= 100_000 else tot.select("pair", "P", "Q")
-    dev = (g.join(tb, "pair")
-           .groupBy("pair")
-           .agg(F.sum(F.col("n") * F.pow(F.col("Q") * F.col("A") - F.col("P") * F.col("D"), 2)).alias("S")))
+        return out.select("pair", "n_obs", "P", "Q", "gamma")
     z = NormalDist().inv_cdf(1 - (1 - level) / 2)
     ase = F.lit(4.0) / F.pow(F.col("P") + F.col("Q"), 2) * F.sqrt("S")
-    return (out.join(dev, "pair")
-            .select("pair", "n_obs", "P", "Q", "gamma", ase.alias("ase"))
+    return (out.select("pair", "n_obs", "P", "Q", "gamma", ase.alias("ase"))
             .withColumn("lower", F.col("gamma") - F.lit(z) * F.col("ase"))
             .withColumn("upper", F.col("gamma") + F.col("ase") * F.lit(z)))
 
@@ -157,7 +153,7 @@ def gamma(df: DataFrame, pairs: Sequence[tuple[str, str]], level: float | None =
     """
     pairs = list(pairs)
     cells = contingency(df, pairs, levels)
-    res = gamma_from_cells(cells, len(pairs), level)
+    res = gamma_from_cells(cells, level)
     xs = F.array(*[F.lit(x) for x, _ in pairs])
     ys = F.array(*[F.lit(y) for _, y in pairs])
     cols = [xs[F.col("pair")].alias("x"), ys[F.col("pair")].alias("y"), "n_obs",

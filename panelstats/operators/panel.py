@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import sorted_labels
@@ -67,24 +67,41 @@ def assessments_per_participant(df: DataFrame, participant: str = "participantUU
 
 def keep_participants(df: DataFrame, participant: str = "participantUUID",
                       assessment: str = "assessmentNumber", min_exclusive: int = 25,
-                      counts_from: DataFrame | None = None, with_count: bool = False,
-                      out_col: str = "totalAssessments") -> DataFrame:
+                      with_count: bool = False, out_col: str = "totalAssessments") -> DataFrame:
     """Rows of participants with more than ``min_exclusive`` distinct assessments.
 
-    ``counts_from`` may be a smaller table with the same (participant,
-    assessment) pairs, e.g. the pivoted table instead of the raw answers.
-    The kept-id table grows with the number of participants, so no broadcast is
+    Join form, for long tables: the counts come from the skew-safe two-level
+    aggregate of :func:`assessments_per_participant` and are joined back.  The
+    kept-id table grows with the number of participants, so no broadcast is
     forced: AQE broadcasts it only when its measured size is below the
     threshold, and otherwise plans a sort-merge join with skew splitting.
     """
-    src = counts_from if counts_from is not None else df
-    kept = (assessments_per_participant(src, participant, assessment, out_col)
+    kept = (assessments_per_participant(df, participant, assessment, out_col)
             .where(F.col(out_col) > min_exclusive))
     if with_count:
         return df.join(kept, participant, "inner")
     return df.join(kept.select(participant), participant, "left_semi")
 
 
+def qualify_assessments(df: DataFrame, participant: str = "participantUUID",
+                        assessment: str = "assessmentNumber", min_exclusive: int = 25,
+                        with_count: bool = False, out_col: str = "totalAssessments") -> DataFrame:
+    """Same rows as :func:`keep_participants`, computed by windows instead of a join.
+
+    Meant for the wide table, where a participant has one row per assessment:
+    one exchange on the participant, the distinct count is the highest dense
+    rank of the assessment (nulls not counted), and no join exists that the
+    optimizer could push below the pivot onto raw answers.
+    """
+    p, a = _c(participant), _c(assessment)
+    byp = Window.partitionBy(p)
+    ranked = df.withColumn("__rank", F.dense_rank().over(byp.orderBy(a.asc_nulls_first())))
+    n = (F.max("__rank").over(byp)
+         - F.max(F.when(a.isNull(), F.lit(1)).otherwise(F.lit(0))).over(byp)).cast("long")
+    out = ranked.withColumn(out_col, n).where(F.col(out_col) > min_exclusive).drop("__rank")
+    return out if with_count else out.drop(out_col)
+
+
 # -- pivots ------------------------------------------------------------------
 
 def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: str,

@@ -87,9 +87,10 @@ ORDER BY user_id, day
 def wide_scores(spark, sf_dir):
     """Users with > 25 distinct days, wide by event type, composite."""
     w = wide(spark, sf_dir)
-    # Distinct days per user are counted on the wide table (one row per user and
-    # day), so raw answers are shuffled once, already reduced to one value per cell.
-    w = panel.keep_participants(w, "user_id", "day", min_exclusive=25)
+    # Qualify on the wide table (one row per user and day) with windows: raw
+    # answers are shuffled once, already reduced to one value per cell, and a
+    # hot user never sends raw rows to one task.
+    w = panel.qualify_assessments(w, "user_id", "day", min_exclusive=25)
     w = w.select("user_id", "day", *EVENT_TYPES,
                  composite_sum(["click", "view"]).alias("click_view_score"))
     return w.orderBy("user_id", "day")

@@ -30,17 +30,24 @@ def wrangle(answers: DataFrame, min_assessments_exclusive: int = 25, game_id_lim
             composites=cb.COMPOSITES, sort: bool = True) -> DataFrame:
     """Raw answers -> wide table, one row per (participant, assessment, geotags).
 
-    Game questions are dropped, answers scored by the code-book, participants
-    with too few assessments removed, labels cleaned and pivoted (earliest
-    answer by ``order`` wins), and composite scores added.  The question labels
+    Game questions are dropped, answers scored by the code-book, labels cleaned
+    and pivoted (earliest answer by ``order`` wins), participants with too few
+    assessments removed, and composite scores added.  The question labels
     become columns, so they are discovered once (a bounded distinct list).
     """
     df = panel.drop_out_of_scope(answers, "QuestionId", game_id_limit)
     df = df.withColumn("Q_id_string_cleaned", clean_label(question_key("QuestionId", "Question")))
     df = score_answers(df, "QuestionId", "AnswerText", rules, out_col="ValidatedScore")
-    df = panel.keep_participants(df, "participantUUID", "assessmentNumber", min_assessments_exclusive)
-    names = sorted_labels(df, "Q_id_string_cleaned")
+    # Column names: labels answered by qualifying participants.  Found from the
+    # distinct (participant, assessment, label) triples, qualified by windows, so
+    # no join can be pushed down onto the raw answers.
+    triples = df.select("participantUUID", "assessmentNumber", "Q_id_string_cleaned").distinct()
+    triples = panel.qualify_assessments(triples, "participantUUID", "assessmentNumber", min_assessments_exclusive)
+    names = sorted_labels(triples, "Q_id_string_cleaned")
+    # Pivot first (partial aggregation, one shuffle on the wide keys), then keep
+    # qualifying participants on the wide table, one row per assessment.
     wide = panel.pivot_first(df, WIDE_KEYS, "Q_id_string_cleaned", "ValidatedScore", order, names)
+    wide = panel.qualify_assessments(wide, "participantUUID", "assessmentNumber", min_assessments_exclusive)
     wide = wide.select([col(c) for c in WIDE_KEYS + names])
     missing = sorted({c for items in composites.values() for c in items} - set(names))
     if missing:

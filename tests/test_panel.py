@@ -92,3 +92,14 @@ def test_spread_baseline_and_duplicate_keys(spark):
 def test_answered(spark):
     df = spark.createDataFrame([("a",), (None,)], "`135_x` string")
     assert panel.answered(df, "135_x").count() == 1
+
+
+def test_qualify_assessments_equals_join_form(spark):
+    rows = ([("P25", a, "g") for a in range(25)] + [("P26", a, "g") for a in range(26)]
+            + [("P26", 3, "h"), ("P27", None, "g")] + [("P27", a, "g") for a in range(25)])
+    df = spark.createDataFrame(rows, "participantUUID string, assessmentNumber int, geo string")
+    a = sorted(map(tuple, panel.keep_participants(df).collect()), key=str)
+    b = sorted(map(tuple, panel.qualify_assessments(df).collect()), key=str)
+    assert a == b and {r[0] for r in a} == {"P26"}
+    c = panel.qualify_assessments(df, min_exclusive=24, with_count=True).collect()
+    assert {(r[0], r["totalAssessments"]) for r in c} == {("P25", 25), ("P26", 26), ("P27", 25)}
