@@ -146,11 +146,13 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: Colu
     lr = linear_regression(label, params)
     pipe = Pipeline(stages=[assembler(features), lr])
     grid_maps = grid_maps if grid_maps is not None else param_grid(lr, params)
-    data = df.withColumn("__fold", (split_bucket(key, params.seed) % folds).cast("int"))
+    data = df.select(*[F.col(f"`{c}`") for c in [*features, label]],
+                     (split_bucket(key, params.seed) % folds).cast("int").alias("__fold")).persist()
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid_maps, evaluator=ev,
                         numFolds=folds, foldCol="__fold", parallelism=parallelism, seed=params.seed)
     cvm = cv.fit(data)
+    data.unpersist()
     rows = []
     for m, score in zip(grid_maps, cvm.avgMetrics):
         vals = {p.name: v for p, v in m.items()}
@@ -203,6 +205,9 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
     # plain tokens v<i>v while fitting and swapped back in the term names.
     token = {c: f"v{i}v" for i, c in enumerate(used)}
     data = df.select(*[F.col(f"`{c}`").alias(token[c]) for c in used]).na.drop()
+    cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    if not cached:  # several passes follow (indexing, fit, summary): read the input once
+        data = data.persist()
     tokterms = [":".join(token[p] for p in t.split(":")) for t in terms]
     formula = f"{token[label]} ~ {' + '.join(tokterms)}"
     rf = RFormula(formula=formula, featuresCol="features", labelCol="__label",
@@ -228,6 +233,8 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
         ("model", T.StringType()), ("term", T.StringType()), ("estimate", T.DoubleType()),
         ("std_error", T.DoubleType()), ("t_value", T.DoubleType()), ("p_value", T.DoubleType()),
         ("r2", T.DoubleType()), ("n", T.LongType())]])
+    if not cached:
+        data.unpersist()
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -237,10 +244,13 @@ def interaction_models(df: DataFrame, label: str, covariates: Sequence[str], bas
 
     The interaction enters without the feature's main effect, as in the study.
     """
+    used = sorted({label, base, *covariates, *features})
+    data = df.select(*[F.col(f"`{c}`") for c in used]).persist()  # one read for all models
     out = None
     for f in features:
-        s = ols_summary(df, label, list(covariates) + [f"{base}:{f}"], model_name=f)
+        s = ols_summary(data, label, list(covariates) + [f"{base}:{f}"], model_name=f)
         out = s if out is None else out.unionByName(s)
+    data.unpersist()
     return out
 
 

@@ -19,7 +19,7 @@ from ..functions.columns import composite_sum, first_non_null, or_missing, produ
 from ..functions.labels import clean_label, question_key, sorted_labels
 from ..operators import association, model, panel, stats
 from ..operators.codebook import encode_categories, score_answers
-from ..sources.io import col, r_name, safe_names
+from ..sources.io import col, handover, r_name, safe_names
 from . import codebooks as cb
 
 WIDE_KEYS = ["participantUUID", "assessmentNumber", "geotagStart", "geotagEnd"]
@@ -170,3 +170,26 @@ def association_report(df: DataFrame) -> dict[str, DataFrame]:
     feats = [r_name(cb.INDOORS)] + [r_name(c) for c in place]
     out["interaction_models"] = model.interaction_models(r, y, covars, "baseImpulseScore", feats)
     return out
+
+
+def run_study(answers: DataFrame, params: model.RegressionParams = model.RegressionParams(),
+              min_assessments_exclusive: int = 25, cut_lineage: bool = True) -> dict[str, object]:
+    """E1 -> E2 -> E3/E4/E5 with the wide and analysis tables handed over as tables.
+
+    The hand-over writes each intermediate table once to the shared folder
+    (``spark.checkpoint.dir``) so later jobs read it instead of replaying the
+    pivot; with ``cut_lineage=False`` the DataFrames are passed on directly.
+    """
+    wide = wrangle(answers, min_assessments_exclusive, sort=False)
+    if cut_lineage:
+        wide = handover(wide, "wide_assessments")
+    analysis = analysis_table(wide)
+    if cut_lineage:
+        analysis = handover(analysis, "analysis_table")
+    return {
+        "wide": wide,
+        "analysis": analysis,
+        "describe": describe_report(analysis),
+        "regression": regression_job(analysis, params),
+        "association": association_report(analysis),
+    }

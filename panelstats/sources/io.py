@@ -98,6 +98,19 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.load(path)
 
 
+def handover(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet to the cluster's shared folder and read it back.
+
+    Cuts the lineage between jobs: after a lost executor Spark rereads the
+    table instead of recomputing the plan that produced it.
+    """
+    from ..session import shared_dir
+
+    spark = df.sparkSession
+    path = write_table(df, shared_dir(spark, name))
+    return spark.read.parquet(path)
+
+
 def rows(spark: SparkSession, data: Sequence[Sequence], schema: T.StructType | str | Sequence[str]) -> DataFrame:
     """In-memory literal rows (S5): code-books and small fixtures."""
     return spark.createDataFrame(list(data), schema)

@@ -109,3 +109,11 @@ def test_association_report(analysis):
     assert rep["ols"].count() > 3
     models = {r["model"] for r in rep["interaction_models"].collect()}
     assert len(models) == 6
+
+
+def test_run_study_with_handover(spark):
+    out = q.run_study(answers_frame(spark))
+    assert len(out["analysis"].columns) == 34
+    assert out["analysis"].count() == 26 + 25 + sum(25 + i % 3 for i in range(6, 14))
+    assert out["describe"]["participants"].first()[0] == 10
+    assert out["regression"]["coefficients"].count() == len(cb.REGRESSION_FEATURES) + 1
