@@ -51,6 +51,24 @@ def answered(df: DataFrame, column: str) -> DataFrame:
     return df.where(_c(column).isNotNull())
 
 
+# -- joins with a checked broadcast -----------------------------------------
+
+def checked_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
+
+    The count is a job over ``df`` (persisted first, so the join reuses it);
+    only a side whose size is proven small is broadcast, and anything larger is
+    left to a shuffle join.  ``max_rows=None`` skips the check and leaves the
+    choice to AQE's runtime statistics.
+    """
+    if max_rows is None:
+        return df
+    df = df.persist()
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
 # -- qualify participants ----------------------------------------------------
 
 def assessments_per_participant(df: DataFrame, participant: str = "participantUUID",
@@ -67,7 +85,8 @@ def assessments_per_participant(df: DataFrame, participant: str = "participantUU
 
 def keep_participants(df: DataFrame, participant: str = "participantUUID",
                       assessment: str = "assessmentNumber", min_exclusive: int = 25,
-                      with_count: bool = False, out_col: str = "totalAssessments") -> DataFrame:
+                      with_count: bool = False, out_col: str = "totalAssessments",
+                      broadcast_rows: int | None = None) -> DataFrame:
     """Rows of participants with more than ``min_exclusive`` distinct assessments.
 
     Join form, for long tables: the counts come from the skew-safe two-level
@@ -75,12 +94,13 @@ def keep_participants(df: DataFrame, participant: str = "participantUUID",
     kept-id table grows with the number of participants, so no broadcast is
     forced: AQE broadcasts it only when its measured size is below the
     threshold, and otherwise plans a sort-merge join with skew splitting.
+    With ``broadcast_rows`` the kept ids are counted first and broadcast when
+    at most that many, so the long table is never shuffled by participant.
     """
     kept = (assessments_per_participant(df, participant, assessment, out_col)
             .where(F.col(out_col) > min_exclusive))
-    if with_count:
-        return df.join(kept, participant, "inner")
-    return df.join(kept.select(participant), participant, "left_semi")
+    kept = checked_broadcast(kept if with_count else kept.select(participant), broadcast_rows)
+    return df.join(kept, participant, "inner" if with_count else "left_semi")
 
 
 def qualify_assessments(df: DataFrame, participant: str = "participantUUID",
@@ -136,14 +156,17 @@ def distinct_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # -- baseline spread ---------------------------------------------------------
 
-def spread_baseline(moment: DataFrame, base: DataFrame, moment_key: str, base_key: str) -> DataFrame:
+def spread_baseline(moment: DataFrame, base: DataFrame, moment_key: str, base_key: str,
+                    broadcast_rows: int | None = None) -> DataFrame:
     """Every momentary row with its participant's baseline columns.
 
     Inner equi-join: participants lacking either side vanish.  Neither side has
     a size bound (one row per participant vs. one per assessment), so the
     planner chooses; a participant with many momentary rows is split by AQE's
-    skew-join handling.
+    skew-join handling.  ``broadcast_rows`` broadcasts the baseline after
+    checking it has at most that many rows.
     """
+    base = checked_broadcast(base, broadcast_rows)
     return moment.join(base, moment[moment_key] == base[base_key], "inner")
 
 

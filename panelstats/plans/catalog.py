@@ -679,3 +679,47 @@ def interaction_models(spark, sf_dir):
     j = _model_table(spark, sf_dir)
     return model.interaction_models(j, "momTotalPrice", ["c_acctbal"], "c_nationkey",
                                     ["status_code", "priority_code", "o_orderpriority"])
+
+
+def _sql_ols2(src: str, y: str, x1: str, x2: str, names: tuple[str, str], ctes: str = "") -> str:
+    """Two-predictor OLS with standard errors and t values from centred moments."""
+    return f"""WITH {ctes}d AS (SELECT {y} AS y, {x1} AS x1, {x2} AS x2 FROM {src}
+                 WHERE {y} IS NOT NULL AND {x1} IS NOT NULL AND {x2} IS NOT NULL),
+m AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2,
+             covar_pop(x1, x1) * count(*) AS s11, covar_pop(x2, x2) * count(*) AS s22,
+             covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, y) * count(*) AS s1y,
+             covar_pop(x2, y) * count(*) AS s2y, covar_pop(y, y) * count(*) AS syy FROM d),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM m),
+c AS (SELECT *, (s22 * s1y - s12 * s2y) / det AS b1, (s11 * s2y - s12 * s1y) / det AS b2 FROM b),
+e AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS sigma2 FROM c),
+s AS (SELECT *, sqrt(sigma2 * s22 / det) AS se1, sqrt(sigma2 * s11 / det) AS se2,
+             sqrt(sigma2 * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)) AS se0,
+             1 - (syy - b1 * s1y - b2 * s2y) / syy AS r2 FROM e)
+SELECT '{names[0]}' AS term, round(b1, 3) AS estimate, round(se1, 4) AS std_error, round(b1 / se1, 4) AS t_value,
+       round(r2, 6) AS r2, n FROM s
+UNION ALL SELECT '{names[1]}', round(b2, 3), round(se2, 4), round(b2 / se2, 4), round(r2, 6), n FROM s
+UNION ALL SELECT '(Intercept)', round(b0, 3), round(se0, 4), round(b0 / se0, 4), round(r2, 6), n FROM s"""
+
+
+def _inference_columns(df: DataFrame) -> DataFrame:
+    return df.select("term", F.round("estimate", 3).alias("estimate"), F.round("std_error", 4).alias("std_error"),
+                     F.round("t_value", 4).alias("t_value"), F.round("r2", 6).alias("r2"), "n")
+
+
+@register("ols_inference", _sql_ols2("lineitem", "l_extendedprice", "l_quantity", "l_discount",
+                                     ("l_quantity", "l_discount")))
+def ols_inference(spark, sf_dir):
+    """OLS estimates with standard errors, t values and R^2 (p values in ``ols_summary``)."""
+    s = model.ols_summary(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+    return _inference_columns(s)
+
+
+@register("interaction_term", _sql_ols2(
+    "k", "momTotalPrice", "c_nationkey", "prod", ("c_nationkey", "c_acctbal:status_code"),
+    ctes=f"j AS ({_SQL_MOM_BASE}), k AS (SELECT momTotalPrice, c_nationkey, c_acctbal * CASE o_orderstatus "
+         "WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 0 ELSE -1 END AS prod FROM j), "))
+def interaction_term(spark, sf_dir):
+    """Adjusted model with a product term and no main effect of the feature."""
+    j = _model_table(spark, sf_dir)
+    s = model.ols_summary(j, "momTotalPrice", ["c_nationkey", "c_acctbal:status_code"])
+    return _inference_columns(s)

@@ -103,3 +103,21 @@ def test_qualify_assessments_equals_join_form(spark):
     assert a == b and {r[0] for r in a} == {"P26"}
     c = panel.qualify_assessments(df, min_exclusive=24, with_count=True).collect()
     assert {(r[0], r["totalAssessments"]) for r in c} == {("P25", 25), ("P26", 26), ("P27", 25)}
+
+
+def test_checked_broadcast_only_below_bound(spark):
+    rows = [("P26", a) for a in range(26)] + [("P1", 0)]
+    df = spark.createDataFrame(rows, "participantUUID string, assessmentNumber int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = panel.keep_participants(df, broadcast_rows=10)
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().sparkPlan().toString()
+        assert small.count() == 26
+        big = panel.keep_participants(df, broadcast_rows=0)
+        assert "BroadcastHashJoin" not in big._jdf.queryExecution().sparkPlan().toString()
+        assert big.count() == 26
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    base = spark.createDataFrame([("P26", 1.0)], "p string, b double")
+    assert panel.spread_baseline(df, base, "participantUUID", "p", broadcast_rows=5).count() == 26
