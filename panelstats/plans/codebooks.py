@@ -22,7 +22,7 @@ def R2(a: int, b: int, answer: str, score: str) -> OrdinalRule:
 # Unmatched answers keep their text.
 # ---------------------------------------------------------------------------
 ORDINAL_RULES = [
-    # urban environment, 13-22
+    # city environment, 13-22
     R(13, 22, "Never", "1"),
     R(13, 22, "Rarely", "2"),
     R(13, 22, "Sometimes", "3"),

@@ -51,3 +51,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return os.path.join(str(base), f"{name}-{uuid.uuid4().hex}")
+
+
+# Settings we recommend for a large cluster (not applied by the library; pass
+# them to the session builder or spark-submit).  AQE sizes shuffle partitions
+# from the data and splits skewed join partitions; the checkpoint folder must be
+# on storage every executor can reach.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
