@@ -69,6 +69,26 @@ def checked_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
+def salted_join(many: DataFrame, one: DataFrame, cond_keys: Sequence[tuple[str, str]], how: str,
+                buckets: int, salt_by: Sequence[str]) -> DataFrame:
+    """Equi-join where one key may hold a large share of ``many``'s rows.
+
+    Each row of ``many`` gets a salt ``pmod(xxhash64(salt_by), buckets)``,
+    deterministic so a retried task sees the same value; every row of ``one``
+    (at most a few per key) is repeated once per salt.  A hot key is then spread
+    over ``buckets`` tasks, and the output is partitioned by (key, salt), so a
+    following aggregate by the key shuffles its partial results instead of
+    running the hot key in one task.  ``how`` is ``inner`` or ``left_semi``.
+    """
+    salt = F.pmod(F.xxhash64(*[_c(c) for c in salt_by]), F.lit(buckets)).alias("__salt")
+    left = many.select("*", salt)
+    right = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("__salt_r"))
+    cond = F.col("__salt") == F.col("__salt_r")
+    for a, b in cond_keys:
+        cond = cond & (left[a] == right[b])
+    return left.join(right, cond, how).drop("__salt", "__salt_r")
+
+
 # -- qualify participants ----------------------------------------------------
 
 def assessments_per_participant(df: DataFrame, participant: str = "participantUUID",
@@ -157,16 +177,23 @@ def distinct_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # -- baseline spread ---------------------------------------------------------
 
 def spread_baseline(moment: DataFrame, base: DataFrame, moment_key: str, base_key: str,
-                    broadcast_rows: int | None = None) -> DataFrame:
+                    broadcast_rows: int | None = None, salt_buckets: int = 0,
+                    salt_by: Sequence[str] | None = None) -> DataFrame:
     """Every momentary row with its participant's baseline columns.
 
     Inner equi-join: participants lacking either side vanish.  Neither side has
     a size bound (one row per participant vs. one per assessment), so the
     planner chooses; a participant with many momentary rows is split by AQE's
     skew-join handling.  ``broadcast_rows`` broadcasts the baseline after
-    checking it has at most that many rows.
+    checking it has at most that many rows.  AQE cannot split a hot participant
+    when an aggregate by participant follows (the split would need another
+    shuffle); ``salt_buckets`` then spreads it with :func:`salted_join`, the
+    salt taken from ``salt_by`` (default: all momentary columns).
     """
     base = checked_broadcast(base, broadcast_rows)
+    if salt_buckets > 1 and broadcast_rows is None:
+        return salted_join(moment, base, [(moment_key, base_key)], "inner", salt_buckets,
+                           salt_by or moment.columns)
     return moment.join(base, moment[moment_key] == base[base_key], "inner")
 
 

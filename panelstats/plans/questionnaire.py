@@ -94,11 +94,18 @@ def momentary_table(wide: DataFrame, books=cb.MOMENTARY_BOOKS) -> DataFrame:
 
 
 def analysis_table(wide: DataFrame, base_books=cb.BASELINE_BOOKS,
-                   mom_books=cb.MOMENTARY_BOOKS) -> DataFrame:
-    """Momentary rows joined with their participant's baseline: 34 columns."""
+                   mom_books=cb.MOMENTARY_BOOKS, salt_buckets: int = 16) -> DataFrame:
+    """Momentary rows joined with their participant's baseline: 34 columns.
+
+    The reports aggregate this table by participant, so the join is salted on
+    the assessment key: a participant with most of the rows is spread over
+    ``salt_buckets`` tasks (0 turns salting off).
+    """
     mom = momentary_table(wide, mom_books)
     base = baseline_table(wide, base_books)
-    return panel.spread_baseline(mom, base, "momParticipantUUID", "participantUUID")
+    return panel.spread_baseline(mom, base, "momParticipantUUID", "participantUUID", salt_buckets=salt_buckets,
+                                 salt_by=["momParticipantUUID", "momAssessmentNumber", "momGeoTagStart",
+                                          "momGeoTagEnd"])
 
 
 def describe_report(df: DataFrame, participant: str = "momParticipantUUID") -> dict[str, DataFrame]:

@@ -121,3 +121,20 @@ def test_checked_broadcast_only_below_bound(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     base = spark.createDataFrame([("P26", 1.0)], "p string, b double")
     assert panel.spread_baseline(df, base, "participantUUID", "p", broadcast_rows=5).count() == 26
+
+
+def test_salted_join_same_rows_and_hot_key_spread(spark):
+    rows = [("hot", i) for i in range(400)] + [("a", 1), ("b", 2), ("zz", 3)]
+    mom = spark.createDataFrame(rows, "p string, a int")
+    base = spark.createDataFrame([("hot", 1.0), ("a", 2.0), ("b", 3.0), ("c", 4.0)], "k string, v double")
+    plain = sorted(map(tuple, panel.spread_baseline(mom, base, "p", "k").collect()))
+    salted_df = panel.spread_baseline(mom, base, "p", "k", salt_buckets=8, salt_by=["p", "a"])
+    assert sorted(map(tuple, salted_df.collect())) == plain and len(plain) == 402
+    assert salted_df.columns == ["p", "a", "k", "v"]
+    # the hot key's rows carry several salts
+    from pyspark.sql import functions as F
+
+    salts = mom.where("p = 'hot'").select(F.pmod(F.xxhash64("p", "a"), F.lit(8)).alias("s")).distinct().count()
+    assert salts == 8
+    semi = panel.salted_join(mom, base, [("p", "k")], "left_semi", 4, ["a"])
+    assert semi.count() == 402 and semi.columns == ["p", "a"]
