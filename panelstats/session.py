@@ -42,14 +42,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     has none (local tests) is a private temporary folder created and registered
     as the checkpoint directory.
     """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    base = sc.getCheckpointDir() if sc is not None else None
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="panelstats-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
+        if sc is not None:
+            sc.setCheckpointDir(base)
+            base = sc.getCheckpointDir() or base
     return os.path.join(str(base), f"{name}-{uuid.uuid4().hex}")
 
 
