@@ -35,8 +35,19 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 ORDER = ["ts", "event_id"]
 
 
+_TABLES: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table, loaded once per session: its schema is read from the
+    footer by a small Spark job, which later queries then skip."""
+    path = f"{sf_dir}/{name}.parquet"
+    hit = _TABLES.get((id(spark), path))
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _TABLES[(id(spark), path)] = (spark, df)
+    return df
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
