@@ -11,11 +11,13 @@ CLEAN_LABEL_PATTERN = "^[a-zA-Z0-9][^'?,:.]*$"
 
 
 def _c(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    if isinstance(c, Column):
+        return c
+    return F.col("`" + c.replace("`", "``") + "`")
 
 
 def pad_id(c: str | Column, width: int = 3) -> Column:
-    """Zero-pad an integer to at least ``width`` digits; never truncates; null stays null."""
+    """Zero-pad an integer to at least ``width`` digits; never truncates; null stays null."""
     c = _c(c)
     return F.when(c.isNotNull(), F.format_string(f"%0{width}d", c))
 

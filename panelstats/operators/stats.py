@@ -22,8 +22,16 @@ def _num(c: str | Column) -> Column:
     return _c(c).try_cast("double")
 
 
-def participants(df: DataFrame, participant: str, out_col: str = "n_participants") -> DataFrame:
-    """Number of distinct participants."""
+def participants(df: DataFrame, participant: str, out_col: str = "n_participants",
+                 approx_rsd: float | None = None) -> DataFrame:
+    """Number of distinct participants.
+
+    Exact by default (distinct ids are shuffled once, after map-side
+    de-duplication); with ``approx_rsd`` a HyperLogLog++ sketch of that
+    relative error is merged instead, a fixed-size state per task.
+    """
+    if approx_rsd is not None:
+        return df.agg(F.approx_count_distinct(_c(participant), approx_rsd).alias(out_col))
     return df.agg(F.countDistinct(_c(participant)).alias(out_col))
 
 

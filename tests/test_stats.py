@@ -45,3 +45,8 @@ def test_answer_tally_one_row_per_question(spark):
 def test_distinct_per_participant(spark):
     got = {r["p"]: r["n_t"] for r in stats.distinct_per_participant(_df(spark), "p", "t").collect()}
     assert got == {"P1": 2, "P2": 1, "P3": 2}
+
+
+def test_participants_approximate(spark):
+    df = spark.range(0, 5000).selectExpr("id % 1000 AS p")
+    assert abs(stats.participants(df, "p", approx_rsd=0.02).first()[0] - 1000) <= 60
