@@ -138,3 +138,25 @@ def test_salted_join_same_rows_and_hot_key_spread(spark):
     assert salts == 8
     semi = panel.salted_join(mom, base, [("p", "k")], "left_semi", 4, ["a"])
     assert semi.count() == 402 and semi.columns == ["p", "a"]
+
+
+def test_salting_spreads_a_hot_participant_across_partitions(spark):
+    from pyspark.sql import functions as F
+
+    hot = [("hot", i) for i in range(3000)]
+    mom = spark.createDataFrame(hot + [(f"p{i}", 1) for i in range(200)], "p string, a int")
+    base = spark.createDataFrame([("hot", 0.0)] + [(f"p{i}", float(i)) for i in range(200)], "k string, v double")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.enabled": "false",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        def parts(df):
+            return (df.where("p = 'hot'").select(F.spark_partition_id().alias("pid")).distinct().count())
+
+        assert parts(panel.spread_baseline(mom, base, "p", "k")) == 1
+        assert parts(panel.spread_baseline(mom, base, "p", "k", salt_buckets=8, salt_by=["p", "a"])) > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
