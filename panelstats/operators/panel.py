@@ -138,7 +138,9 @@ def qualify_assessments(df: DataFrame, participant: str = "participantUUID",
     ranked = df.withColumn("__rank", F.dense_rank().over(byp.orderBy(a.asc_nulls_first())))
     n = (F.max("__rank").over(byp)
          - F.max(F.when(a.isNull(), F.lit(1)).otherwise(F.lit(0))).over(byp)).cast("long")
-    out = ranked.withColumn(out_col, n).where(F.col(out_col) > min_exclusive).drop("__rank")
+    # A null participant never matches in the join form, so it is never kept here either.
+    out = (ranked.withColumn(out_col, n).where(p.isNotNull() & (F.col(out_col) > min_exclusive))
+           .drop("__rank"))
     return out if with_count else out.drop(out_col)
 
 

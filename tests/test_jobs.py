@@ -117,3 +117,27 @@ def test_run_study_with_handover(spark):
     assert out["analysis"].count() == 26 + 25 + sum(25 + i % 3 for i in range(6, 14))
     assert out["describe"]["participants"].first()[0] == 10
     assert out["regression"]["coefficients"].count() == len(cb.REGRESSION_FEATURES) + 1
+
+
+def test_sql_lookups_on_scored_answers(spark):
+    """The reference's own checks: one answer looked up through SQL on a view."""
+    from panelstats.functions.labels import clean_label, question_key
+    from panelstats.operators.codebook import score_answers
+    from panelstats.sources.io import register_view, run_sql
+
+    rows = answer_rows()
+    df = answers_frame(spark).withColumn("Q_id_string", question_key("QuestionId", "Question"))
+    df = score_answers(df, "QuestionId", "AnswerText", cb.ORDINAL_RULES)
+    register_view(df, "answers")
+    p, a = "P1_1", 0
+    gender = next(r[6] for r in rows if r[0] == p and r[1] == a and r[4] == 2)
+    got = run_sql(spark, "SELECT ValidatedScore, Q_id_string FROM answers WHERE participantUUID = :p "
+                         "AND assessmentNumber = :a AND QuestionId = 2", args={"p": p, "a": a}).collect()
+    assert [(r[0], r[1]) for r in got] == [(gender, "002_Gender.")]
+    age = next(r for r in rows if r[0] == p and r[1] == a and r[4] == 1)
+    got = run_sql(spark, "SELECT AnswerValue FROM answers WHERE participantUUID = :p AND QuestionId = 1",
+                  args={"p": p}).first()
+    assert got[0] == age[7] == age[6]
+    # 110-style check: distinct question keys, games included, match the raw rows
+    n_keys = df.select(clean_label("Q_id_string")).distinct().count()
+    assert n_keys == len({(r[4], r[5]) for r in rows})

@@ -96,7 +96,8 @@ def test_answered(spark):
 
 def test_qualify_assessments_equals_join_form(spark):
     rows = ([("P25", a, "g") for a in range(25)] + [("P26", a, "g") for a in range(26)]
-            + [("P26", 3, "h"), ("P27", None, "g")] + [("P27", a, "g") for a in range(25)])
+            + [("P26", 3, "h"), ("P27", None, "g")] + [("P27", a, "g") for a in range(25)]
+            + [(None, a, "g") for a in range(30)])
     df = spark.createDataFrame(rows, "participantUUID string, assessmentNumber int, geo string")
     a = sorted(map(tuple, panel.keep_participants(df).collect()), key=str)
     b = sorted(map(tuple, panel.qualify_assessments(df).collect()), key=str)
