@@ -78,7 +78,8 @@ def score_answers(df: DataFrame, id_col: str, answer_col: str, rules: Sequence[O
 
     Adds ``out_col``: the score of the matching rule; unmatched rows get the
     answer text when ``default == "answer"`` (C5), else the literal ``default``
-    (C6, e.g. ``-1``).  A null answer or id never matches.
+    (C6, e.g. ``-1``).  A null answer never matches (so it gets the default);
+    a null question id gives a null score.
     """
     spark = df.sparkSession
     book = codebook_frame(spark, rules, score_type)
@@ -87,8 +88,8 @@ def score_answers(df: DataFrame, id_col: str, answer_col: str, rules: Sequence[O
     cond = (df[id_col] == book[_ID]) & (df[answer_col] == book[_ANSWER])
     joined = df.join(book, cond, "left")
     fallback = joined[answer_col] if default == "answer" else F.lit(default).cast(score_type)
-    return (joined.withColumn(out_col, F.coalesce(F.col(_SCORE), fallback))
-            .drop(_ID, _ANSWER, _SCORE))
+    score = F.when(joined[id_col].isNotNull(), F.coalesce(F.col(_SCORE), fallback))
+    return joined.withColumn(out_col, score).drop(_ID, _ANSWER, _SCORE)
 
 
 def category_code(c: str | Column, book: Mapping[str, int], missing: int | None = -1) -> Column:

@@ -219,6 +219,7 @@ LINE_RULES = [
     OrdinalRule((6,), "R", "0"),
 ]
 _LINE_CASE = """CASE
+    WHEN l_linenumber IS NULL THEN NULL
     WHEN l_linenumber BETWEEN 1 AND 3 AND l_returnflag = 'A' THEN {a}
     WHEN l_linenumber BETWEEN 1 AND 3 AND l_returnflag = 'N' THEN {b}
     WHEN l_linenumber BETWEEN 1 AND 3 AND l_returnflag = 'R' THEN {c}

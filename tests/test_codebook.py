@@ -70,3 +70,11 @@ def test_missing_none_keeps_null(spark):
     df = spark.createDataFrame([("x",)], [cb.GENDER])
     r = encode_categories(df, {cb.GENDER: cb.BASELINE_BOOKS[cb.GENDER]}, missing=None).first()
     assert r[1] is None
+
+
+def test_null_id_gives_null_score_null_answer_gets_default(spark):
+    got = _score(spark, [(None, "Often"), (13, None)])
+    assert got == {(None, "Often"): None, (13, None): None}
+    got = _score(spark, [(None, "Often"), (31, None)], rules=cb.IMPULSIVITY_RULES, default=-1,
+                 score_type=T.IntegerType())
+    assert got == {(None, "Often"): None, (31, None): -1}
