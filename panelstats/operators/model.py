@@ -16,7 +16,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import RFormula, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,7 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str,
 def coefficients(fitted: PipelineModel, features: Sequence[str]) -> DataFrame:
     """(term, estimate) for every feature and the intercept (M3)."""
     lr = fitted.stages[-1]
-    spark = _session_of(fitted)
+    spark = SparkSession.getActiveSession()
     data = [(f, float(c)) for f, c in zip(features, lr.coefficients.toArray())]
     data.append(("(Intercept)", float(lr.intercept)))
     return spark.createDataFrame(data, "term string, estimate double")
@@ -170,8 +170,6 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: Colu
 
 def explain_params(stage) -> DataFrame:
     """(name, value, doc) of an estimator's or model's parameters."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.getActiveSession()
     pm = stage.extractParamMap()
     rows = [(p.name, str(v), p.doc) for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)]
@@ -218,8 +216,8 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
                           regParam=0.0, fitIntercept=True)
     m = lr.fit(prepared)
     s = m.summary
-    back = lambda m: used[int(m.group(1))]
-    names = [re.sub(r"v(\d+)v", back, n) for n in _term_names(prepared)] + ["(Intercept)"]
+    names = [re.sub(r"v(\d+)v", lambda t: used[int(t.group(1))], n) for n in _term_names(prepared)]
+    names.append("(Intercept)")
     est = [float(v) for v in m.coefficients.toArray()] + [float(m.intercept)]
     try:
         se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
@@ -253,9 +251,3 @@ def interaction_models(df: DataFrame, label: str, covariates: Sequence[str], bas
     data.unpersist()
     return out
 
-
-def _session_of(fitted: PipelineModel):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
-
