@@ -56,3 +56,12 @@ def test_products_and_sparse_columns(spark):
     df = spark.createDataFrame([(2.0, -1, "x", 5.0)], "b double, f int, k string, v double")
     r = df.withColumns(products("b", {"i": "f"})).select("i", *sparse_columns("k", "v", ["x", "y"])).first()
     assert (r["i"], r["x"], r["y"]) == (-2.0, 5.0, None)
+
+
+def test_unpadded_keys_sort_in_binary_order(spark):
+    df = spark.createDataFrame([(101, "Who is with you right now?"), (8, "How would you rate your mental health overall?"),
+                                (102, "What are you doing right now?")], "q int, t string")
+    keys = sorted_labels(df.select(question_key("q", "t", width=1).alias("k")), "k")
+    assert keys[0] == "101_Who is with you right now?"
+    assert keys[1] == "102_What are you doing right now?"
+    assert keys[-1] == "8_How would you rate your mental health overall?"
