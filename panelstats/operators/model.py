@@ -68,6 +68,17 @@ def holdout_split(df: DataFrame, key: Column | str, frac_test: float = 0.5,
 
 # -- fit, predict, evaluate ---------------------------------------------------
 
+def fit_input(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns a multi-pass fit reads, persisted once.
+
+    Fitting passes over the data several times (statistics, normal equations
+    or one gradient per iteration, summary), so the projection is cached
+    instead of re-reading and re-deriving the source each pass.  The caller
+    unpersists it after fitting.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in columns]).persist()
+
+
 def assembler(features: Sequence[str], out: str = "features", handle_invalid: str = "skip") -> VectorAssembler:
     """Feature vector from columns (M1); ``skip`` drops rows with a null feature (as R's lm)."""
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid=handle_invalid)
@@ -85,7 +96,11 @@ def linear_regression(label: str, params: RegressionParams = RegressionParams(),
 def fit_linear(df: DataFrame, features: Sequence[str], label: str,
                params: RegressionParams = RegressionParams()) -> PipelineModel:
     """Assemble + regress as a pipeline and fit it (M3)."""
-    return Pipeline(stages=[assembler(features), linear_regression(label, params)]).fit(df)
+    data = fit_input(df, [*dict.fromkeys([*features, label])])
+    try:
+        return Pipeline(stages=[assembler(features), linear_regression(label, params)]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def coefficients(fitted: PipelineModel, features: Sequence[str]) -> DataFrame:
@@ -146,8 +161,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: Colu
     lr = linear_regression(label, params)
     pipe = Pipeline(stages=[assembler(features), lr])
     grid_maps = grid_maps if grid_maps is not None else param_grid(lr, params)
-    data = df.select(*[F.col(f"`{c}`") for c in [*features, label]],
-                     (split_bucket(key, params.seed) % folds).cast("int").alias("__fold")).persist()
+    data = fit_input(df.withColumn("__fold", (split_bucket(key, params.seed) % folds).cast("int")),
+                     [*dict.fromkeys([*features, label]), "__fold"])
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid_maps, evaluator=ev,
                         numFolds=folds, foldCol="__fold", parallelism=parallelism, seed=params.seed)
@@ -205,7 +220,7 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
     data = df.select(*[F.col(f"`{c}`").alias(token[c]) for c in used]).na.drop()
     cached = df.storageLevel.useMemory or df.storageLevel.useDisk
     if not cached:  # several passes follow (indexing, fit, summary): read the input once
-        data = data.persist()
+        data = fit_input(data, list(token.values()))
     tokterms = [":".join(token[p] for p in t.split(":")) for t in terms]
     formula = f"{token[label]} ~ {' + '.join(tokterms)}"
     rf = RFormula(formula=formula, featuresCol="features", labelCol="__label",
@@ -243,7 +258,7 @@ def interaction_models(df: DataFrame, label: str, covariates: Sequence[str], bas
     The interaction enters without the feature's main effect, as in the study.
     """
     used = sorted({label, base, *covariates, *features})
-    data = df.select(*[F.col(f"`{c}`") for c in used]).persist()  # one read for all models
+    data = fit_input(df, used)  # one read for all models
     out = None
     for f in features:
         s = ols_summary(data, label, list(covariates) + [f"{base}:{f}"], model_name=f)

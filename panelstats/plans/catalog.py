@@ -652,7 +652,8 @@ def predict_rmse(spark, sf_dir):
     """M5 M6: fit on the train half, score the test half, all metrics in one pass."""
     li = table(spark, sf_dir, "lineitem")
     # Fit and evaluation read the data several times: project and bucket once.
-    data = li.select("l_quantity", "l_extendedprice", model.split_bucket("l_orderkey", 123).alias("b")).persist()
+    data = model.fit_input(li.withColumn("b", model.split_bucket("l_orderkey", 123)),
+                           ["l_quantity", "l_extendedprice", "b"])
     train, test = data.where("b < 500"), data.where("b >= 500")
     fitted = model.fit_linear(train, ["l_quantity"], "l_extendedprice", model.RegressionParams(solver="normal"))
     m = model.regression_metrics(model.predict(fitted, test), "l_extendedprice")
