@@ -555,15 +555,16 @@ def _sql_gamma(x: str, y: str, src: str, with_interval: bool = False) -> str:
              f"WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2")
     if not with_interval:
         return f"""(WITH t AS ({cells}),
-p AS (SELECT sum(CASE WHEN a.x < b.x AND a.y < b.y THEN a.n * b.n ELSE 0 END) AS c,
-             sum(CASE WHEN a.x < b.x AND a.y > b.y THEN a.n * b.n ELSE 0 END) AS d FROM t a, t b)
+p AS (SELECT coalesce(sum(CASE WHEN a.y < b.y THEN a.n * b.n END), 0) AS c,
+             coalesce(sum(CASE WHEN a.y > b.y THEN a.n * b.n END), 0) AS d
+      FROM t a JOIN t b ON a.x < b.x)
 SELECT '{x}' AS x, '{y}' AS y, (SELECT sum(n) FROM t) AS n_obs, c AS n_concordant, d AS n_discordant,
        round((c - d) / (c + d), 6) AS gamma FROM p)"""
     return f"""WITH t AS ({cells}),
 m AS (SELECT a.x, a.y, a.n,
-        sum(CASE WHEN (b.x > a.x AND b.y > a.y) OR (b.x < a.x AND b.y < a.y) THEN b.n ELSE 0 END) AS ca,
-        sum(CASE WHEN (b.x > a.x AND b.y < a.y) OR (b.x < a.x AND b.y > a.y) THEN b.n ELSE 0 END) AS da
-      FROM t a, t b GROUP BY a.x, a.y, a.n),
+        coalesce(sum(CASE WHEN (b.x > a.x AND b.y > a.y) OR (b.x < a.x AND b.y < a.y) THEN b.n END), 0) AS ca,
+        coalesce(sum(CASE WHEN (b.x > a.x AND b.y < a.y) OR (b.x < a.x AND b.y > a.y) THEN b.n END), 0) AS da
+      FROM t a LEFT JOIN t b ON a.x <> b.x AND a.y <> b.y GROUP BY a.x, a.y, a.n),
 s AS (SELECT sum(n * ca) AS P, sum(n * da) AS Q, sum(n) AS n_obs FROM m),
 e AS (SELECT P, Q, n_obs, (P - Q) / (P + Q) AS g,
              4.0 / ((P + Q) * (P + Q)) * sqrt(sum(m.n * (Q * m.ca - P * m.da) * (Q * m.ca - P * m.da))) AS ase
