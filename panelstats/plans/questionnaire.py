@@ -97,6 +97,9 @@ def analysis_table(wide: DataFrame, base_books=cb.BASELINE_BOOKS,
                    mom_books=cb.MOMENTARY_BOOKS, salt_buckets: int = 16) -> DataFrame:
     """Momentary rows joined with their participant's baseline: 34 columns.
 
+    ``wide`` is read twice, once per half, and column pruning gives the halves
+    different plans, so pass a materialised table (:func:`handover`, as
+    :func:`run_study` does) rather than the pivot's plan over raw answers.
     The reports aggregate this table by participant, so the join is salted on
     the assessment key: a participant with most of the rows is spread over
     ``salt_buckets`` tasks (0 turns salting off).

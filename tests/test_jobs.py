@@ -141,3 +141,9 @@ def test_sql_lookups_on_scored_answers(spark):
     # 110-style check: distinct question keys, games included, match the raw rows
     n_keys = df.select(clean_label("Q_id_string")).distinct().count()
     assert n_keys == len({(r[4], r[5]) for r in rows})
+
+
+def test_run_study_analysis_reads_the_handed_over_table(spark):
+    out = q.run_study(answers_frame(spark))
+    plan = out["analysis"]._jdf.queryExecution().executedPlan().toString()
+    assert "wide_assessments-" in plan and "BroadcastHashJoin [QuestionId" not in plan
