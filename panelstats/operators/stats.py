@@ -47,6 +47,28 @@ def participants_per_answer(df: DataFrame, participant: str, column: str,
             .groupBy(column).agg(F.count(_c(column)).alias(out_col)))
 
 
+def participants_per_answers(df: DataFrame, participant: str, columns: Sequence[str],
+                             out_col: str = "n_participants") -> DataFrame:
+    """:func:`participants_per_answer` for several columns in one pass.
+
+    Each row is unpivoted to (question, answer) pairs inside the scan; one
+    distinct and one count then serve every column.  Output: question, answer,
+    count.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("question"), _c(c).cast("string").alias("answer"))
+                      for c in columns])
+    long = df.select(_c(participant).alias("__p"), F.inline(pairs))
+    return (long.distinct().groupBy("question", "answer")
+            .agg(F.count("answer").alias(out_col)))
+
+
+def means_of_distinct(df: DataFrame, participant: str, columns: Sequence[str]) -> DataFrame:
+    """:func:`mean_of_distinct` for several columns in one pass (A8): question, mean."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("question"), _num(c).alias("value")) for c in columns])
+    long = df.select(_c(participant).alias("__p"), F.inline(pairs))
+    return long.distinct().groupBy("question").agg(F.avg("value").alias("mean"))
+
+
 def mean_of_distinct(df: DataFrame, participant: str, column: str,
                      out_col: str | None = None) -> DataFrame:
     """Mean of ``column`` over distinct (participant, value) pairs.

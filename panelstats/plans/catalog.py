@@ -468,6 +468,18 @@ def participants_per_answer(spark, sf_dir):
     return stats.participants_per_answer(_mom_base(spark, sf_dir), "momParticipantKey", "c_mktsegment")
 
 
+_PPA_COLS = ["c_mktsegment", "o_orderstatus", "o_orderpriority"]
+
+
+@register("participants_per_answers", f"WITH j AS ({_SQL_MOM_BASE}) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS question, answer, count(answer) AS n_participants FROM "
+    f"(SELECT DISTINCT momParticipantKey, CAST({c} AS VARCHAR) AS answer FROM j) GROUP BY answer"
+    for c in _PPA_COLS))
+def participants_per_answers(spark, sf_dir):
+    """A7 for several columns in one pass over the joined table."""
+    return stats.participants_per_answers(_mom_base(spark, sf_dir), "momParticipantKey", _PPA_COLS)
+
+
 @register("mean_of_distinct", f"""
 SELECT round(avg(c_acctbal), 4) AS mean_c_acctbal
 FROM (SELECT DISTINCT momParticipantKey, c_acctbal FROM ({_SQL_MOM_BASE}))

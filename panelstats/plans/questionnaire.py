@@ -114,10 +114,10 @@ def analysis_table(wide: DataFrame, base_books=cb.BASELINE_BOOKS,
 def describe_report(df: DataFrame, participant: str = "momParticipantUUID") -> dict[str, DataFrame]:
     """Descriptive statistics of the analysis table, each a one-pass aggregate."""
     out: dict[str, DataFrame] = {"participants": stats.participants(df, participant)}
-    for c in [cb.GENDER, cb.GREW_UP, cb.OCCUPATION, cb.EDUCATION, cb.PHYSICAL_HEALTH, cb.MENTAL_HEALTH]:
-        out[f"per_answer:{c}"] = stats.participants_per_answer(df, participant, c)
-    for c in [cb.AGE, "baseWellBeingScore", "baseImpulseScore"]:
-        out[f"mean_of_distinct:{c}"] = stats.mean_of_distinct(df, participant, c)
+    out["per_answer"] = stats.participants_per_answers(
+        df, participant, [cb.GENDER, cb.GREW_UP, cb.OCCUPATION, cb.EDUCATION, cb.PHYSICAL_HEALTH, cb.MENTAL_HEALTH])
+    out["mean_of_distinct"] = stats.means_of_distinct(df, participant, [cb.AGE, "baseWellBeingScore",
+                                                                         "baseImpulseScore"])
     out["mean_momWellBeingScore"] = df.agg(F.avg("momWellBeingScore").alias("mean_momWellBeingScore"))
     out["mean_assessments"] = stats.mean_assessments(df, participant, "momAssessmentNumber")
     out["place_counts"] = stats.count_values(df, cb.INDOORS, {"n_indoors": "Indoors",

@@ -50,3 +50,16 @@ def test_distinct_per_participant(spark):
 def test_participants_approximate(spark):
     df = spark.range(0, 5000).selectExpr("id % 1000 AS p")
     assert abs(stats.participants(df, "p", approx_rsd=0.02).first()[0] - 1000) <= 60
+
+
+def test_multi_column_forms_equal_single_column_forms(spark):
+    df = _df(spark)
+    multi = {(r["question"], r["answer"]): r["n_participants"]
+             for r in stats.participants_per_answers(df, "p", ["g", "t"]).collect()}
+    for c in ("g", "t"):
+        for r in stats.participants_per_answer(df, "p", c).collect():
+            assert multi[(c, r[c])] == r["n_participants"]
+    assert len(multi) == 3 + 4
+    means = {r["question"]: r["mean"] for r in stats.means_of_distinct(df, "p", ["age", "a"]).collect()}
+    assert means["age"] == stats.mean_of_distinct(df, "p", "age").first()[0]
+    assert means["a"] == stats.mean_of_distinct(df, "p", "a").first()[0]
