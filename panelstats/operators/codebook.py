@@ -104,14 +104,36 @@ def category_code(c: str | Column, book: Mapping[str, int], missing: int | None
     return expr.otherwise(F.lit(missing)).cast("int")
 
 
+# Books up to this many answers become CASE expressions; larger ones a broadcast lookup.
+CASE_LIMIT = 64
+
+
+def _lookup_code(df: DataFrame, column: str, book: Mapping[str, int], out: str,
+                 missing: int | None) -> DataFrame:
+    """Code a column through a broadcast join with its book (for large books)."""
+    spark = df.sparkSession
+    key, code = f"__book_answer_{out}", f"__book_code_{out}"
+    table = spark.createDataFrame(list(book.items()), f"`{key}` string, `{code}` int")
+    if len(book) <= MAX_BROADCAST_ENTRIES:
+        table = F.broadcast(table)
+    joined = df.join(table, df[column].cast("string") == table[key], "left")
+    return joined.withColumn(out, F.coalesce(F.col(code), F.lit(missing).cast("int"))).drop(key, code)
+
+
 def encode_categories(df: DataFrame, books: Mapping[str, Mapping[str, int]],
                       suffix: str = "_numeric", missing: int | None = -1,
                       names: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``<column><suffix>`` codes for every column in ``books`` in one projection.
 
     Answers not in the column's book, and nulls, get ``missing`` (-1 in the
-    reference; ``None`` keeps them null so models skip the row).
+    reference; ``None`` keeps them null so models skip the row).  Books of up
+    to ``CASE_LIMIT`` answers are inlined as ``CASE`` (no join); a larger book
+    is joined as a broadcast table, its size being known here.
     """
     names = names or {}
-    return df.withColumns({names.get(c, c + suffix): category_code(c, b, missing)
-                           for c, b in books.items()})
+    small = {c: b for c, b in books.items() if len(b) <= CASE_LIMIT}
+    out = df.withColumns({names.get(c, c + suffix): category_code(c, b, missing) for c, b in small.items()})
+    for c, b in books.items():
+        if c not in small:
+            out = _lookup_code(out, c, b, names.get(c, c + suffix), missing)
+    return out

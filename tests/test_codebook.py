@@ -78,3 +78,15 @@ def test_null_id_gives_null_score_null_answer_gets_default(spark):
     got = _score(spark, [(None, "Often"), (31, None)], rules=cb.IMPULSIVITY_RULES, default=-1,
                  score_type=T.IntegerType())
     assert got == {(None, "Often"): None, (31, None): -1}
+
+
+def test_large_book_uses_a_lookup_join_with_same_codes(spark):
+    from panelstats.operators import codebook
+
+    book = {f"a{i}": i for i in range(200)}
+    df = spark.createDataFrame([("a5",), ("a199",), ("zz",), (None,)], "c string")
+    out = codebook.encode_categories(df, {"c": book})
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert got == sorted([("a5", 5), ("a199", 199), ("zz", -1), (None, -1)], key=repr)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["c", "c_numeric"]
