@@ -53,20 +53,21 @@ def answered(df: DataFrame, column: str) -> DataFrame:
 
 # -- joins with a checked broadcast -----------------------------------------
 
+def fits_broadcast(df: DataFrame, max_rows: int | None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (a job that stops after
+    ``max_rows + 1`` rows).  The small side is read again by the join; nothing
+    is cached."""
+    return max_rows is not None and df.limit(max_rows + 1).count() <= max_rows
+
+
 def checked_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
 
-    The count is a job over ``df`` (persisted first, so the join reuses it);
-    only a side whose size is proven small is broadcast, and anything larger is
-    left to a shuffle join.  ``max_rows=None`` skips the check and leaves the
-    choice to AQE's runtime statistics.
+    Only a side whose size is proven small is broadcast, and anything larger
+    is left to a shuffle join.  ``max_rows=None`` skips the check and leaves
+    the choice to AQE's runtime statistics.
     """
-    if max_rows is None:
-        return df
-    df = df.persist()
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def salted_join(many: DataFrame, one: DataFrame, cond_keys: Sequence[tuple[str, str]], how: str,
@@ -183,20 +184,25 @@ def spread_baseline(moment: DataFrame, base: DataFrame, moment_key: str, base_ke
                     salt_by: Sequence[str] | None = None) -> DataFrame:
     """Every momentary row with its participant's baseline columns.
 
-    Inner equi-join: participants lacking either side vanish.  Neither side has
-    a size bound (one row per participant vs. one per assessment), so the
-    planner chooses; a participant with many momentary rows is split by AQE's
-    skew-join handling.  ``broadcast_rows`` broadcasts the baseline after
-    checking it has at most that many rows.  AQE cannot split a hot participant
-    when an aggregate by participant follows (the split would need another
-    shuffle); ``salt_buckets`` then spreads it with :func:`salted_join`, the
-    salt taken from ``salt_by`` (default: all momentary columns).
+    Inner equi-join: participants lacking either side vanish.  Three plans:
+
+    * ``broadcast_rows``: the baseline (one row per participant) is counted
+      first and broadcast when it has at most that many rows; the momentary
+      side is then not shuffled at all, so no participant can be hot.
+    * ``salt_buckets``: otherwise (or without a count), a salted sort-merge
+      join (:func:`salted_join`, salt from ``salt_by``, default all momentary
+      columns) spreads a participant with most of the rows over that many
+      tasks.  AQE cannot split such a participant itself when an aggregate by
+      participant follows, since the split would need another shuffle.
+    * neither: the planner chooses (AQE broadcast or skew-split join).
     """
-    base = checked_broadcast(base, broadcast_rows)
-    if salt_buckets > 1 and broadcast_rows is None:
+    cond = moment[moment_key] == base[base_key]
+    if fits_broadcast(base, broadcast_rows):
+        return moment.join(F.broadcast(base), cond, "inner")
+    if salt_buckets > 1:
         return salted_join(moment, base, [(moment_key, base_key)], "inner", salt_buckets,
                            salt_by or moment.columns)
-    return moment.join(base, moment[moment_key] == base[base_key], "inner")
+    return moment.join(base, cond, "inner")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

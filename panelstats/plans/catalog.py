@@ -382,10 +382,12 @@ def _mom_base(spark, sf_dir) -> DataFrame:
         F.col("o_custkey").alias("momParticipantKey"), F.col("o_orderkey").alias("momAssessmentKey"),
         F.col("o_totalprice").alias("momTotalPrice"), "o_orderstatus", "o_orderpriority")
     base = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
-    # Aggregates by participant follow in several queries: salt the join on the
-    # order key so one customer with many orders is spread over tasks.
-    return panel.spread_baseline(mom, base, "momParticipantKey", "c_custkey", salt_buckets=8,
-                                 salt_by=["momAssessmentKey"])
+    # Aggregates by participant follow in several queries.  Broadcast the
+    # baseline when a count proves it small (four narrow columns, at most a
+    # million rows); otherwise salt the join on the order key so one customer
+    # with many orders is spread over tasks.
+    return panel.spread_baseline(mom, base, "momParticipantKey", "c_custkey", broadcast_rows=1_000_000,
+                                 salt_buckets=8, salt_by=["momAssessmentKey"])
 
 
 _SQL_MOM_BASE = """SELECT o.o_custkey AS momParticipantKey, o.o_orderkey AS momAssessmentKey,

@@ -94,19 +94,22 @@ def momentary_table(wide: DataFrame, books=cb.MOMENTARY_BOOKS) -> DataFrame:
 
 
 def analysis_table(wide: DataFrame, base_books=cb.BASELINE_BOOKS,
-                   mom_books=cb.MOMENTARY_BOOKS, salt_buckets: int = 16) -> DataFrame:
+                   mom_books=cb.MOMENTARY_BOOKS, salt_buckets: int = 16,
+                   broadcast_rows: int | None = 200_000) -> DataFrame:
     """Momentary rows joined with their participant's baseline: 34 columns.
 
     ``wide`` is read twice, once per half, and column pruning gives the halves
     different plans, so pass a materialised table (:func:`handover`, as
     :func:`run_study` does) rather than the pivot's plan over raw answers.
-    The reports aggregate this table by participant, so the join is salted on
-    the assessment key: a participant with most of the rows is spread over
-    ``salt_buckets`` tasks (0 turns salting off).
+    The reports aggregate this table by participant.  The baseline (17
+    columns) is broadcast when a count shows at most ``broadcast_rows``
+    participants; otherwise the join is salted on the assessment key, so a
+    participant with most of the rows is spread over ``salt_buckets`` tasks.
     """
     mom = momentary_table(wide, mom_books)
     base = baseline_table(wide, base_books)
-    return panel.spread_baseline(mom, base, "momParticipantUUID", "participantUUID", salt_buckets=salt_buckets,
+    return panel.spread_baseline(mom, base, "momParticipantUUID", "participantUUID",
+                                 broadcast_rows=broadcast_rows, salt_buckets=salt_buckets,
                                  salt_by=["momParticipantUUID", "momAssessmentNumber", "momGeoTagStart",
                                           "momGeoTagEnd"])
 

@@ -161,3 +161,14 @@ def test_salting_spreads_a_hot_participant_across_partitions(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_spread_baseline_broadcasts_small_baseline_else_salts(spark):
+    mom = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "p string, a int")
+    base = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    small = panel.spread_baseline(mom, base, "p", "k", broadcast_rows=10, salt_buckets=4, salt_by=["a"])
+    plan = small._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "__salt" not in plan
+    big = panel.spread_baseline(mom, base, "p", "k", broadcast_rows=1, salt_buckets=4, salt_by=["a"])
+    assert "__salt" in big._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
