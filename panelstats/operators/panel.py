@@ -160,6 +160,8 @@ def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: s
     """
     if values is None:
         values = sorted_labels(df, pivot_col)
+    if not values:
+        raise ValueError("pivot_first needs at least one pivot value")
     ordering = _c(order[0]) if len(order) == 1 else F.struct(*[_c(o) for o in order])
     p, v = _c(pivot_col), _c(value_col)
     aggs = [F.min_by(v, F.when(p == val, ordering)).alias(val) for val in values]

@@ -172,3 +172,11 @@ def test_spread_baseline_broadcasts_small_baseline_else_salts(spark):
     big = panel.spread_baseline(mom, base, "p", "k", broadcast_rows=1, salt_buckets=4, salt_by=["a"])
     assert "__salt" in big._jdf.queryExecution().sparkPlan().toString()
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+
+
+def test_pivot_first_rejects_empty_value_list(spark):
+    import pytest
+
+    df = spark.createDataFrame([("P", "q", 1, 1)], "p string, q string, v int, t int")
+    with pytest.raises(ValueError):
+        panel.pivot_first(df, ["p"], "q", "v", ["t"], [])
