@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from panelstats.functions.columns import composite_sum, first_non_null, or_missing, products, sparse_columns, value_or_text
 from panelstats.functions.labels import clean_label, is_clean_label, pad_id, question_key, sorted_labels
 
