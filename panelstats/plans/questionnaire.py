@@ -37,11 +37,12 @@ def wrangle(answers: DataFrame, min_assessments_exclusive: int = 25, game_id_lim
     """
     df = panel.drop_out_of_scope(answers, "QuestionId", game_id_limit)
     df = df.withColumn("Q_id_string_cleaned", clean_label(question_key("QuestionId", "Question")))
-    df = score_answers(df, "QuestionId", "AnswerText", rules, out_col="ValidatedScore")
     # Column names: labels answered by qualifying participants.  Found from the
     # distinct (participant, assessment, label) triples, qualified by windows, so
-    # no join can be pushed down onto the raw answers.
+    # no join can be pushed down onto the raw answers; this read needs four
+    # columns and no scores.
     triples = df.select("participantUUID", "assessmentNumber", "Q_id_string_cleaned").distinct()
+    df = score_answers(df, "QuestionId", "AnswerText", rules, out_col="ValidatedScore")
     triples = panel.qualify_assessments(triples, "participantUUID", "assessmentNumber", min_assessments_exclusive)
     names = sorted_labels(triples, "Q_id_string_cleaned")
     # Pivot first (partial aggregation, one shuffle on the wide keys), then keep
