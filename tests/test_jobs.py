@@ -148,3 +148,20 @@ def test_run_study_analysis_reads_the_handed_over_table(spark):
     plan = out["analysis"]._jdf.queryExecution().executedPlan().toString()
     # the analysis table is itself handed over: its plan is a plain parquet scan
     assert "FileScan parquet" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_wide_columns_are_labels_answered_by_kept_participants(wide):
+    import re
+
+    rows = answer_rows()
+    per = {}
+    for r in rows:
+        if r[4] is not None and r[4] < 2000:
+            per.setdefault(r[0], set()).add(r[1])
+    kept = {p for p, a in per.items() if len(a) > 25}
+
+    def label(qid, text):
+        return re.sub(r"[',?:.]", "", f"{qid:03d}_{text}")
+
+    want = sorted({label(r[4], r[5]) for r in rows if r[0] in kept and r[4] < 2000}, key=lambda s: s.encode())
+    assert wide.columns[4:-4] == want
