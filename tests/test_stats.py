@@ -63,3 +63,12 @@ def test_multi_column_forms_equal_single_column_forms(spark):
     means = {r["question"]: r["mean"] for r in stats.means_of_distinct(df, "p", ["age", "a"]).collect()}
     assert means["age"] == stats.mean_of_distinct(df, "p", "age").first()[0]
     assert means["a"] == stats.mean_of_distinct(df, "p", "a").first()[0]
+
+
+def test_answer_tally_grouped_form_equals_wide_form(spark, monkeypatch):
+    df = _df(spark)
+    answers = {"n_yes": "yes", "n_no": "no", "n_not_sure": "not sure", "n_na": "NA"}
+    wide = sorted(map(tuple, stats.answer_tally(df, ["t", "g", "a"], answers).collect()))
+    monkeypatch.setattr(stats, "WIDE_TALLY_LIMIT", 0)
+    grouped = sorted(map(tuple, stats.answer_tally(df, ["t", "g", "a"], answers).collect()))
+    assert grouped == wide
