@@ -108,6 +108,8 @@ def answer_tally(df: DataFrame, columns: Sequence[str], answers: Mapping[str, ob
                  total_col: str = "n_total") -> DataFrame:
     """Per question column: how many rows hold each listed answer, and all rows.
 
+    Answers are compared as text, so one answer list serves columns of any type.
+
     One pass either way.  For a few columns a single aggregate computes every
     (column, answer) count and its one result row is turned into one row per
     column; with many columns each row is unpivoted to (question, answer)
@@ -124,7 +126,7 @@ def answer_tally(df: DataFrame, columns: Sequence[str], answers: Mapping[str, ob
             F.count(F.lit(1)).alias(total_col))
     aggs = [F.count(F.lit(1)).alias("__total")]
     for i, c in enumerate(columns):
-        aggs += [F.count_if(_c(c) == F.lit(v)).alias(f"__{i}_{j}")
+        aggs += [F.count_if(_c(c).cast("string") == F.lit(str(v))).alias(f"__{i}_{j}")
                  for j, v in enumerate(answers.values())]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("question"),
