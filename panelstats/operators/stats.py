@@ -96,8 +96,8 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def count_values(df: DataFrame, column: str, values: Mapping[str, object]) -> DataFrame:
-    """Conditional counts ``name -> count(column == value)`` in one pass."""
-    return df.agg(*[F.count_if(_c(column) == F.lit(v)).alias(n) for n, v in values.items()])
+    """Conditional counts ``name -> count(column == value)`` in one pass (A12); compared as text."""
+    return df.agg(*[F.count_if(_c(column).cast("string") == F.lit(str(v))).alias(n) for n, v in values.items()])
 
 
 # Above this many (column, answer) counters the tally is grouped by question instead.
