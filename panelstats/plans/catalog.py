@@ -491,6 +491,18 @@ def mean_of_distinct(spark, sf_dir):
     return m.select(F.round("mean_c_acctbal", 4).alias("mean_c_acctbal"))
 
 
+_MOD_COLS = ["c_acctbal", "c_nationkey"]
+
+
+@register("means_of_distinct", f"WITH j AS ({_SQL_MOM_BASE}) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS question, round(avg(v), 4) AS mean FROM "
+    f"(SELECT DISTINCT momParticipantKey, CAST({c} AS DOUBLE) AS v FROM j)" for c in _MOD_COLS))
+def means_of_distinct(spark, sf_dir):
+    """A8 for several columns in one pass over the joined table."""
+    m = stats.means_of_distinct(_mom_base(spark, sf_dir), "momParticipantKey", _MOD_COLS)
+    return m.select("question", F.round("mean", 4).alias("mean"))
+
+
 @register("mean_assessments", """
 SELECT round(avg(n), 4) AS mean_assessments
 FROM (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS n FROM events GROUP BY user_id)
