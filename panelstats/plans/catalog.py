@@ -695,6 +695,22 @@ def _model_table(spark, sf_dir) -> DataFrame:
     return j.withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
 
 
+@register("cv_ols", f"""
+WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, {_md5_bucket_sql('l_orderkey')} % 3 AS fold FROM lineitem),
+m AS (SELECT f.fold, regr_slope(d.y, d.x) AS s, regr_intercept(d.y, d.x) AS i
+      FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+e AS (SELECT d.fold, sqrt(avg((d.y - (m.i + m.s * d.x)) * (d.y - (m.i + m.s * d.x)))) AS rmse
+      FROM d JOIN m ON d.fold = m.fold GROUP BY d.fold)
+SELECT round(avg(rmse), 4) AS avg_rmse FROM e
+""")
+def cv_ols(spark, sf_dir):
+    """M8: 3-fold cross-validated RMSE of an OLS fit, folds by key hash (closed form per fold)."""
+    li = table(spark, sf_dir, "lineitem")
+    res, _ = model.cross_validate(li, ["l_quantity"], "l_extendedprice", key="l_orderkey", grid_maps=[{}],
+                                  params=model.RegressionParams(solver="normal"), folds=3)
+    return res.select(F.round("avg_rmse", 4).alias("avg_rmse"))
+
+
 @register("grid_cv")
 def grid_cv(spark, sf_dir):
     """3-fold cross-validation over a small grid, folds by key hash."""
