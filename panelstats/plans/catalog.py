@@ -108,6 +108,25 @@ def wide_scores(spark, sf_dir):
     return w.orderBy("user_id", "day")
 
 
+@register("kept_answers", """
+WITH k AS (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS totalAssessments FROM events
+           GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) > 25)
+SELECT e.event_id, e.user_id, e.event_type, e.value, k.totalAssessments
+FROM events e JOIN k ON e.user_id = k.user_id
+""")
+def kept_answers(spark, sf_dir):
+    """Raw answers of qualifying participants, carrying their assessment count.
+
+    Join form on the long table: the kept ids (one row per participant) are
+    counted and broadcast when at most a million, so raw answers are not
+    shuffled by participant.
+    """
+    a = answers(spark, sf_dir).select("event_id", "user_id", "day", "event_type", "value")
+    kept = panel.keep_participants(a, "user_id", "day", min_exclusive=25, with_count=True,
+                                   broadcast_rows=1_000_000)
+    return kept.select("event_id", "user_id", "event_type", "value", "totalAssessments")
+
+
 # ---------------------------------------------------------------------------
 # Sources and sinks
 # ---------------------------------------------------------------------------
