@@ -60,14 +60,25 @@ def fits_broadcast(df: DataFrame, max_rows: int | None) -> bool:
     return max_rows is not None and df.limit(max_rows + 1).count() <= max_rows
 
 
-def checked_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_rows: int | None, cache: bool = False) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
 
     Only a side whose size is proven small is broadcast, and anything larger
     is left to a shuffle join.  ``max_rows=None`` skips the check and leaves
-    the choice to AQE's runtime statistics.
+    the choice to AQE's runtime statistics.  With ``cache`` the side is
+    persisted before counting, so an expensive derivation (an aggregate over
+    the raw table) runs once; the cache is released when the side is too
+    large, and otherwise holds at most ``max_rows`` rows for the join.
     """
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+    if max_rows is None:
+        return df
+    if cache:
+        df = df.persist()
+    if fits_broadcast(df, max_rows):
+        return F.broadcast(df)
+    if cache:
+        df.unpersist()
+    return df
 
 
 def salted_join(many: DataFrame, one: DataFrame, cond_keys: Sequence[tuple[str, str]], how: str,
@@ -120,7 +131,7 @@ def keep_participants(df: DataFrame, participant: str = "participantUUID",
     """
     kept = (assessments_per_participant(df, participant, assessment, out_col)
             .where(F.col(out_col) > min_exclusive))
-    kept = checked_broadcast(kept if with_count else kept.select(participant), broadcast_rows)
+    kept = checked_broadcast(kept if with_count else kept.select(participant), broadcast_rows, cache=True)
     return df.join(kept, participant, "inner" if with_count else "left_semi")
 
 
