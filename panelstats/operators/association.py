@@ -134,11 +134,12 @@ def gamma_from_cells(cells: DataFrame, level: float | None = 0.95) -> DataFrame:
     dev = F.col("n") * F.pow(F.col("Q") * F.col("A") - F.col("P") * F.col("D"), 2)
     out = g.groupBy("pair").agg(F.first("P").alias("P"), F.first("Q").alias("Q"),
                                 F.sum("n").alias("n_obs"), F.sum(dev).alias("S"))
-    out = out.withColumn("gamma", (F.col("P") - F.col("Q")) / (F.col("P") + F.col("Q")))
+    # No untied pair at all (P + Q = 0): gamma is undefined and comes out null.
+    out = out.withColumn("gamma", F.try_divide(F.col("P") - F.col("Q"), F.col("P") + F.col("Q")))
     if level is None:
         return out.select("pair", "n_obs", "P", "Q", "gamma")
     z = NormalDist().inv_cdf(1 - (1 - level) / 2)
-    ase = F.lit(4.0) / F.pow(F.col("P") + F.col("Q"), 2) * F.sqrt("S")
+    ase = F.try_divide(F.lit(4.0), F.pow(F.col("P") + F.col("Q"), 2)) * F.sqrt("S")
     return (out.select("pair", "n_obs", "P", "Q", "gamma", ase.alias("ase"))
             .withColumn("lower", F.col("gamma") - F.lit(z) * F.col("ase"))
             .withColumn("upper", F.col("gamma") + F.col("ase") * F.lit(z)))

@@ -39,3 +39,44 @@ def test_qualify_and_counts_match_python(spark, rows, limit):
     for p, _, _, v, *_ in rows:
         want.setdefault(v, set()).add(p)
     assert per == {v: (len(ps) if v is not None else 0) for v, ps in want.items()}
+
+
+PAIR = st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.one_of(st.none(), st.sampled_from("abcd")))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(PAIR, min_size=3, max_size=40))
+def test_gamma_matches_pair_counting(spark, rows):
+    from itertools import combinations
+
+    from panelstats.operators import association
+
+    full = [(x, y) for x, y in rows if x is not None and y is not None]
+    c = d = 0
+    for (x1, y1), (x2, y2) in combinations(full, 2):
+        s = ((x1 > x2) - (x1 < x2)) * ((y1 > y2) - (y1 < y2))
+        c += s > 0
+        d += s < 0
+    df = spark.createDataFrame(rows, "x int, y string")
+    got = association.gamma(df, [("x", "y")], level=None).collect()
+    if not full:
+        assert got == []
+        return
+    r = got[0]
+    assert (r["n_obs"], r["n_concordant"], r["n_discordant"]) == (len(full), c, d)
+    if c + d:
+        assert abs(r["gamma"] - (c - d) / (c + d)) < 1e-12
+    else:
+        assert r["gamma"] is None
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["yes", "no", "NA", None]), st.sampled_from(["yes", "not sure", None])),
+                min_size=1, max_size=30))
+def test_answer_tally_matches_python(spark, rows):
+    answers = {"n_yes": "yes", "n_no": "no", "n_not_sure": "not sure", "n_na": "NA"}
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = {r["question"]: tuple(r)[1:] for r in stats.answer_tally(df, ["a", "b"], answers).collect()}
+    for i, q in enumerate(["a", "b"]):
+        vals = [r[i] for r in rows]
+        assert got[q] == tuple(vals.count(v) for v in answers.values()) + (len(rows),)
