@@ -80,3 +80,30 @@ def test_answer_tally_matches_python(spark, rows):
     for i, q in enumerate(["a", "b"]):
         vals = [r[i] for r in rows]
         assert got[q] == tuple(vals.count(v) for v in answers.values()) + (len(rows),)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from([13, 28, 31, 36, 41, 131, 152, 154, 159, 200])),
+                          st.one_of(st.none(), st.sampled_from(["Often", "Never", "1-2", "06-Jun", "Not sure",
+                                                                "I very much agree", "x"]))),
+                min_size=1, max_size=30))
+def test_scoring_matches_python_lookup(spark, rows):
+    from panelstats.operators.codebook import score_answers
+    from panelstats.plans import codebooks as cb
+
+    book = {(i, r.answer): r.score for r in cb.ORDINAL_RULES for i in r.ids}
+    df = spark.createDataFrame([(k, q, a) for k, (q, a) in enumerate(rows)], "k int, q int, a string")
+    got = {r["k"]: r["s"] for r in score_answers(df, "q", "a", cb.ORDINAL_RULES, out_col="s").collect()}
+    want = {k: (None if q is None else book.get((q, a), a)) for k, (q, a) in enumerate(rows)}
+    assert got == want
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(0, 50)), min_size=1, max_size=40),
+       st.integers(2, 9))
+def test_salted_join_equals_plain_join(spark, rows, buckets):
+    mom = spark.createDataFrame(rows, "p string, a int")
+    base = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("d", 4.0)], "k string, v double")
+    plain = sorted(map(tuple, panel.spread_baseline(mom, base, "p", "k").collect()), key=repr)
+    salted = panel.spread_baseline(mom, base, "p", "k", salt_buckets=buckets, salt_by=["p", "a"])
+    assert sorted(map(tuple, salted.collect()), key=repr) == plain
