@@ -138,7 +138,7 @@ def plan_windows(histogram: dict[int, int], longest: int = LONGEST, shortest: in
             tier, count, lots = open_groups.pop()
             gap = tier - sum(x.length for x in lots)
             length = stock.fitting(gap)
-            cut = gap // grain * grain
+            cut, added = gap // grain * grain, None
             if length is None and small and len(lots) == 1 and count > 1:
                 # like pieces among themselves: as many to a window as fit
                 each = min(tier // lot.length, count)
@@ -165,12 +165,15 @@ def plan_windows(histogram: dict[int, int], longest: int = LONGEST, shortest: in
                     stock.put(back)
                     open_groups.append((tier, keep, [Lot(own.origin, own.rank, own.cut, own.length, keep)]))
                     continue
-                done.append((tier, count, lots))
+                length = None
+                cut = 0
+            if added is None and (length is None or not gap):
+                if gap and tier < longest:  # only windows that are full stay short
+                    open_groups.append((tier * 2, count, lots))
+                else:
+                    done.append((tier, count, lots))
                 continue
-            elif length is None or not gap:
-                done.append((tier, count, lots))
-                continue
-            else:
+            if added is None:
                 added = stock.take(length, count)
             if added.count < count:
                 rest = [Lot(x.origin, x.rank + added.count, x.cut, x.length, x.count - added.count) for x in lots]
