@@ -125,63 +125,55 @@ def tier_of(length: int, shortest: int, longest: int) -> int:
     return min(longest, max(shortest, 1 << max(0, length - 1).bit_length()))
 
 
+def _part(lots: list[Lot], skip: int, count: int) -> list[Lot]:
+    """The same lots for ``count`` windows after the first ``skip``."""
+    return [Lot(x.origin, x.rank + skip, x.cut, x.length, count) for x in lots]
+
+
 def plan_windows(histogram: dict[int, int], longest: int = LONGEST, shortest: int = SHORTEST,
                  grain: int = GRAIN) -> list[tuple[int, int, list[Lot]]]:
     """(window length, number of windows, the lots in them in order) for every piece length."""
     stock, done = Stock({k: v for k, v in histogram.items() if v}), []
     while stock.lengths:
         lot = stock.take(stock.lengths[-1], 1 << 62)
-        # the last, shortest pieces share long windows: in short ones their gaps would weigh more
-        small = lot.length < shortest
-        open_groups = [(longest if small else tier_of(lot.length, shortest, longest), lot.count, [lot])]
-        while open_groups:
-            tier, count, lots = open_groups.pop()
-            gap = tier - sum(x.length for x in lots)
-            length = stock.fitting(gap)
-            cut, added = gap // grain * grain, None
-            if length is None and small and len(lots) == 1 and count > 1:
-                # like pieces among themselves: as many to a window as fit
-                each = min(tier // lot.length, count)
-                if each > 1:
-                    whole, rest = divmod(count, each)
-                    own = lots[0]
-                    if rest:
-                        open_groups.append((tier, 1, [Lot(own.origin, own.rank + whole * each + i, own.cut, own.length, 1)
-                                                      for i in range(rest)]))
-                    open_groups.append((tier, whole, [Lot(own.origin, own.rank + i * whole, own.cut, own.length, whole)
-                                                      for i in range(each)]))
-                    continue
-            if length is None and cut and (donor := next((x for x in reversed(stock.lengths) if x > gap), None)):
-                front = stock.take(donor, count)
+        todo = [(tier_of(lot.length, shortest, longest), lot.count, [lot])]
+        while todo:
+            tier, count, lots = todo.pop()
+            used = sum(x.length for x in lots)
+            gap = tier - used
+            if not gap:
+                done.append((tier, count, lots))
+                continue
+            cut = gap // grain * grain
+            if length := stock.fitting(gap):
+                added = stock.take(length, count)
+            elif cut and stock.lengths and stock.lengths[-1] > gap:
+                front = stock.take(stock.lengths[bisect_right(stock.lengths, gap)], count)
                 stock.put(Lot(front.origin, front.rank, front.cut + cut, front.length - cut, front.count))
                 added = Lot(front.origin, front.rank, front.cut, cut, front.count)
-            elif length is None and cut and len(lots) == 1 and count > 1 and not small and lots[0].length > cut:
-                # only windows like this one are left: some of them are cut to fill the others
-                own = lots[0]
-                fill = max(1, own.length // cut)
-                keep = max(1, -(-count * fill // (fill + 1)))
-                back = Lot(own.origin, own.rank + keep, own.cut, own.length, count - keep)
-                if back.count:
-                    stock.put(back)
-                    open_groups.append((tier, keep, [Lot(own.origin, own.rank, own.cut, own.length, keep)]))
-                    continue
-                length = None
-                cut = 0
-            if added is None and (length is None or not gap):
-                if gap and tier < longest:  # only windows that are full stay short
-                    open_groups.append((tier * 2, count, lots))
-                else:
-                    done.append((tier, count, lots))
+            elif tier < longest:  # only full windows stay short
+                todo.append((tier * 2, count, lots))
+                continue
+            elif (each := min(longest // used, count)) > 1:  # like windows share one
+                whole, rest = divmod(count, each)
+                todo.append((tier, whole, [x for i in range(each) for x in _part(lots, i * whole, whole)]))
+                if rest:
+                    todo.append((tier, rest, _part(lots, whole * each, rest)))
+                continue
+            elif cut and (keep := -(-count * used // longest)) < count:  # some are taken apart to fill the others
+                for x in _part(lots, keep, count - keep):
+                    stock.put(x)
+                todo.append((tier, keep, _part(lots, 0, keep)))
+                continue
+            else:
+                done.append((tier, count, lots))
                 continue
-            if added is None:
-                added = stock.take(length, count)
             if added.count < count:
-                rest = [Lot(x.origin, x.rank + added.count, x.cut, x.length, x.count - added.count) for x in lots]
-                open_groups.append((tier, count - added.count, rest))
-            same = [Lot(x.origin, x.rank, x.cut, x.length, added.count) for x in lots]
-            open_groups.append((tier, added.count, [*same, added]))
-    # a window whose ids fit a shorter power of two is that long
-    return [(tier_of(sum(x.length for x in lots), 1, longest), count, lots) for tier, count, lots in done]
+                todo.append((tier, count - added.count, _part(lots, added.count, count - added.count)))
+            todo.append((tier, added.count, [*_part(lots, 0, added.count), added]))
+    # a window whose ids fit a shorter power of two exactly is that long
+    total = [sum(x.length for x in lots) for _, _, lots in done]
+    return [(n if n & (n - 1) == 0 else longest, count, lots) for n, (_, count, lots) in zip(total, done, strict=True)]
 
 
 def _shift_columns(n_bytes: int) -> np.ndarray:
