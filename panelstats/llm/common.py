@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = "\t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,3 +102,24 @@ def crc_bucket(key: str, buckets: int):
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; whatever else the table holds cannot clash."""
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()))
+
+
+def schema_with(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns at the end."""
+    more = T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in columns.items()))
+    return T.StructType([*df.schema.fields, *more.fields])
+
+
+#: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is among ``ids`` (one column of that name, distinct, stored).
+
+    The ids are counted: a number that surely fits every executor is broadcast, so that the
+    rows of ``df`` need not move; otherwise both sides are shuffled.
+    """
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_semi")

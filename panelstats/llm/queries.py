@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, learned_partitions, packing, token_planes, warc
-from .common import table
+from . import (
+    byte_bpe,
+    crf_language,
+    learned_partitions,
+    ngram_ratio,
+    ordinal_quality,
+    packing,
+    partenum_join,
+    suffix_tree_lm,
+    token_planes,
+    warc,
+)
+from .common import crc_bucket, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +48,33 @@ def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@register
+def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = ngram_ratio.trusted_ids(table(spark, sf_dir, "labels"))
+    return ngram_ratio.judge(table(spark, sf_dir, "documents"), trusted)
+
+
+@register
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) == 2)
+
+
+@register
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    model = ordinal_quality.train(docs, ordinal_quality.graded(table(spark, sf_dir, "labels")))
+    return ordinal_quality.score(docs, model).drop("text")
+
+
+@register
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf_language.train(docs, crc_bucket("doc_id", 4) != 2)
+    held_out = (crc_bucket("doc_id", 4) == 2).alias("held_out")
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", "text", held_out)
+    return crf_language.label(rows, model).drop("text")
+
+
 @register
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least_bytes=0))
@@ -51,3 +89,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_planes.read_planes(token_planes.write_planes(docs, vocabulary("byte_bpe_50k.json"), end_id=2))
+
+
+@register
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum_join.join(table(spark, sf_dir, "documents"))
