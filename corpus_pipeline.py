@@ -1,12 +1,56 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelstats.llm import crf_language, ordinal_quality, packing, partenum_join
+from panelstats.llm.common import among, crc_bucket, ship, table, written
+from panelstats.llm.queries import vocabulary
+
+#: A document stays if its language's share of the word posteriors is at least this.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the top grade is at least one half."""
+    ship(spark)
+    model = ordinal_quality.train(docs, ordinal_quality.graded(table(spark, sf_dir, "labels")))
+    return ordinal_quality.score(docs, model).where("kept").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one recognised language; learned from those not held out."""
+    ship(spark)
+    model = crf_language.train(docs, crc_bucket("doc_id", 4) != 2)
+    found = crf_language.label(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id, once; documents
+    without an id stay."""
+    ship(spark)
+    groups = written(partenum_join.join(docs), "groups").where("doc_id = component_id")
+    ids = written(groups.select("doc_id").distinct(), "kept")
+    kept = among(docs, ids, "doc_id")
+    if groups.count() > ids.count():  # rows that repeat an id
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    ship(spark)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
 
-from panelstats.llm.common import table, written
 
-STAGES: list = []
+STAGES = [("quality classifier", quality), ("language ID", language), ("n-gram Jaccard join", near_duplicates), ("packing", pack)]
 #: Fitted models and iterative grouping: not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
