@@ -17,7 +17,8 @@ signatures under that hash too.
 Equal sets are found by fingerprint and joined once.  Documents that share a signature are
 candidates.  First each is compared with the one it shares most with; verified links are
 closed to components, which leaves few buckets with members of several components.  Only
-those are searched in full, pairs of different components only, in blocks, and behind an
+those are searched, first for each member's nearest in every other component, then, with
+what that links closed again, in full: pairs of different components, in blocks, behind an
 exact filter: the distance of parity bitmaps never exceeds that of the sets.  Every
 surviving pair is verified on its whole sets.  All links between different components are
 found, so components are those of all links.
@@ -43,7 +44,7 @@ from pyspark.sql.window import Window
 from .common import LOWER_BYTES, among, pick, slices, texts, written
 
 SHINGLE, OVER, UNDER = 5, 75, 100  # similarity of at least OVER / UNDER
-SMALL_DISTANCE, SLACK, BLOCK = 16, 0.1, 1_000
+SMALL_DISTANCE, SLACK, BLOCK, AT_ONCE = 16, 0.1, 1_000, 100
 SLICE = 4_000_000
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -90,8 +91,8 @@ def most_distance(x: int, y: int) -> int:
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    """A bit per hash bucket, flipped by each element; the width is a power of two >= 2 |s|."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """A bit per hash bucket, flipped by each element; the width is a power of two >= 4 |s|."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
     bits = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
 
@@ -253,26 +254,27 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _runs(frames, keys: list[str]):
-    """Frames of the consecutive rows with equal keys."""
+def _runs(batches, keys: int):
+    """Lists of columns of the consecutive rows with equal values in the first ``keys`` columns."""
     wait = None
-    for f in frames:
+    for batch in batches:
+        cols = [np.asarray(c) if pa.types.is_integer(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if wait is not None:
-            f = pd.concat([wait, f], ignore_index=True)
-        if f.empty:
+            cols = [np.concatenate(x) for x in zip(wait, cols, strict=True)]
+        if not len(cols[0]):
             continue
-        k = f[keys].to_numpy()
-        cuts = (np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:keys]])
+        cuts = (np.flatnonzero(new) + 1).tolist()
         for a, b in zip([0, *cuts], cuts, strict=False):
-            yield f.iloc[a:b]
-        wait = f.iloc[cuts[-1] if cuts else 0:]
-    if wait is not None and len(wait):
+            yield [c[a:b] for c in cols]
+        wait = [c[cuts[-1] if cuts else 0:] for c in cols]
+    if wait is not None:
         yield wait
 
 
-def cross_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs in a bucket of ``shared`` (sig, node) whose components differ and that sizes and
-    bitmaps do not rule out."""
+def cross_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, nearest: bool) -> DataFrame:
+    """Untested pairs in a bucket of ``shared`` (sig, node) whose components differ and that sizes
+    and bitmaps do not rule out; with ``nearest``, per node and other component the nearest one."""
     rows = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     buckets = rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"),
                                       F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.hash("node")).alias("s"))
@@ -286,27 +288,47 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, tested:
             .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")))
     rows = rows.select("sig", "p", "q", "own", "node", "component", "n", "bits")
 
-    def run(frames):
-        for g in _runs(frames, ["sig", "p", "q"]):
-            if len(g) < 2 or g["component"].nunique() < 2:
+    def run(batches):
+        out, held = [], 0
+        for _, p, q, own, node, comp, n, data in _runs(batches, 3):
+            if len(node) < 2 or (comp == comp[0]).all():
                 continue
-            n, comp, own, node = (g[c].to_numpy() for c in ("n", "component", "own", "node"))
-            width = min(len(b) for b in g["bits"]) // 8
-            bits = np.stack([folded(np.frombuffer(b, "<u8"), width) for b in g["bits"]])
-            split = g["p"].iloc[0] != g["q"].iloc[0]
-            for i in range(len(g) - 1):
-                j = slice(i + 1, len(g))
-                ok = (comp[j] != comp[i]) & (UNDER * np.minimum(n[j], n[i]) >= OVER * np.maximum(n[j], n[i]))
-                if split:
-                    ok &= own[j] != own[i]
-                at = np.flatnonzero(ok) + i + 1
-                if len(at):
-                    d = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
-                    at = at[d <= (UNDER - OVER) * (n[at] + n[i]) // (UNDER + OVER)]
-                    if len(at):
-                        yield pd.DataFrame({"a": np.minimum(node[i], node[at]), "b": np.maximum(node[i], node[at])})
-
-    found = rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInPandas(run, "a long, b long")
+            width = min(map(len, data)) // 8
+            bits = np.stack([folded(np.frombuffer(b, "<u8"), width) for b in data])
+            coarse = folded(bits, max(1, width // 4))
+            m = len(node)
+            # small buckets at once, large ones row by row
+            for lot in [np.triu_indices(m, 1)] if m <= AT_ONCE else ((np.full(m - i - 1, i), np.arange(i + 1, m)) for i in range(m - 1)):
+                i, j = lot
+                ok = (comp[i] != comp[j]) & (UNDER * np.minimum(n[i], n[j]) >= OVER * np.maximum(n[i], n[j]))
+                if p[0] != q[0]:
+                    ok &= own[i] != own[j]
+                i, j = i[ok], j[ok]
+                for b in (coarse, bits):
+                    if len(i):
+                        most = (UNDER - OVER) * (n[i] + n[j]) // (UNDER + OVER)
+                        d = np.bitwise_count(b[i] ^ b[j]).sum(1, dtype=np.int64) - most
+                        i, j, d = i[d <= 0], j[d <= 0], d[d <= 0]
+                if nearest and len(i):  # of each other component
+                    order = np.lexsort((node[j], d, comp[j], i))
+                    i, j = i[order], j[order]
+                    first = np.ones(len(i), bool)
+                    first[1:] = (i[1:] != i[:-1]) | (comp[j][1:] != comp[j][:-1])
+                    i, j = i[first], j[first]
+                if len(i):
+                    out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+                    held += len(i)
+            if held > 50_000:
+                yield _pairs(out)
+                out, held = [], 0
+        if held:
+            yield _pairs(out)
+
+    def _pairs(out):
+        pairs = np.unique(np.concatenate([np.stack(x, 1) for x in out]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    found = rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "node").mapInArrow(run, "a long, b long")
     return close_enough(found.distinct().join(tested, ["a", "b"], "left_anti"), nodes)
 
 
@@ -333,10 +355,13 @@ def join(docs: DataFrame) -> DataFrame:
     versions = (filled.join(reps, "fp").groupBy("doc_id").agg(F.collect_set("rep").alias("r")).where(F.size("r") > 1)
                 .select(F.col("doc_id").alias("a"), F.explode("r").alias("b")).where("a <> b"))
     links = links.unionByName(versions)
+    tested, members = first, shared.select("sig", "node").distinct()
+    # the nearest of another component is most likely to link; what is left then is searched in full
+    for name, nearest in (("second", True), ("third", False)):
+        labels = components(links)
+        pairs = written(cross_pairs(members, nodes, labels, tested, nearest), name)
+        links, tested = links.unionByName(verified(pairs, docs, name)), tested.unionByName(pairs)
     labels = components(links)
-    second = written(cross_pairs(shared.select("sig", "node").distinct(), nodes, labels, first), "second")
-    more = verified(second, docs, "second")
-    labels = components(links.unionByName(more))
 
     out = told.join(reps, "fp", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
