@@ -40,8 +40,8 @@ from .common import LOWER_BYTES, pick, slices, texts, written
 DEPTH, LEAST_SHARE, DIVERGENCE = 5, 2e-5, 0.002
 COMMON_SHARE = 2e-6
 END = 10  # a line feed, which no word holds
-SLICE, STRETCH = 3_000_000, 256
-WORDS_HELD, GRAMS_HELD = 300_000, 3_000_000
+SLICE, STRETCH = 1_500_000, 256
+WORDS_HELD, GRAMS_HELD = 150_000, 1_500_000
 
 
 def words_of(text: str) -> list[bytes]:
