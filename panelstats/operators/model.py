@@ -46,24 +46,29 @@ class RegressionParams:
 
 # -- split -------------------------------------------------------------------
 
-def split_bucket(key: Column | str, seed: int = 123, buckets: int = 1000) -> Column:
-    """Bucket 0..buckets-1 from the md5 of ``key:seed`` (first 32 bits).
+def split_hash(key: Column | str, seed: int = 123) -> Column:
+    """The first 32 bits of the md5 of ``key:seed``.
 
     Unlike ``randomSplit`` the assignment depends only on the key, not on the
     partitioning, so a rerun after a lost executor gives the same split.
     """
     k = F.col(key) if isinstance(key, str) else key
     h = F.md5(F.concat(k.cast("string"), F.lit(f":{seed}")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(buckets)
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+
+
+def first_hash_of_test(frac_test: float) -> int:
+    """Rows whose ``split_hash`` is at least this are held out."""
+    return round((1 - frac_test) * 2 ** 32)
 
 
 def holdout_split(df: DataFrame, key: Column | str, frac_test: float = 0.5,
                   seed: int = 123) -> tuple[DataFrame, DataFrame]:
     """(train, test) by key hash; ``frac_test`` in [0.1, 1) (M4, M9)."""
     RegressionParams(fracTest=frac_test)
-    cut = round(1000 * (1 - frac_test))
-    b = split_bucket(key, seed)
-    return df.where(b < cut), df.where(b >= cut)
+    cut = first_hash_of_test(frac_test)
+    h = split_hash(key, seed)
+    return df.where(h < cut), df.where(h >= cut)
 
 
 # -- fit, predict, evaluate ---------------------------------------------------
@@ -161,7 +166,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: Colu
     lr = linear_regression(label, params)
     pipe = Pipeline(stages=[assembler(features), lr])
     grid_maps = grid_maps if grid_maps is not None else param_grid(lr, params)
-    data = fit_input(df.withColumn("__fold", (split_bucket(key, params.seed) % folds).cast("int")),
+    data = fit_input(df.withColumn("__fold", (split_hash(key, params.seed) % folds).cast("int")),
                      [*dict.fromkeys([*features, label]), "__fold"])
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid_maps, evaluator=ev,
@@ -231,12 +236,15 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
                           regParam=0.0, fitIntercept=True)
     m = lr.fit(prepared)
     s = m.summary
-    names = [re.sub(r"v(\d+)v", lambda t: used[int(t.group(1))], n) for n in _term_names(prepared)]
+    # only the token that starts each part of a term stands for a column; levels keep their text
+    names = [re.sub(r"(^|:)v(\d+)v", lambda t: t.group(1) + used[int(t.group(2))], n) for n in _term_names(prepared)]
     names.append("(Intercept)")
     est = [float(v) for v in m.coefficients.toArray()] + [float(m.intercept)]
     try:
         se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
-    except Exception:  # singular design (aliased terms): R reports NA, so do we
+    except Exception as error:  # singular design (aliased terms): R reports NA, so do we
+        if "available for this LinearRegressionModel" not in str(error):
+            raise
         se = tv = pv = [None] * len(est)
     num = lambda v: None if v is None else float(v)
     rows = [(model_name or f"{label} ~ {' + '.join(terms)}", n, e, num(a), num(b), num(c), float(s.r2),

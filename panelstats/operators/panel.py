@@ -54,10 +54,9 @@ def answered(df: DataFrame, column: str) -> DataFrame:
 # -- joins with a checked broadcast -----------------------------------------
 
 def fits_broadcast(df: DataFrame, max_rows: int | None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a job that stops after
-    ``max_rows + 1`` rows).  The small side is read again by the join; nothing
-    is cached."""
-    return max_rows is not None and df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows.  Runs a count, for which
+    every task sends one number (a ``limit`` would gather rows in one task)."""
+    return max_rows is not None and df.count() <= max_rows
 
 
 def checked_broadcast(df: DataFrame, max_rows: int | None, cache: bool = False) -> DataFrame:

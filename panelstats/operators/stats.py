@@ -100,40 +100,23 @@ def count_values(df: DataFrame, column: str, values: Mapping[str, object]) -> Da
     return df.agg(*[F.count_if(_c(column).cast("string") == F.lit(str(v))).alias(n) for n, v in values.items()])
 
 
-# Above this many (column, answer) counters the tally is grouped by question instead.
-WIDE_TALLY_LIMIT = 200
-
-
 def answer_tally(df: DataFrame, columns: Sequence[str], answers: Mapping[str, object],
                  total_col: str = "n_total") -> DataFrame:
     """Per question column: how many rows hold each listed answer, and all rows.
 
     Answers are compared as text, so one answer list serves columns of any type.
 
-    One pass either way.  For a few columns a single aggregate computes every
-    (column, answer) count and its one result row is turned into one row per
-    column; with many columns each row is unpivoted to (question, answer)
-    inside the scan and grouped by question, keeping the aggregate narrow.
+    One pass: each row is unpivoted to (question, answer) inside the scan and
+    grouped by question, so the aggregate stays narrow however many columns are
+    asked for.  A table without rows gives no rows.
     """
-    names = list(answers.keys())
-    if len(columns) * len(names) > WIDE_TALLY_LIMIT:
-        # one array needs one element type: answers are compared as text
-        pairs = F.array(*[F.struct(F.lit(c).alias("question"), _c(c).cast("string").alias("__a"))
-                          for c in columns])
-        long = df.select(F.inline(pairs))
-        return long.groupBy("question").agg(
-            *[F.count_if(F.col("__a") == F.lit(str(v))).alias(n) for n, v in answers.items()],
-            F.count(F.lit(1)).alias(total_col))
-    aggs = [F.count(F.lit(1)).alias("__total")]
-    for i, c in enumerate(columns):
-        aggs += [F.count_if(_c(c).cast("string") == F.lit(str(v))).alias(f"__{i}_{j}")
-                 for j, v in enumerate(answers.values())]
-    one = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("question"),
-                     *[F.col(f"__{i}_{j}").alias(n) for j, n in enumerate(names)],
-                     F.col("__total").alias(total_col))
-            for i, c in enumerate(columns)]
-    return one.select(F.inline(F.array(*rows)))
+    # one array needs one element type: answers are compared as text
+    pairs = F.array(*[F.struct(F.lit(c).alias("question"), _c(c).cast("string").alias("__a"))
+                      for c in columns])
+    long = df.select(F.inline(pairs))
+    return long.groupBy("question").agg(
+        *[F.count_if(F.col("__a") == F.lit(str(v))).alias(n) for n, v in answers.items()],
+        F.count(F.lit(1)).alias(total_col))
 
 
 def distinct_per_participant(df: DataFrame, participant: str, column: str,

@@ -36,19 +36,8 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 ORDER = ["ts", "event_id"]
 
 
-_TABLES: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table, loaded once per session: its schema is read from the
-    footer by a small Spark job, which later queries then skip."""
-    path = f"{sf_dir}/{name}.parquet"
-    hit = _TABLES.get((id(spark), path))
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = spark.read.parquet(path)
-    _TABLES[(id(spark), path)] = (spark, df)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +57,8 @@ def _sql_wide(value: str = "value", values=EVENT_TYPES) -> str:
     return f"SELECT user_id, CAST(ts AS DATE) AS day,\n    {cols}\n  FROM events GROUP BY 1, 2"
 
 
-def _md5_bucket_sql(key: str, seed: int = 123) -> str:
-    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8))::BIGINT % 1000)"
+def _md5_hash_sql(key: str, seed: int = 123) -> str:
+    return f"('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8))::BIGINT"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,15 +643,15 @@ def gamma_interval(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 @register("holdout_split", f"""
-SELECT o_orderkey, CASE WHEN {_md5_bucket_sql('o_orderkey')} < 500 THEN 'train' ELSE 'test' END AS split
+SELECT o_orderkey, CASE WHEN {_md5_hash_sql('o_orderkey')} < 2147483648 THEN 'train' ELSE 'test' END AS split
 FROM orders
 """)
 def holdout_split(spark, sf_dir):
     """M4 M9: 50/50 split on the key hash, seed 123."""
     o = table(spark, sf_dir, "orders")
     params = model.RegressionParams(fracTest=0.5, seed=123)
-    b = model.split_bucket("o_orderkey", params.seed)
-    cut = round(1000 * (1 - params.fracTest))
+    b = model.split_hash("o_orderkey", params.seed)
+    cut = model.first_hash_of_test(params.fracTest)
     return o.select("o_orderkey", F.when(b < cut, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
@@ -687,9 +676,9 @@ def ols_two(spark, sf_dir):
 
 
 @register("predict_rmse", f"""
-WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, {_md5_bucket_sql('l_orderkey')} AS b FROM lineitem),
-m AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM d WHERE b < 500),
-e AS (SELECT y - (m.i + m.s * x) AS err, y FROM d, m WHERE b >= 500)
+WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, {_md5_hash_sql('l_orderkey')} AS b FROM lineitem),
+m AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM d WHERE b < 2147483648),
+e AS (SELECT y - (m.i + m.s * x) AS err, y FROM d, m WHERE b >= 2147483648)
 SELECT count(*) AS n, round(sqrt(avg(err * err)), 4) AS rmse, round(avg(err * err), 0) AS mse,
        round(avg(abs(err)), 4) AS mae, round(1 - sum(err * err) / (var_pop(y) * count(*)), 6) AS r2 FROM e
 """)
@@ -697,9 +686,9 @@ def predict_rmse(spark, sf_dir):
     """M5 M6: fit on the train half, score the test half, all metrics in one pass."""
     li = table(spark, sf_dir, "lineitem")
     # Fit and evaluation read the data several times: project and bucket once.
-    data = model.fit_input(li.withColumn("b", model.split_bucket("l_orderkey", 123)),
+    data = model.fit_input(li.withColumn("b", model.split_hash("l_orderkey", 123)),
                            ["l_quantity", "l_extendedprice", "b"])
-    train, test = data.where("b < 500"), data.where("b >= 500")
+    train, test = data.where("b < 2147483648"), data.where("b >= 2147483648")
     fitted = model.fit_linear(train, ["l_quantity"], "l_extendedprice", model.RegressionParams(solver="normal"))
     m = model.regression_metrics(model.predict(fitted, test), "l_extendedprice")
     row = m.select("n", F.round("rmse", 4).alias("rmse"), F.round("mse", 0).alias("mse"),
@@ -715,7 +704,7 @@ def _model_table(spark, sf_dir) -> DataFrame:
 
 
 @register("cv_ols", f"""
-WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, {_md5_bucket_sql('l_orderkey')} % 3 AS fold FROM lineitem),
+WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, {_md5_hash_sql('l_orderkey')} % 3 AS fold FROM lineitem),
 m AS (SELECT f.fold, regr_slope(d.y, d.x) AS s, regr_intercept(d.y, d.x) AS i
       FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
 e AS (SELECT d.fold, sqrt(avg((d.y - (m.i + m.s * d.x)) * (d.y - (m.i + m.s * d.x)))) AS rmse

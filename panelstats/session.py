@@ -50,6 +50,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if sc is None or not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="panelstats-")
         if sc is not None:
             sc.setCheckpointDir(base)

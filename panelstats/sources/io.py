@@ -143,17 +143,15 @@ def r_name(name: str) -> str:
 
 def safe_names(df: DataFrame) -> DataFrame:
     """Rename every column as R's ``read.csv`` would (S7), de-duplicating with ``.1``, ``.2``."""
-    seen: dict[str, int] = {}
-    mapping = {}
+    names: list[str] = []
     for c in df.columns:
-        n = r_name(c)
-        if n in seen:
-            seen[n] += 1
-            n = f"{n}.{seen[n]}"
-        else:
-            seen[n] = 0
-        mapping[c] = n
-    return df.select([F.col(f"`{c}`").alias(n) for c, n in mapping.items()])
+        base = n = r_name(c)
+        k = 0
+        while n in names:  # a numbered name may itself be taken
+            k += 1
+            n = f"{base}.{k}"
+        names.append(n)
+    return df.toDF(*names)
 
 
 def col(name: str) -> Column:

@@ -65,10 +65,10 @@ def test_multi_column_forms_equal_single_column_forms(spark):
     assert means["a"] == stats.mean_of_distinct(df, "p", "a").first()[0]
 
 
-def test_answer_tally_grouped_form_equals_wide_form(spark, monkeypatch):
+def test_answer_tally_of_many_answers_equals_that_of_few(spark):
     df = _df(spark)
     answers = {"n_yes": "yes", "n_no": "no", "n_not_sure": "not sure", "n_na": "NA"}
-    wide = sorted(map(tuple, stats.answer_tally(df, ["t", "g", "a"], answers).collect()))
-    monkeypatch.setattr(stats, "WIDE_TALLY_LIMIT", 0)
-    grouped = sorted(map(tuple, stats.answer_tally(df, ["t", "g", "a"], answers).collect()))
-    assert grouped == wide
+    few = sorted(map(tuple, stats.answer_tally(df, ["t", "g", "a"], answers).collect()))
+    more = answers | {f"n_{i}": f"no such answer {i}" for i in range(100)}
+    many = stats.answer_tally(df, ["t", "g", "a"], more).select("question", *answers, "n_total")
+    assert sorted(map(tuple, many.collect())) == few
