@@ -169,7 +169,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     """
     rows = written(usable(vectors, key, vector).withColumn("vkey", F.xxhash64("vec")), "vectors")
     n = rows.count()
-    picked = rows.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    chosen = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)  # ids first, they are small
+    picked = rows.join(F.broadcast(chosen), "vec_id").select("vec_id", "vec").orderBy("vec_id").collect()
     x = np.array([r["vec"] for r in picked]) if picked else np.ones((1, 1))
     x = np.unique(x, axis=0)
     router = fit(x, min(MOST_PARTS, max(1, n // part_rows)), k)

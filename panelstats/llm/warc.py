@@ -125,9 +125,11 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, level: int = 3, folde
     """Writes all pages' records; returns the manifest (folder, file, n_records)."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
-    sample = (pick(pages, page_id="long", url="string", html="string")
-              .select("page_id", "url", F.substring("html", 1, DICT_RECORD_BYTES).alias("html"))
-              .orderBy(F.xxhash64("page_id", "url"), "page_id").limit(DICT_RECORDS).collect())
+    rows = pick(pages, page_id="long", url="string", html="string")
+    # ids first: every task sends its candidates to the driver
+    chosen = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_RECORDS).distinct()
+    sample = (rows.select("page_id", "url", F.substring("html", 1, DICT_RECORD_BYTES).alias("html"))
+              .join(F.broadcast(chosen), "page_id").dropDuplicates(["page_id"]).orderBy("page_id").collect())
     dictionary = build_dictionary([record(r["page_id"], r["url"] or "", (r["html"] or "").encode(), "response", None)
                                    for r in sample])
 
