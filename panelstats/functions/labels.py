@@ -47,7 +47,8 @@ def label_quality(df: DataFrame, c: str) -> DataFrame:
 
 
 def distinct_labels(df: DataFrame, c: str | Column) -> DataFrame:
-    """Distinct non-null labels (P12); partial aggregation before the shuffle."""
+    """Distinct labels (P12); partial aggregation before the shuffle.  A null label (no id or no
+    text) names no column and is left out."""
     return df.select(_c(c).alias("label")).where(F.col("label").isNotNull()).distinct()
 
 

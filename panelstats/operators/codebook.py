@@ -92,9 +92,14 @@ def score_answers(df: DataFrame, id_col: str, answer_col: str, rules: Sequence[O
     return joined.withColumn(out_col, score).drop(_ID, _ANSWER, _SCORE)
 
 
-def category_code(c: str | Column, book: Mapping[str, int], missing: int | None = -1) -> Column:
-    """``CASE c WHEN answer THEN code ... ELSE missing END``."""
+def _text(c: str | Column) -> Column:
     c = F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
+    return c.cast("string")
+
+
+def category_code(c: str | Column, book: Mapping[str, int], missing: int | None = -1) -> Column:
+    """``CASE c WHEN answer THEN code ... ELSE missing END`` (C7-C9); answers compare as text."""
+    c = _text(c)
     expr = None
     for answer, code in book.items():
         expr = (F.when(c == answer, F.lit(code)) if expr is None
@@ -104,36 +109,33 @@ def category_code(c: str | Column, book: Mapping[str, int], missing: int | None
     return expr.otherwise(F.lit(missing)).cast("int")
 
 
-# Books up to this many answers become CASE expressions; larger ones a broadcast lookup.
+# Books up to this many answers become CASE expressions; larger ones a lookup join.
+# Only the plan depends on it: comparison (as text), names and column order do not.
 CASE_LIMIT = 64
 
 
-def _lookup_code(df: DataFrame, column: str, book: Mapping[str, int], out: str,
-                 missing: int | None) -> DataFrame:
-    """Code a column through a broadcast join with its book (for large books)."""
-    spark = df.sparkSession
-    key, code = f"__book_answer_{out}", f"__book_code_{out}"
-    table = spark.createDataFrame(list(book.items()), f"`{key}` string, `{code}` int")
-    if len(book) <= MAX_BROADCAST_ENTRIES:
-        table = F.broadcast(table)
-    joined = df.join(table, df[column].cast("string") == table[key], "left")
-    return joined.withColumn(out, F.coalesce(F.col(code), F.lit(missing).cast("int"))).drop(key, code)
-
-
 def encode_categories(df: DataFrame, books: Mapping[str, Mapping[str, int]],
                       suffix: str = "_numeric", missing: int | None = -1,
                       names: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``<column><suffix>`` codes for every column in ``books`` in one projection.
 
     Answers not in the column's book, and nulls, get ``missing`` (-1 in the
-    reference; ``None`` keeps them null so models skip the row).  Books of up
-    to ``CASE_LIMIT`` answers are inlined as ``CASE`` (no join); a larger book
-    is joined as a broadcast table, its size being known here.
+    reference; ``None`` keeps them null so models skip the row).  Answers are
+    compared as text whatever the column's type.  Books of up to ``CASE_LIMIT``
+    answers are inlined as ``CASE`` (no join); a larger book is joined as a
+    table, broadcast while its size, known here, is small.
     """
     names = names or {}
-    small = {c: b for c, b in books.items() if len(b) <= CASE_LIMIT}
-    out = df.withColumns({names.get(c, c + suffix): category_code(c, b, missing) for c, b in small.items()})
-    for c, b in books.items():
-        if c not in small:
-            out = _lookup_code(out, c, b, names.get(c, c + suffix), missing)
-    return out
+    joined, codes = df, {}
+    for i, (c, book) in enumerate(books.items()):
+        out = names.get(c, c + suffix)
+        if len(book) <= CASE_LIMIT:
+            codes[out] = category_code(c, book, missing)
+            continue
+        key, code = f"__book_answer_{i}", f"__book_code_{i}"
+        table = df.sparkSession.createDataFrame(list(book.items()), f"{key} string, {code} int")
+        if len(book) <= MAX_BROADCAST_ENTRIES:
+            table = F.broadcast(table)
+        joined = joined.join(table, _text(c) == F.col(key), "left")
+        codes[out] = F.coalesce(F.col(code), F.lit(missing).cast("int"))
+    return joined.withColumns(codes).drop(*[f"__book_{x}_{i}" for i in range(len(books)) for x in ("answer", "code")])

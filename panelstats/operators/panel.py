@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import sorted_labels
+from ..sources.io import handover
 
 
 def _c(c: str | Column) -> Column:
@@ -59,25 +60,20 @@ def fits_broadcast(df: DataFrame, max_rows: int | None) -> bool:
     return max_rows is not None and df.count() <= max_rows
 
 
-def checked_broadcast(df: DataFrame, max_rows: int | None, cache: bool = False) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_rows: int | None, store: bool = False) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
 
     Only a side whose size is proven small is broadcast, and anything larger
     is left to a shuffle join.  ``max_rows=None`` skips the check and leaves
-    the choice to AQE's runtime statistics.  With ``cache`` the side is
-    persisted before counting, so an expensive derivation (an aggregate over
-    the raw table) runs once; the cache is released when the side is too
-    large, and otherwise holds at most ``max_rows`` rows for the join.
+    the choice to AQE's runtime statistics.  With ``store`` the side is
+    handed over as a table before counting, so an expensive derivation (an
+    aggregate over the raw table) runs once and nothing stays cached.
     """
     if max_rows is None:
         return df
-    if cache:
-        df = df.persist()
-    if fits_broadcast(df, max_rows):
-        return F.broadcast(df)
-    if cache:
-        df.unpersist()
-    return df
+    if store:
+        df = handover(df, "small_side")
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def salted_join(many: DataFrame, one: DataFrame, cond_keys: Sequence[tuple[str, str]], how: str,
@@ -130,7 +126,7 @@ def keep_participants(df: DataFrame, participant: str = "participantUUID",
     """
     kept = (assessments_per_participant(df, participant, assessment, out_col)
             .where(F.col(out_col) > min_exclusive))
-    kept = checked_broadcast(kept if with_count else kept.select(participant), broadcast_rows, cache=True)
+    kept = checked_broadcast(kept if with_count else kept.select(participant), broadcast_rows, store=True)
     return df.join(kept, participant, "inner" if with_count else "left_semi")
 
 
@@ -163,19 +159,28 @@ def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: s
     value by ``order`` (A2, A3).
 
     Deterministic replacement for ``first`` after a shuffle: the caller names a
-    total order, and ``min_by`` picks the value at its minimum.  One aggregate
-    over the key group with one conditional ``min_by`` per pivot value: a single
-    shuffle on the keys after map-side partial aggregation (Spark's ``pivot``
-    plans two).  Values not present in the data give all-null columns.
+    total order, and ``min_by`` picks the value at its minimum; a null order
+    key sorts after every other.  Two reductions: raw rows are reduced to one
+    per (keys, label) with a single ``min_by``, then the reduced rows are
+    spread over the columns.  A raw row costs the same however many labels
+    there are, and one key group's raw rows are split by label.  Without
+    ``values`` the labels are discovered, in binary order.  Values not present
+    in the data give all-null columns.
     """
     if values is None:
         values = sorted_labels(df, pivot_col)
     if not values:
         raise ValueError("pivot_first needs at least one pivot value")
-    ordering = _c(order[0]) if len(order) == 1 else F.struct(*[_c(o) for o in order])
+    ordering = F.struct(*[x for o in order for x in (_c(o).isNull(), _c(o))])
     p, v = _c(pivot_col), _c(value_col)
-    aggs = [F.min_by(v, F.when(p == val, ordering)).alias(val) for val in values]
-    return df.groupBy(*[_c(k) for k in keys]).agg(*aggs)
+    names = [f"__key{i}" for i in range(len(keys))]
+    cells = (df.groupBy(*[_c(k).alias(n) for k, n in zip(keys, names)],
+                        F.when(p.isin(list(values)), p).alias("__label"))
+             .agg(F.min_by(v, ordering).alias("__value")))
+    # one row per cell is left: a group's answers are a map of at most len(values) entries
+    entry = F.when(F.col("__label").isNotNull(), F.struct("__label", "__value"))
+    wide = cells.groupBy(*names).agg(F.map_from_entries(F.collect_list(entry)).alias("__cells"))
+    return wide.select(*names, *[F.try_element_at("__cells", F.lit(val)) for val in values]).toDF(*keys, *values)
 
 
 def pivot_agg(df: DataFrame, keys: Sequence[str], pivot_col: str, values: Sequence[str],

@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import composite_sum, first_non_null, or_missing, products, sparse_columns, value_or_text
-from ..functions.labels import clean_label, label_quality, question_key
+from ..functions.labels import clean_label, label_quality, question_key, sorted_labels
 from ..operators import association, model, panel, stats
 from ..operators.codebook import OrdinalRule, encode_categories, id_range, score_answers
 from ..session import shared_dir
-from ..sources.io import col, declared_schema, first_rows, profile, read_csv, run_sql, safe_names, write_table
+from ..sources.io import col, declared_schema, first_rows, handover, profile, read_csv, run_sql, safe_names, write_table
 
+# The event types of the driver's tables, for the columns of the SQL twins; the queries discover theirs.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 ORDER = ["ts", "event_id"]
 
@@ -46,8 +47,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", F.to_date("ts").alias("day"), "event_type", "value", "props", "ts", "event_id")
 
 
-def wide(spark: SparkSession, sf_dir: str, value: str = "value", values=EVENT_TYPES) -> DataFrame:
-    """One row per (user, day), one column per event type: earliest answer wins."""
+def wide(spark: SparkSession, sf_dir: str, value: str = "value", values=None) -> DataFrame:
+    """One row per (user, day), one column per event type found: earliest answer wins."""
     return panel.pivot_first(answers(spark, sf_dir), ["user_id", "day"], "event_type", value, ORDER, values)
 
 
@@ -92,8 +93,7 @@ def wide_scores(spark, sf_dir):
     # answers are shuffled once, already reduced to one value per cell, and a
     # hot user never sends raw rows to one task.
     w = panel.qualify_assessments(w, "user_id", "day", min_exclusive=25)
-    w = w.select("user_id", "day", *EVENT_TYPES,
-                 composite_sum(["click", "view"]).alias("click_view_score"))
+    w = w.select("*", composite_sum(["click", "view"]).alias("click_view_score"))
     return w.orderBy("user_id", "day")
 
 
@@ -132,6 +132,22 @@ def csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, schema=CUSTOMER_SCHEMA)
 
 
+@register("csv_inferred", """
+SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def csv_inferred(spark, sf_dir):
+    """The same file read with inferred column types (whole numbers become int)."""
+    path = shared_dir(spark, "csv_inferred")
+    write_table(table(spark, sf_dir, "customer").select(*CUSTOMER_SCHEMA.fieldNames()), path, fmt="csv")
+    return read_csv(spark, path)
+
+
+@register("parquet_handover", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def parquet_handover(spark, sf_dir):
+    """A table handed over through the shared folder as parquet."""
+    return handover(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"),
+                    "parquet_handover")
+
+
 @register("sql_view_lookup", """
 SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_type, value FROM events
 WHERE user_id = 7 AND CAST(ts AS DATE) = DATE '2024-01-16' AND event_type = 'click'
@@ -169,7 +185,9 @@ def first_rows_query(spark, sf_dir):
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
 
 
-@register("table_profile", "SELECT count(*) AS n_rows, 11 AS n_cols FROM lineitem")
+@register("table_profile", """
+SELECT count(*) AS n_rows, CAST(any_value(c.n) AS INTEGER) AS n_cols
+FROM lineitem, (SELECT count(*) AS n FROM (DESCRIBE lineitem)) c""")
 def table_profile(spark, sf_dir):
     """A5: row and column count."""
     return profile(table(spark, sf_dir, "lineitem"))
@@ -325,7 +343,7 @@ def value_or_text_query(spark, sf_dir):
 def sparse_columns_query(spark, sf_dir):
     """One column per question, the answer where the row's question matches."""
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", *sparse_columns("event_type", "value", EVENT_TYPES))
+    return e.select("event_id", "user_id", *sparse_columns("event_type", "value", sorted_labels(e, "event_type")))
 
 
 @register("answered_only", f"WITH w AS ({_sql_wide()}) SELECT * FROM w WHERE purchase IS NOT NULL")
@@ -439,6 +457,19 @@ def pivot_values(spark, sf_dir):
     return wide(spark, sf_dir, values=_PIVOT_LIST)
 
 
+_WIDE_LABELS = sorted(f"{t}_{i}" for t in EVENT_TYPES for i in range(22))
+
+
+@register("pivot_wide", "SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(
+    f"arg_min_null(value, (ts, event_id)) FILTER (WHERE event_type || '_' || (event_id % 22) = '{v}') AS {v}"
+    for v in _WIDE_LABELS) + " FROM events GROUP BY 1, 2")
+def pivot_wide(spark, sf_dir):
+    """Pivot with 110 discovered labels (event type and a question number)."""
+    a = answers(spark, sf_dir)
+    a = a.withColumn("label", F.concat("event_type", F.lit("_"), F.col("event_id") % 22))
+    return panel.pivot_first(a, ["user_id", "day"], "label", "value", ORDER)
+
+
 @register("pivot_max", """
 SELECT l_returnflag, max(l_quantity) FILTER (WHERE l_linestatus = 'F') AS "F",
        max(l_quantity) FILTER (WHERE l_linestatus = 'O') AS "O"

@@ -21,8 +21,10 @@ def q(spark):
 def test_flagship_one_raw_shuffle_no_join(q):
     p = plan(q("wide_scores"))
     hashes = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)
-    assert len(hashes) == 2  # raw cells on (user, day); the small wide table on user
-    assert "day" in hashes[-1] or "day" in hashes[0]
+    # raw answers on (user, day, label); cells on (user, day); the small wide table on user
+    assert len(hashes) == 3
+    keys = sorted(len(re.findall(r"#", h)) for h in hashes)
+    assert keys == [1, 2, 3]
     assert "Join" not in p
     assert p.count("FileScan parquet") == 1
 
@@ -62,3 +64,15 @@ def test_distinct_counts_are_two_level(q):
     p = plan(q("mean_assessments"))
     # distinct (user, day) is shuffled on both keys before counting per user
     assert re.search(r"Exchange hashpartitioning\(user_id#\d+L, day#\d+", p)
+
+
+def test_pivot_reduces_before_spreading(q):
+    p = plan(q("pivot_wide"))
+    # one min_by per raw row whatever the number of labels, then cells only
+    assert p.count("partial_min_by") == 1
+    assert p.count("FileScan parquet") == 1 and "Join" not in p
+
+
+def test_no_row_carrying_single_partition(q):
+    for name in ("kept_answers", "baseline_join"):
+        assert "SinglePartition" not in plan(q(name))

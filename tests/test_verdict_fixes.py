@@ -1,5 +1,8 @@
 """Defects found in review stay fixed."""
-from panelstats.operators import model, stats
+import pytest
+
+from panelstats.operators import model, panel, stats
+from panelstats.operators.codebook import encode_categories
 from panelstats.sources.io import safe_names
 
 
@@ -25,3 +28,34 @@ def test_terms_keep_level_texts_that_look_like_tokens(spark):
     df = spark.createDataFrame(rows, "y double, f string, x double")
     terms = {r["term"] for r in model.ols_summary(df, "y", ["f", "x"]).collect()}
     assert terms & {"f_v9v", "f_v0v"}
+
+
+@pytest.mark.parametrize("size", [64, 65])
+def test_category_books_of_every_size_agree(spark, size):
+    df = spark.createDataFrame([(1, 1.0, "a3"), (2, None, None), (3, 7.5, "zz")], "id int, `x.y` double, t string")
+    book = {"1": 7, "1.0": 8} | {f"a{i}": i for i in range(size - 2)}
+    out = encode_categories(df, {"x.y": book, "t": book})
+    assert out.columns == ["id", "x.y", "t", "x.y_numeric", "t_numeric"]
+    assert [tuple(r)[3:] for r in out.orderBy("id").collect()] == [(8, 3), (-1, -1), (-1, -1)]
+
+
+def test_pivot_null_order_keys_sort_last(spark):
+    df = spark.createDataFrame([(1, "q", "late", 5, 1), (1, "q", "unknown", None, 2), (2, "q", "only", None, 3)],
+                               "k int, p string, v string, t int, i int")
+    for order in (["t"], ["t", "i"]):
+        rows = panel.pivot_first(df, ["k"], "p", "v", order).orderBy("k").collect()
+        assert [r["q"] for r in rows] == ["late", "only"]
+
+
+def test_pivot_keeps_groups_without_a_listed_label(spark):
+    df = spark.createDataFrame([(1, "other", 1.0, 1), (2, None, 2.0, 1), (None, "q", 3.0, 1)],
+                               "k int, p string, v double, t int")
+    rows = panel.pivot_first(df, ["k"], "p", "v", ["t"], ["q", "Q"]).collect()
+    assert sorted((r[0] or 0, r[1]) for r in rows) == [(0, 3.0), (1, None), (2, None)]
+
+
+def test_keep_participants_leaves_no_cache(spark):
+    df = spark.createDataFrame([(u, d) for u in range(3) for d in range(u + 1)], "u int, d int")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert panel.keep_participants(df, "u", "d", 1, broadcast_rows=10).count() == 5
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
