@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -73,6 +74,15 @@ def holdout_split(df: DataFrame, key: Column | str, frac_test: float = 0.5,
 
 # -- fit, predict, evaluate ---------------------------------------------------
 
+@contextmanager
+def released(data: DataFrame):
+    """Releases the cache of ``data`` at the end, also when a fit fails."""
+    try:
+        yield data
+    finally:
+        data.unpersist()
+
+
 def fit_input(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns a multi-pass fit reads, persisted once.
 
@@ -171,8 +181,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: Colu
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid_maps, evaluator=ev,
                         numFolds=folds, foldCol="__fold", parallelism=parallelism, seed=params.seed)
-    cvm = cv.fit(data)
-    data.unpersist()
+    with released(data):
+        cvm = cv.fit(data)
     rows = []
     for m, score in zip(grid_maps, cvm.avgMetrics):
         vals = {p.name: v for p, v in m.items()}
@@ -230,32 +240,31 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
     formula = f"{token[label]} ~ {' + '.join(tokterms)}"
     rf = RFormula(formula=formula, featuresCol="features", labelCol="__label",
                   stringIndexerOrderType=factor_order, handleInvalid="error")
-    rf_model = rf.fit(data)
-    prepared = rf_model.transform(data)
-    lr = LinearRegression(featuresCol="features", labelCol="__label", solver="normal",
-                          regParam=0.0, fitIntercept=True)
-    m = lr.fit(prepared)
-    s = m.summary
-    # only the token that starts each part of a term stands for a column; levels keep their text
-    names = [re.sub(r"(^|:)v(\d+)v", lambda t: t.group(1) + used[int(t.group(2))], n) for n in _term_names(prepared)]
-    names.append("(Intercept)")
-    est = [float(v) for v in m.coefficients.toArray()] + [float(m.intercept)]
-    try:
-        se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
-    except Exception as error:  # singular design (aliased terms): R reports NA, so do we
-        if "available for this LinearRegressionModel" not in str(error):
-            raise
-        se = tv = pv = [None] * len(est)
-    num = lambda v: None if v is None else float(v)
-    rows = [(model_name or f"{label} ~ {' + '.join(terms)}", n, e, num(a), num(b), num(c), float(s.r2),
-             int(s.numInstances))
-            for n, e, a, b, c in zip(names, est, se, tv, pv)]
+    with nullcontext() if cached else released(data):
+        rf_model = rf.fit(data)
+        prepared = rf_model.transform(data)
+        lr = LinearRegression(featuresCol="features", labelCol="__label", solver="normal",
+                              regParam=0.0, fitIntercept=True)
+        m = lr.fit(prepared)
+        s = m.summary
+        # only the token that starts each part of a term stands for a column; levels keep their text
+        names = [re.sub(r"(^|:)v(\d+)v", lambda t: t.group(1) + used[int(t.group(2))], n) for n in _term_names(prepared)]
+        names.append("(Intercept)")
+        est = [float(v) for v in m.coefficients.toArray()] + [float(m.intercept)]
+        try:
+            se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
+        except Exception as error:  # singular design (aliased terms): R reports NA, so do we
+            if "available for this LinearRegressionModel" not in str(error):
+                raise
+            se = tv = pv = [None] * len(est)
+        num = lambda v: None if v is None else float(v)
+        rows = [(model_name or f"{label} ~ {' + '.join(terms)}", n, e, num(a), num(b), num(c), float(s.r2),
+                 int(s.numInstances))
+                for n, e, a, b, c in zip(names, est, se, tv, pv)]
     schema = T.StructType([T.StructField(n, t) for n, t in [
         ("model", T.StringType()), ("term", T.StringType()), ("estimate", T.DoubleType()),
         ("std_error", T.DoubleType()), ("t_value", T.DoubleType()), ("p_value", T.DoubleType()),
         ("r2", T.DoubleType()), ("n", T.LongType())]])
-    if not cached:
-        data.unpersist()
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -268,9 +277,9 @@ def interaction_models(df: DataFrame, label: str, covariates: Sequence[str], bas
     used = sorted({label, base, *covariates, *features})
     data = fit_input(df, used)  # one read for all models
     out = None
-    for f in features:
-        s = ols_summary(data, label, list(covariates) + [f"{base}:{f}"], model_name=f)
-        out = s if out is None else out.unionByName(s)
-    data.unpersist()
+    with released(data):
+        for f in features:
+            s = ols_summary(data, label, list(covariates) + [f"{base}:{f}"], model_name=f)
+            out = s if out is None else out.unionByName(s)
     return out
 

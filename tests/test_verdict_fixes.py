@@ -59,3 +59,13 @@ def test_keep_participants_leaves_no_cache(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     assert panel.keep_participants(df, "u", "d", 1, broadcast_rows=10).count() == 5
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_a_failed_fit_leaves_no_cache(spark):
+    empty = spark.createDataFrame([], "y double, x double, f double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for fit in (lambda: model.ols_summary(empty, "y", ["x"]),
+                lambda: model.interaction_models(empty, "y", ["x"], "x", ["f"])):
+        with pytest.raises(Exception):
+            fit()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
