@@ -180,7 +180,8 @@ def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: s
     # one row per cell is left: a group's answers are a map of at most len(values) entries
     entry = F.when(F.col("__label").isNotNull(), F.struct("__label", "__value"))
     wide = cells.groupBy(*names).agg(F.map_from_entries(F.collect_list(entry)).alias("__cells"))
-    return wide.select(*names, *[F.try_element_at("__cells", F.lit(val)) for val in values]).toDF(*keys, *values)
+    kind = cells.schema["__label"].dataType  # values may be given as text of another type
+    return wide.select(*names, *[F.try_element_at("__cells", F.lit(val).cast(kind)) for val in values]).toDF(*keys, *values)
 
 
 def pivot_agg(df: DataFrame, keys: Sequence[str], pivot_col: str, values: Sequence[str],

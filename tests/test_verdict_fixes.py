@@ -69,3 +69,9 @@ def test_a_failed_fit_leaves_no_cache(spark):
         with pytest.raises(Exception):
             fit()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_pivot_values_given_as_text_of_a_number(spark):
+    df = spark.createDataFrame([(1, 1, "a", 1), (1, 2, "b", 1), (2, 3, "c", 1)], "k int, p int, v string, t int")
+    rows = panel.pivot_first(df, ["k"], "p", "v", ["t"], ["1", "2"]).orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", "b"), (2, None, None)]
