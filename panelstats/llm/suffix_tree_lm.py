@@ -2,16 +2,20 @@
 
 A text is lower-cased (A-Z), cut into words, and read as the bytes of the words, one space
 between, and an end symbol.  Contexts are the last 0 to ``DEPTH`` bytes.  A context becomes
-a state of the tree if it is frequent enough and its next-symbol distribution diverges from
-that of the next shorter context; distributions are smoothed towards the shorter context's.
-Scoring uses the longest suffix that is a state at every byte.
-
-Counts come from all training documents: each task counts the (DEPTH + 1)-grams and words
-of its texts, and these are summed by key; shorter grams are sums of longer ones.  A
-context must make up ``LEAST_SHARE`` of all symbols, so there are at most 1 / LEAST_SHARE
-of each length whatever the corpus, and the tree fits the driver and every task.  It is
-made into an automaton (states closed under prefixes and suffixes), which texts run
-through many stretches at a time: a stretch needs the DEPTH bytes before it, no more.
+a state of the tree if its next-symbol distribution diverges from that of the next shorter
+context, and does so significantly: by ``DIVERGENCE`` nats a symbol and by ``SIGNIFICANT``
+nats over all its symbols, a number that does not depend on the corpus.  Distributions are
+smoothed towards the shorter context's.  Scoring uses the longest suffix that is a state at
+every byte.
+
+Counts come from all training documents, and every context of them is asked.  Documents are
+dealt into slices of about ``DEALT`` bytes; each task tells the words and the distinct
+(DEPTH + 1)-grams of its slices, and these are summed by key; shorter grams are sums of longer
+ones.  The tree is a table of one row per distinct gram, made length by length: a gram is
+joined with the gram without its oldest byte, and the grams of a context are looked at
+together.  At most 256 grams share a key in either, so no key is hot and the table may grow
+with the corpus.  The grams of each slice are joined with it, and what was found comes
+together with the slice's documents; nothing of the tree is on the driver.
 
 Word counts for the base score: words that make up ``COMMON_SHARE`` of the tokens (at most
 1 / COMMON_SHARE of them) are known to every task; the others, none of which can be a hot
@@ -31,17 +35,29 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, pick, slices, texts, written
+from .common import LOWER_BYTES, slices, texts, written
 
-DEPTH, LEAST_SHARE, DIVERGENCE = 5, 2e-5, 0.002
+DEPTH, DIVERGENCE, SIGNIFICANT = 5, 0.002, 5.0
 COMMON_SHARE = 2e-6
 END = 10  # a line feed, which no word holds
-SLICE, STRETCH = 1_500_000, 256
-WORDS_HELD, GRAMS_HELD = 150_000, 1_500_000
+SLICE, DEALT, STRETCH = 1_500_000, 24_000_000, 256
+WORDS_HELD, GRAMS_HELD = 150_000, 2_000_000
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder; what was shuffled on the way there is released at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return written(df, name, "zstd")
+    finally:
+        conf.set(key, before)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -62,16 +78,21 @@ def stream_of(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(parts), np.uint8), np.array(start, np.int64), np.array(stop, np.int64)
 
 
-def grams_of(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (depth + 1)-grams as integers, the symbol in the low byte, and their counts."""
-    data, start, stop = stream_of(docs, depth)
+def codes_of(data: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The (depth + 1)-gram that ends at each byte as an integer, the symbol in the low byte."""
     code = data.astype(np.int64)
     for k in range(1, depth + 1):
         code[k:] |= data[:-k].astype(np.int64) << (8 * k)
+    return code
+
+
+def grams_of(docs: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (depth + 1)-grams as integers, the symbol in the low byte, and their counts."""
+    data, start, stop = stream_of(docs, depth)
     mark = np.zeros(len(data) + 1, np.int8)
     np.add.at(mark, start, 1)
     np.add.at(mark, stop, -1)
-    return np.unique(code[np.cumsum(mark[:-1]) > 0], return_counts=True)
+    return np.unique(codes_of(data, depth)[np.cumsum(mark[:-1]) > 0], return_counts=True)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,38 +101,53 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word binary, gram long, n): counts of all words and grams of the texts; the row with
-    neither counts the documents."""
-    names = ["word", "gram", "n"]
+    """Of (doc_id, text, held_out) rows of three kinds.
+
+    With ``row``: every document, with its slice.  With ``gram``: each slice's distinct grams and
+    how often the slice's training documents have them, 0 for those of held-out documents only.
+    With ``word``: counts of the words of training documents.
+    """
+    schema = "slice long, row long, doc_id long, held_out boolean, text string, word binary, gram long, n long"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def told(size, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t)
+                                           for c, t in zip(names, types, strict=True)], names=names)
 
-    def told(words=(), grams=None):
-        if words:
-            n = pa.array(list(words.values()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(n), pa.int64()), n], names=names)
-        if grams is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(grams[0]), pa.binary()), pa.array(grams[0]), pa.array(grams[1])], names=names)
+    def of_slice(number, grams):
+        code, n = merged(grams)
+        return told(len(code), slice=np.full(len(code), number), gram=code, n=n)
 
     def run(batches):
-        words, grams, n = Counter(), [], 0
+        row = number = TaskContext.get().partitionId() << 33
+        words, grams, held = Counter(), [], 0
         for batch in slices(batches, "text", SLICE):
-            own = [words_of(t) for t in texts(batch).to_pylist()]
-            n += len(own)
-            for w in own:
+            text = texts(batch)
+            own = [words_of(t) for t in text.to_pylist()]
+            out = batch.column(2).fill_null(True).to_pylist()
+            yield told(len(own), slice=np.full(len(own), number), row=np.arange(row, row + len(own)), doc_id=batch.column(0),
+                       held_out=batch.column(2), text=text.cast(pa.string()))
+            row += len(own)
+            learned = [w for w, o in zip(own, out, strict=True) if not o]
+            for w in learned:
                 words.update(w)
-            grams.append(grams_of(own, depth))
-            if len(words) > WORDS_HELD:
-                yield from told(words=words)
-                words = Counter()
+            code, _ = grams_of([w for w, o in zip(own, out, strict=True) if o], depth)
+            grams += [grams_of(learned, depth), (code, np.zeros(len(code), np.int64))]
             if sum(len(g[0]) for g in grams) > GRAMS_HELD:
                 grams = [merged(grams)]
-                if len(grams[0][0]) > GRAMS_HELD // 2:
-                    yield from told(grams=grams.pop())
-        yield from told(words, merged(grams) if grams else None)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64())], names=names)
+            if len(words) > WORDS_HELD:
+                yield told(len(words), word=list(words), n=list(words.values()))
+                words = Counter()
+            held += text.nbytes
+            if held >= DEALT:
+                yield of_slice(number, grams)
+                grams, held, number = [], 0, number + 1
+        if grams:
+            yield of_slice(number, grams)
+        yield told(len(words), word=list(words), n=list(words.values()))
 
-    found = pick(docs, text="string").mapInArrow(run, "word binary, gram long, n long")
-    return found.groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, schema)
 
 
 @dataclass
@@ -123,8 +159,10 @@ class Tree:
     depth: int
 
 
-def build(contexts: dict[tuple[int, int], dict[int, int]], depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
-    """The automaton of (length, context) -> {next byte: count}; (0, 0) is the root."""
+def build(contexts: dict[tuple[int, int], dict[int, int]], depth: int = DEPTH, divergence: float = DIVERGENCE,
+          significant: float = SIGNIFICANT) -> Tree:
+    """The tree as an automaton in one process, for small corpora; tests compare ``smoothed`` with it.
+    Takes (length, context) -> {next byte: count}; (0, 0) is the root."""
     root = contexts.get((0, 0), {})
     seen = sorted(root)
     symbol = np.full(256, len(seen), np.int64)
@@ -156,7 +194,7 @@ def build(contexts: dict[tuple[int, int], dict[int, int]], depth: int = DEPTH, d
         total, kinds = own.sum(), (own > 0).sum()
         p = own / total
         on = own > 0
-        if (p[on] * np.log(p[on] / base[on])).sum() >= divergence:
+        if (p[on] * np.log(p[on] / base[on])).sum() >= max(divergence, significant / total):
             smooth[key] = (own + kinds * base) / (total + kinds)
             kept.add(key)
     states, todo = {(0, 0)}, list(kept)
@@ -211,21 +249,40 @@ def log_probabilities(tree: Tree, docs: list[list[bytes]]) -> np.ndarray:
     return sums
 
 
-def frequent_contexts(grams: DataFrame, total: int, depth: int = DEPTH, share: float = LEAST_SHARE) -> dict:
-    """(length, context) -> {next byte: count} of the contexts that make up ``share`` of all symbols."""
-    def context(k: Column) -> Column:
-        return F.shiftright("gram", 8).bitwiseAND(F.expr("shiftleft(1L, 8 * k) - 1"))
+def smoothed(grams: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, significant: float = SIGNIFICANT) -> DataFrame:
+    """(gram, log_p): log10 probability of each gram's symbol after the longest suffix of its
+    context that is a state; of (gram, n), n being 0 for grams to score but not to learn from."""
+    symbols = grams.agg(F.sum("n")).first()[0] or 0
+
+    def shorter(k: int) -> DataFrame:  # grams of a context of k bytes
+        return grams.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
 
-    sums = (grams.select("gram", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"))
-            .select("k", context(F.col("k")).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("b"), "n")
-            .groupBy("k", "context", "b").agg(F.sum("n").alias("n")))
-    sums = written(sums, "contexts")
-    often = sums.groupBy("k", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, share * total))
-    out: dict = {}
-    # at most (depth + 1) / share contexts, of at most 256 rows each
-    for r in sums.join(F.broadcast(often.drop("all")), ["k", "context"]).collect():
-        out.setdefault((r["k"], r["context"]), {})[r["b"]] = r["n"]
-    return out
+    out = shorter(0).select("gram", ((F.col("n") + 1) / F.lit(float(symbols + 256))).alias("p"))
+    # both keys below have at most 256 rows each; in order, for equal sums at every run
+    context = Window.partitionBy("context").orderBy("gram").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for k in range(1, depth + 1):
+        own = (shorter(k) if k < depth else grams).withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * k) - 1))
+        rows = (own.join(out.select(F.col("gram").alias("suffix"), F.col("p").alias("base")), "suffix")
+                .withColumn("context", F.shiftright("gram", 8)))
+        seen = F.when(F.col("n") > 0, F.col("n"))
+        rows = (rows.withColumn("total", F.sum("n").over(context)).withColumn("kinds", F.count(seen).over(context))
+                .withColumn("sum", F.sum(seen * F.log(seen / F.col("base"))).over(context)))
+        gain = F.col("sum") - F.col("total") * F.log(F.col("total"))
+        state = (F.col("total") > 0) & (gain >= F.greatest(F.lit(significant), F.lit(divergence) * F.col("total")))
+        p = (F.col("n") + F.col("kinds") * F.col("base")) / (F.col("total") + F.col("kinds"))
+        out = rows.select("gram", F.when(state, p).otherwise(F.col("base")).alias("p"))
+    return out.select("gram", F.log10("p").alias("log_p"))
+
+
+def looked_up(docs: list[list[bytes]], grams: pa.Array, log_p: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 probability of each document; ``grams`` holds all of theirs, each once."""
+    data, start, stop = stream_of(docs, depth)
+    per = np.zeros(len(data) + 1)
+    for a in range(0, len(data), SLICE):
+        code = codes_of(data[max(0, a - depth):a + SLICE], depth)[min(a, depth):]
+        # what ends in the padding is in no document
+        per[a:a + len(code)] = log_p.take(pc.index_in(pa.array(code), value_set=grams).fill_null(0).to_numpy())
+    return np.add.reduceat(per, np.stack([start, stop], 1).ravel())[::2]
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
@@ -233,23 +290,23 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     learns from the documents that are not held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    counts = written(count(rows.where(~F.col("held_out")), depth), "counts")
-    words = counts.where("word is not null").select("word", "n")
-    n_docs = counts.where("word is null and gram is null").agg(F.sum("n")).first()[0] or 0
+    counts = stored(count(rows, depth), "counts")
+    dealt = counts.where("row is not null").select("slice", "row", "doc_id", "held_out", "text")
+    words = stored(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n_docs = dealt.where(~F.col("held_out")).count()
     told = words.agg(F.sum("n"), F.count("*")).first()
     total, kinds = (told[0] or 0) + n_docs, told[1] + (n_docs > 0)
-    grams = counts.where("gram is not null").select("gram", "n")
-    symbols = grams.agg(F.sum("n")).first()[0] or 0
-    tree = build(frequent_contexts(grams, symbols, depth), depth)
+    own_grams = counts.where("gram is not null").select("slice", "gram", "n")
+    tree = stored(smoothed(stored(own_grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams"), depth), "tree")
     often = COMMON_SHARE * total
     common = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= often).collect()}  # at most 1 / COMMON_SHARE
-    shared = spark.sparkContext.broadcast((tree, common))
+    shared = spark.sparkContext.broadcast(common)
 
-    def run(batches):
-        tree, common = shared.value
-        logs = {w: log10(n + 1) for w, n in common.items()}
-        at = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text", SLICE):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        logs = {w: log10(n + 1) for w, n in shared.value.items()}
+        grams, log_p = found["gram"].combine_chunks(), found["log_p"].to_numpy()
+        out = []
+        for batch in slices(docs.to_batches(), "text", SLICE):
             own = [words_of(t) for t in texts(batch).to_pylist()]
             known, sums, rare = [], [], []
             for ws in own:
@@ -267,16 +324,17 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
             sizes = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()),
                                                 pa.array([n for r in rare for _, n in r], pa.int64())], names=["word", "m"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(at, at + len(own))), batch.column(0), batch.column(2),
+            out.append(pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")),
                  pa.array([len(w) + 1 for w in own], pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()),
-                 pa.array(log_probabilities(tree, own)), pa.ListArray.from_arrays(pa.array(sizes), pairs)],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "sums", "score", "rare"])
-            at += len(own)
+                 pa.array(looked_up(own, grams, log_p, depth)), pa.ListArray.from_arrays(pa.array(sizes), pairs)],
+                names=["row", "doc_id", "held_out", "n_tokens", "known", "sums", "score", "rare"]))
+        return pa.Table.from_batches(out)
 
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, "
               "rare array<struct<word: binary, m: long>>")
-    scored = written(rows.mapInArrow(run, schema), "scored")
+    found = own_grams.select(F.col("slice").alias("of"), "gram").join(tree, "gram").select("of", "gram", "log_p")
+    scored = stored(dealt.groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(run, schema), "scored")
     rest = words.where(F.col("n") < often)
     found = (scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m").join(rest, "word")
              .groupBy("row").agg(F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("more_sums")))

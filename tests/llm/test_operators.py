@@ -290,3 +290,18 @@ def test_similar_sets_share_a_signature():
                 y = np.unique(np.concatenate([x[lost:], rng.integers(0, 1 << 62, max(0, len(x) // 7 - lost)).astype(np.uint64)]))
                 if 0 < len(np.setxor1d(x, y)) and partenum_join.similar(x, y):
                     assert np.intersect1d(partenum_join.signatures(x), partenum_join.signatures(y)).size
+
+
+def test_suffix_tree_asks_every_context(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega", "q"]) for _ in range(6000)) for _ in range(14)]
+    texts += ["qzxvk " * 6, "Qzxvk qzxvé", None, "unseen 漢字 qzxvj"]  # 7 of half a million symbols
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["score"] for x in suffix_tree_lm.score(df, F.col("doc_id") == len(texts) - 1).collect()}
+    words = [suffix_tree_lm.words_of(t or "") for t in texts]
+    contexts = collections.defaultdict(collections.Counter)
+    for g, n in zip(*suffix_tree_lm.grams_of(words[:-1]), strict=True):
+        for d in range(6):
+            contexts[d, (int(g) >> 8) & ((1 << 8 * d) - 1)][int(g) & 255] += int(n)
+    want = suffix_tree_lm.log_probabilities(suffix_tree_lm.build(contexts), words)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-6)
