@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe,
     crf_language,
+    filter_audit,
     learned_partitions,
     ngram_ratio,
     ordinal_quality,
@@ -94,3 +95,11 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.join(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op13_filter_audit"] = filter_audit.oracle()
