@@ -16,6 +16,7 @@ from . import (
     ordinal_quality,
     packing,
     partenum_join,
+    simhash_vptree,
     suffix_tree_lm,
     token_planes,
     warc,
@@ -97,6 +98,11 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.join(table(spark, sf_dir, "documents"))
 
 
+@register
+def op12_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vptree.join(table(spark, sf_dir, "documents"))
+
+
 @register
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
