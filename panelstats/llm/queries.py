@@ -12,6 +12,7 @@ from . import (
     crf_language,
     filter_audit,
     learned_partitions,
+    lexical_buckets,
     ngram_ratio,
     ordinal_quality,
     packing,
@@ -98,6 +99,14 @@ def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.join(table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_lexical_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_buckets.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE_SQL["op11_lexical_buckets"] = lexical_buckets.ORACLE_SQL
+
+
 @register
 def op12_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.join(table(spark, sf_dir, "documents"))

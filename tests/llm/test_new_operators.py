@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from panelstats.llm import filter_audit, simhash_vptree
+from panelstats.llm import filter_audit, lexical_buckets, simhash_vptree
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, source string, fp string, n long, component string, label int, score double"
@@ -42,6 +42,72 @@ def variants(seed=5):
     return rows
 
 
+# -- operator 11 ---------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_search(rows, items, k):
+    counted = [(i, collections.Counter(TERM.findall(lowered(t)))) for i, t, _ in rows]
+    counted = [(i, c) for i, c in counted if c]
+    n_docs, total = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = collections.Counter(t for _, c in counted for t in c)
+    asked = collections.defaultdict(set)
+    for i, t in items:
+        asked[i] |= set(TERM.findall(lowered(t)))
+    out = []
+    for item, terms in asked.items():
+        scores = []
+        for i, c in counted:
+            m = 10 + 90 * sum(c.values()) * n_docs // total
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if c[t])
+            if s > 0:
+                scores.append((-s, i is None, i or 0))
+        out += [(item, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("bucket", "seeds", "block"), [(2048, 4096, 10**6), (16, 8, 10**6), (7, 1, 150)])
+def test_lexical_search_equals_brute_force(spark, monkeypatch, bucket, seeds, block):
+    for name, value in (("BUCKET", bucket), ("SEED_ROWS", seeds), ("BLOCK_TERMS", block)):
+        monkeypatch.setattr(lexical_buckets, name, value)
+    r = random.Random(4)
+    rare = [f"t{i}" for i in range(300)]
+    rows = variants() + [(1000 + i, " ".join(r.choice(rare) for _ in range(r.randrange(1, 120))), "a") for i in range(400)]
+    rows += [(2000 + i, "same words T1 t2-t3", "a") for i in range(30)] + [(2000, "t5 " * 3000, "b"), (None, "t1 t2 t7", "c")]
+    items = [(0, "T1, t2 & t3 t4"), (1, "alpha beta \u00e9psilon"), (2, None), (3, "?!"), (4, "nowhere"), (5, "t9"), (5, "T10 t9"), (None, "t1 t7"),
+             (6, " ".join(rare)), (7, "same same words")]
+    asked = spark.createDataFrame([(*x, 1, 2) for x in items], "item_id long, text string, rank int, score long")
+    got = lexical_buckets.search(frame(spark, rows), asked, k=10)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_search(rows, items, 10)
+    assert lexical_buckets.search(frame(spark, rows).limit(0), asked).count() == 0
+    assert lexical_buckets.search(frame(spark, rows), asked.limit(0)).count() == 0
+
+
+def test_lexical_bounds_prune_and_lose_nothing():
+    """The scan's answer is that of rescoring every vector, though bounds leave few to rescore."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    n, width = 3000, 200
+    terms = [np.sort(r.choice(width, 12, replace=False)).astype(np.int32) for _ in range(n)]
+    value = [r.integers(1, 10**6, 12) for _ in range(n)]
+    norm = np.array([np.sqrt((v.astype(float) ** 2).sum()) for v in value])
+    order = np.argsort(-norm)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(order), pa.array(norm[order]), lexical_buckets.ragged(np.concatenate([terms[i] for i in order]), np.full(n, 12)),
+         lexical_buckets.ragged(np.concatenate([value[i] for i in order]), np.full(n, 12))], names=["doc_id", "norm", "terms", "impacts"])
+    weight = r.integers(1, 13_000, width)
+    queries = lexical_buckets.Queries([0, 1], [np.array([3, 5, 8]), np.arange(0, 60)], weight, 10)
+    got = next(queries.scan([batch.slice(0, 1500), batch.slice(1500)])).to_pydict()
+    for q, asked in enumerate(queries.terms):
+        w = np.zeros(width, np.int64)
+        w[asked] = weight[asked]
+        scores = sorted(((-int((w[terms[i]] * value[i]).sum()), i) for i in range(n)))[:10]
+        assert [(s, d) for x, d, s in zip(got["item"], got["doc_id"], got["score"], strict=True) if x == q] == [(-s, i) for s, i in scores]
+
+
 # -- operator 12 ---------------------------------------------------------------
 
 def plain_fingerprint(text):
