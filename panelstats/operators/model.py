@@ -1,26 +1,28 @@
-"""Regression operators on Spark ML.
+"""Regression operators.
 
-Fitting is distributed (the normal-equation solver aggregates X'X in one pass;
-L-BFGS aggregates gradients per iteration); only the k x k solve and the
-coefficients live on the driver.  Results come back as small DataFrames.
+The pipeline fit is Spark ML's (the normal-equation solver aggregates X'X in one
+pass; L-BFGS aggregates gradients per iteration).  Cross-validation and the
+models with inference work on additive moments from one scan
+(:mod:`.moments`); only k x k matrices and coefficients live on the driver.
+Results come back as small DataFrames.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-from contextlib import contextmanager, nullcontext
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import RFormula, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import moments
+
 
 @dataclass(frozen=True)
 class RegressionParams:
@@ -74,15 +76,6 @@ def holdout_split(df: DataFrame, key: Column | str, frac_test: float = 0.5,
 
 # -- fit, predict, evaluate ---------------------------------------------------
 
-@contextmanager
-def released(data: DataFrame):
-    """Releases the cache of ``data`` at the end, also when a fit fails."""
-    try:
-        yield data
-    finally:
-        data.unpersist()
-
-
 def fit_input(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns a multi-pass fit reads, persisted once.
 
@@ -163,39 +156,94 @@ def param_grid(lr: LinearRegression, params: RegressionParams = RegressionParams
     return out
 
 
+def _named(grid_map: dict) -> dict:
+    """A parameter map keyed by names, from one keyed by names or by ML parameters."""
+    return {getattr(p, "name", p): v for p, v in grid_map.items()}
+
+
+def _whole_rows(groups: dict, folds: int, width: int) -> list[moments.Moments]:
+    """Moments per fold over the rows that have every column (others are skipped, as by the assembler)."""
+    whole = (False,) * width
+    return [groups.get((f, whole), moments.total([], width)) for f in range(folds)]
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: Column | str,
                    grid_maps: list[dict] | None = None,
-                   params: RegressionParams = RegressionParams(), folds: int = 3, parallelism: int = 4,
+                   params: RegressionParams = RegressionParams(), folds: int = 3,
                    metric: str = "rmse") -> tuple[DataFrame, dict]:
-    """k-fold cross-validation over a grid.
-
-    Folds come from the key hash (``foldCol``), so they do not depend on the
-    partitioning.  Returns one row per parameter map with its average metric,
-    and the best model's parameters.
+    """k-fold cross-validation over a grid (M8, M13), from one scan of the table.
+
+    The scan leaves the moments of each fold (:mod:`.moments`).  A fold's training moments
+    are the sum of the other folds', every parameter map is fitted on them, and the held-out
+    error is a quadratic form of the fold's own moments, so the cost does not depend on the
+    number of maps.  Only ``mae`` is no such form: it takes one more scan, for all maps.
+
+    Folds come from the key hash, so they do not depend on the partitioning; a fold without
+    rows is left out of the averages.  Maps without an L1 part are solved directly; with one,
+    coordinate descent runs ``maxIter`` sweeps at most, down to ``tol``.  Rows with a missing
+    feature or label are skipped.  Returns one row per parameter map with its average metric,
+    and the best map's parameters (ties: the first) with its fit on all rows.
     """
-    lr = linear_regression(label, params)
-    pipe = Pipeline(stages=[assembler(features), lr])
-    grid_maps = grid_maps if grid_maps is not None else param_grid(lr, params)
-    data = fit_input(df.withColumn("__fold", (split_hash(key, params.seed) % folds).cast("int")),
-                     [*dict.fromkeys([*features, label]), "__fold"])
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid_maps, evaluator=ev,
-                        numFolds=folds, foldCol="__fold", parallelism=parallelism, seed=params.seed)
-    with released(data):
-        cvm = cv.fit(data)
-    rows = []
-    for m, score in zip(grid_maps, cvm.avgMetrics):
-        vals = {p.name: v for p, v in m.items()}
-        rows.append((float(vals.get("regParam", params.regParam)), int(vals.get("maxIter", params.maxIter)),
-                     float(vals.get("elasticNetParam", params.elasticNetParam)),
-                     bool(vals.get("standardization", params.standardParam)),
-                     float(vals.get("tol", params.tol)), float(score)))
-    spark = df.sparkSession
-    res = spark.createDataFrame(rows, "regParam double, maxIter int, elasticNetParam double, "
-                                      f"standardization boolean, tol double, avg_{metric} double")
-    best = cvm.bestModel.stages[-1]
-    best_params = {p.name: v for p, v in best.extractParamMap().items()}
-    return res, best_params
+    if metric not in ("rmse", "mse", "r2", "mae"):
+        raise ValueError("metric must be rmse, mse, r2 or mae")
+    if grid_maps is None:
+        grid_maps = param_grid(linear_regression(label, params), params)
+    named = [_named(m) for m in grid_maps]
+    full = [dict(regParam=float(m.get("regParam", params.regParam)), maxIter=int(m.get("maxIter", params.maxIter)),
+                 elasticNetParam=float(m.get("elasticNetParam", params.elasticNetParam)),
+                 standardization=bool(m.get("standardization", params.standardParam)),
+                 tol=float(m.get("tol", params.tol))) for m in named]
+    columns = [*features, label]
+    fold = (split_hash(key, params.seed) % folds).cast("int")
+    groups = moments.by_group(df, {i: moments.present(c) for i, c in enumerate(columns)}, {"fold": fold})
+    parts = _whole_rows(groups, folds, len(columns))
+    if sum(bool(p.n) for p in parts) < 2:
+        raise ValueError("cross-validation needs rows in two folds at least")
+
+    def fitted(m: dict, of: moments.Moments):
+        return moments.fit(of, m["regParam"], m["elasticNetParam"], m["standardization"], params.fitIntercept,
+                           m["maxIter"], m["tol"])
+
+    held = [f for f in range(folds) if parts[f].n]
+    train = {f: moments.total((p for g, p in enumerate(parts) if g != f), len(columns)) for f in held}
+    models = [{f: fitted(m, train[f]) for f in held} for m in full]
+    if metric == "mae":
+        errors = _mean_absolute_errors(df, columns, fold, models)
+    else:
+        errors = [{f: _error(parts[f], *one[f], metric) for f in held} for one in models]
+    scores = [sum(e.values()) / len(e) for e in errors]
+
+    rows = [(*m.values(), float(s)) for m, s in zip(full, scores)]
+    res = df.sparkSession.createDataFrame(rows, "regParam double, maxIter int, elasticNetParam double, "
+                                                f"standardization boolean, tol double, avg_{metric} double")
+    best = (max if metric == "r2" else min)(range(len(scores)), key=scores.__getitem__)
+    w, b = fitted(full[best], moments.total(parts, len(columns)))
+    return res, full[best] | {"fitIntercept": params.fitIntercept, "coefficients": w.tolist(), "intercept": b}
+
+
+def _error(m: moments.Moments, w, b: float, metric: str) -> float:
+    sse = max(moments.squared_error(m, w, b), 0.0)
+    if metric == "r2":
+        spread = m.scatter[-1, -1]
+        return float(1 - sse / spread) if spread else float("nan")
+    return (sse / m.n) ** (0.5 if metric == "rmse" else 1)
+
+
+def _mean_absolute_errors(df: DataFrame, columns: Sequence[str], fold: Column, models: list[dict]) -> list[dict]:
+    """Held-out mean absolute error of every model and fold, from one scan."""
+    data = df.select(*[moments.present(c).alias(f"v{i}") for i, c in enumerate(columns)], fold.alias("fold")).na.drop()
+
+    def residual(w, b) -> Column:
+        return F.col(f"v{len(w)}") - sum((F.lit(float(x)) * F.col(f"v{i}") for i, x in enumerate(w)), F.lit(float(b)))
+
+    def of_fold(one: dict) -> Column:
+        err = F.lit(None).cast("double")
+        for f, (w, b) in one.items():
+            err = F.when(F.col("fold") == f, F.abs(residual(w, b))).otherwise(err)
+        return F.avg(err)
+
+    rows = data.groupBy("fold").agg(*[of_fold(one).alias(f"e{i}") for i, one in enumerate(models)]).collect()
+    return [{r["fold"]: r[f"e{i}"] for r in rows if r["fold"] in one} for i, one in enumerate(models)]
 
 
 def explain_params(stage) -> DataFrame:
@@ -208,13 +256,95 @@ def explain_params(stage) -> DataFrame:
 
 # -- OLS with inference (the R analyses) ------------------------------------
 
-def _term_names(df: DataFrame, features_col: str = "features") -> list[str]:
-    meta = df.schema[features_col].metadata.get("ml_attr", {})
-    attrs = [a for group in meta.get("attrs", {}).values() for a in group]
-    names = [""] * meta.get("num_attrs", len(attrs))
-    for a in attrs:
-        names[a["idx"]] = a.get("name", f"x{a['idx']}")
-    return names
+def _design(terms: Sequence[str], levels: dict[str, list]) -> list[tuple[str, dict[str, str], list[str]]]:
+    """The model's columns: (name, factor levels that it asks for, its numeric parts).
+
+    A factor term has a column per level but the last of its order; in a product every level
+    of a factor counts, since the product enters without main effects.
+    """
+    out = []
+    for term in terms:
+        parts = term.split(":")
+        columns = [("", {}, [])]
+        for p in parts:
+            if p not in levels:
+                more = [(p, {}, [p])]
+            else:
+                kept = levels[p][:-1] if len(parts) == 1 else levels[p]
+                more = [(f"{p}_{v}", {p: v}, []) for v in kept]
+            # a factor asked for two different levels at once never is: such a column is left out
+            columns = [(f"{a}:{b}" if a else b, f | g, x + y) for a, f, x in columns for b, g, y in more
+                       if all(f[k] == v for k, v in g.items() if k in f)]
+        out += columns
+    return out
+
+
+def least_squares_models(df: DataFrame, label: str, models: Mapping[str, Sequence[str]],
+                         factor_order: str = "alphabetDesc") -> DataFrame:
+    """Ordinary least squares with inference for several models of one label, from one scan.
+
+    The scan leaves the moments of all models' numeric columns and products per combination
+    of factor levels; each model's cross-products are put together from those cells, with
+    exactly the rows that have every column it uses (R's ``na.omit``).  A term that the terms
+    before it explain is aliased: it has null figures, as R's NA, and the others are fitted
+    without it.  Output: model, term, estimate, std_error, t_value, p_value, r2, n.
+    """
+    orders = {"alphabetDesc": (lambda c: c[0], True), "alphabetAsc": (lambda c: c[0], False),
+              "frequencyDesc": (lambda c: (-c[1], c[0]), False), "frequencyAsc": (lambda c: (c[1], c[0]), False)}
+    if factor_order not in orders:
+        raise ValueError(f"factor_order must be one of {sorted(orders)}")
+    used = [*dict.fromkeys(p for terms in models.values() for t in terms for p in t.split(":"))]
+    factors = [c for c in used if isinstance(df.schema[c].dataType, T.StringType)]
+    numeric = {":".join(x): x for terms in models.values() for t in terms
+               if (x := [p for p in t.split(":") if p not in factors])}
+    names = [*numeric, None]  # the label comes last
+    columns = {}
+    for k, parts in numeric.items():
+        product = moments.present(parts[0])
+        for p in parts[1:]:
+            product = product * moments.present(p)
+        columns[k] = product
+    cells = moments.by_group(df, columns | {None: moments.present(label)}, {f: _quoted(f) for f in factors})
+
+    rows = []
+    for name, terms in models.items():
+        own = {p for t in terms for p in t.split(":")}
+        keys = {":".join(x) for t in terms if (x := [p for p in t.split(":") if p not in factors])} | {None}
+        mine = {k: m for k, m in cells.items()
+                if not any(gone and c in keys for c, gone in zip(names, k[-1]))
+                and all(v is not None for f, v in zip(factors, k) if f in own)}
+        if not mine:
+            raise ValueError(f"no rows to fit in model {name}")
+        levels = {}
+        for at, f in enumerate(factors):
+            if f in own:
+                counts: dict = {}
+                for k, m in mine.items():
+                    counts[k[at]] = counts.get(k[at], 0) + m.n
+                order, reverse = orders[factor_order]
+                levels[f] = [v for v, _ in sorted(counts.items(), key=order, reverse=reverse)]
+        design = _design(terms, levels)
+        sums = moments.total([], len(design) + 1)
+        for k, m in mine.items():
+            here = dict(zip(factors, k))
+            matrix, shift = np.zeros((len(design) + 1, len(names))), np.zeros(len(design) + 1)
+            matrix[-1, -1] = 1
+            for i, (_, asked, parts) in enumerate(design):
+                if all(here[f] == v for f, v in asked.items()):
+                    if parts:
+                        matrix[i, names.index(":".join(parts))] = 1
+                    else:
+                        shift[i] = 1
+            sums = sums + m.mapped(matrix, shift)
+        found = moments.least_squares(sums)
+        rows += [(name, t, *(found[c][i] for c in ("estimate", "std_error", "t_value", "p_value")), found["r2"], found["n"])
+                 for i, t in enumerate([*(d[0] for d in design), "(Intercept)"])]
+    return df.sparkSession.createDataFrame(rows, "model string, term string, estimate double, std_error double, "
+                                                 "t_value double, p_value double, r2 double, n long")
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str | None = None,
@@ -224,62 +354,15 @@ def ols_summary(df: DataFrame, label: str, terms: Sequence[str], model_name: str
     ``terms`` are R-style formula terms (``a``, ``a:b``) over R-safe names
     (:func:`panelstats.sources.io.safe_names`).  String columns are factors;
     ``alphabetDesc`` makes the alphabetically first level the reference, as R
-    does.  Rows with a null in any used column are dropped first (R's
-    ``na.omit``).  Output: model, term, estimate, std_error, t_value, p_value,
-    r2, n.
+    does.  See :func:`least_squares_models`.
     """
-    used = sorted({label, *[p for t in terms for p in t.split(":")]})
-    # RFormula resolves names as column paths, so dotted R names are swapped for
-    # plain tokens v<i>v while fitting and swapped back in the term names.
-    token = {c: f"v{i}v" for i, c in enumerate(used)}
-    data = df.select(*[F.col(f"`{c}`").alias(token[c]) for c in used]).na.drop()
-    cached = df.storageLevel.useMemory or df.storageLevel.useDisk
-    if not cached:  # several passes follow (indexing, fit, summary): read the input once
-        data = fit_input(data, list(token.values()))
-    tokterms = [":".join(token[p] for p in t.split(":")) for t in terms]
-    formula = f"{token[label]} ~ {' + '.join(tokterms)}"
-    rf = RFormula(formula=formula, featuresCol="features", labelCol="__label",
-                  stringIndexerOrderType=factor_order, handleInvalid="error")
-    with nullcontext() if cached else released(data):
-        rf_model = rf.fit(data)
-        prepared = rf_model.transform(data)
-        lr = LinearRegression(featuresCol="features", labelCol="__label", solver="normal",
-                              regParam=0.0, fitIntercept=True)
-        m = lr.fit(prepared)
-        s = m.summary
-        # only the token that starts each part of a term stands for a column; levels keep their text
-        names = [re.sub(r"(^|:)v(\d+)v", lambda t: t.group(1) + used[int(t.group(2))], n) for n in _term_names(prepared)]
-        names.append("(Intercept)")
-        est = [float(v) for v in m.coefficients.toArray()] + [float(m.intercept)]
-        try:
-            se, tv, pv = s.coefficientStandardErrors, s.tValues, s.pValues
-        except Exception as error:  # singular design (aliased terms): R reports NA, so do we
-            if "available for this LinearRegressionModel" not in str(error):
-                raise
-            se = tv = pv = [None] * len(est)
-        num = lambda v: None if v is None else float(v)
-        rows = [(model_name or f"{label} ~ {' + '.join(terms)}", n, e, num(a), num(b), num(c), float(s.r2),
-                 int(s.numInstances))
-                for n, e, a, b, c in zip(names, est, se, tv, pv)]
-    schema = T.StructType([T.StructField(n, t) for n, t in [
-        ("model", T.StringType()), ("term", T.StringType()), ("estimate", T.DoubleType()),
-        ("std_error", T.DoubleType()), ("t_value", T.DoubleType()), ("p_value", T.DoubleType()),
-        ("r2", T.DoubleType()), ("n", T.LongType())]])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return least_squares_models(df, label, {model_name or f"{label} ~ {' + '.join(terms)}": terms}, factor_order)
 
 
 def interaction_models(df: DataFrame, label: str, covariates: Sequence[str], base: str,
                        features: Sequence[str]) -> DataFrame:
-    """One adjusted model per feature: ``label ~ covariates + base:feature``.
+    """One adjusted model per feature: ``label ~ covariates + base:feature`` (M11, M12), all from one scan.
 
     The interaction enters without the feature's main effect, as in the study.
     """
-    used = sorted({label, base, *covariates, *features})
-    data = fit_input(df, used)  # one read for all models
-    out = None
-    with released(data):
-        for f in features:
-            s = ols_summary(data, label, list(covariates) + [f"{base}:{f}"], model_name=f)
-            out = s if out is None else out.unionByName(s)
-    return out
-
+    return least_squares_models(df, label, {f: [*covariates, f"{base}:{f}"] for f in features})

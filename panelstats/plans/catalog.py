@@ -750,32 +750,148 @@ def cv_ols(spark, sf_dir):
     return res.select(F.round("avg_rmse", 4).alias("avg_rmse"))
 
 
-@register("grid_cv")
-def grid_cv(spark, sf_dir):
-    """3-fold cross-validation over a small grid, folds by key hash."""
-    j = _model_table(spark, sf_dir)
-    feats = ["c_acctbal", "status_code", "priority_code"]
-    params = model.RegressionParams(maxIter=20)
+_GRID_FEATURES = ["c_acctbal", "status_code", "priority_code"]
+_SQL_CODED = f"""WITH RECURSIVE j AS ({_SQL_MOM_BASE}),
+k AS (SELECT momAssessmentKey, momTotalPrice, c_acctbal, CAST(c_nationkey AS DOUBLE) AS c_nationkey, o_orderstatus, o_orderpriority,
+        CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 0 ELSE -1 END AS status_code,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '5-LOW' THEN 0 ELSE -1 END AS priority_code FROM j)"""
+
+
+def _sql_grid(maps: list[tuple[float, float, bool]], sweeps: int = 40, folds: int = 3) -> str:
+    """CTEs ending in ``scored``: mean held-out RMSE of every (regParam, elasticNetParam,
+    standardization) by coordinate descent on three features, folds by key hash."""
+    pairs = [(1, 2), (1, 3), (2, 3)]
+    soft = lambda z, i: (f"sign({z}) * greatest(abs({z}) - l1 * w{i}, 0) / (1 + l2 * w{i} * w{i})")
+    rows = ", ".join(f"({i}, {r!r}::DOUBLE, {e!r}::DOUBLE, {s})" for i, (r, e, s) in enumerate(maps))
+    return _SQL_CODED + f""",
+d AS (SELECT c_acctbal AS x1, status_code AS x2, priority_code AS x3, momTotalPrice AS y,
+             {_md5_hash_sql('momAssessmentKey')} % {folds} AS fold FROM k),
+maps(id, reg, enet, scaled) AS (VALUES {rows}),
+t AS (SELECT f.fold, avg(y) AS my, sqrt(var_pop(y)) AS sy, {", ".join(f"avg(x{i}) AS m{i}, sqrt(var_pop(x{i})) AS s{i}, covar_pop(x{i}, y) / sqrt(var_pop(x{i}) * var_pop(y)) AS c{i}" for i in (1, 2, 3))},
+             {", ".join(f"covar_pop(x{i}, x{j}) / sqrt(var_pop(x{i}) * var_pop(x{j})) AS r{i}{j}" for i, j in pairs)}
+      FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+p AS (SELECT *, reg * enet / sy AS l1, reg * (1 - enet) / sy AS l2,
+             {", ".join(f"CASE WHEN scaled THEN 1 ELSE 1 / s{i} END AS w{i}" for i in (1, 2, 3))} FROM t, maps),
+cd(fold, id, sweep, v1, v2, v3) AS (
+  SELECT fold, id, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM p
+  UNION ALL
+  SELECT fold, id, sweep + 1, n1, n2, {soft("(c3 - r13 * n1 - r23 * n2)", 3)} FROM
+    (SELECT *, {soft("(c2 - r12 * n1 - r23 * v3)", 2)} AS n2 FROM
+      (SELECT p.*, sweep, v2, v3, {soft("(c1 - r12 * v2 - r13 * v3)", 1)} AS n1
+       FROM cd JOIN p USING (fold, id) WHERE sweep < {sweeps}))),
+w AS (SELECT p.*, v1 * sy / s1 AS b1, v2 * sy / s2 AS b2, v3 * sy / s3 AS b3 FROM cd JOIN p USING (fold, id) WHERE sweep = {sweeps}),
+e AS (SELECT id, fold, sqrt(avg(pow(y - my - b1 * (x1 - m1) - b2 * (x2 - m2) - b3 * (x3 - m3), 2))) AS rmse
+      FROM d JOIN w USING (fold) GROUP BY id, fold),
+scored AS (SELECT id, reg, enet, scaled, avg(rmse) AS rmse FROM e JOIN maps USING (id) GROUP BY ALL)"""
+
+
+def _grid(spark, sf_dir, reg: tuple[float, float]):
+    """(estimator, scores per map, best map) of a grid of two strengths, ridge and elastic net, scaled or not."""
+    params = model.RegressionParams(regParam=reg[0], maxIter=20, tol=0.0)
     lr = model.linear_regression("momTotalPrice", params)
-    maps = model.param_grid(lr, params, reg=(0.1,), iters=(), enet=(1.0,), tols=())
-    res, _best = model.cross_validate(j, feats, "momTotalPrice", key="momAssessmentKey", grid_maps=maps,
-                                      params=params, folds=3)
-    return res
+    maps = model.param_grid(lr, params, reg=reg[1:], iters=(), enet=(0.5,), tols=())
+    return lr, *model.cross_validate(_model_table(spark, sf_dir), _GRID_FEATURES, "momTotalPrice",
+                                     key="momAssessmentKey", grid_maps=maps, params=params, folds=3)
+
+
+_GRID_MAPS = [(r, e, s) for r in (0.0, 200.0) for e in (0.0, 0.5) for s in ("false", "true")]
 
 
-@register("ols_summary")
+@register("grid_cv", _sql_grid(_GRID_MAPS) + """
+SELECT reg AS regParam, 20 AS maxIter, enet AS elasticNetParam, scaled AS standardization, 0.0::DOUBLE AS tol,
+       round(rmse, 4) AS avg_rmse FROM scored""")
+def grid_cv(spark, sf_dir):
+    """M7 M8: 3-fold cross-validation over a grid of ridge and elastic-net maps, from one scan."""
+    _, res, _ = _grid(spark, sf_dir, (0.0, 200.0))
+    return res.withColumn("avg_rmse", F.round("avg_rmse", 4))
+
+
+_BEST_MAPS = [(r, e, s) for r in (100.0, 300.0) for e in (0.0, 0.5) for s in ("false", "true")]
+
+
+@register("best_params", _sql_grid(_BEST_MAPS) + """,
+best AS (SELECT * FROM scored ORDER BY rmse, id LIMIT 1)
+SELECT 'regParam' AS name, CAST(reg AS VARCHAR) AS value FROM best
+UNION ALL SELECT 'elasticNetParam', CAST(enet AS VARCHAR) FROM best
+UNION ALL SELECT 'standardization', CAST(scaled AS VARCHAR) FROM best
+UNION ALL SELECT 'maxIter', '20' FROM best""")
+def best_params(spark, sf_dir):
+    """The parameters of the best map of a grid, as the estimator describes them."""
+    lr, _, best = _grid(spark, sf_dir, (100.0, 300.0))
+    lr.setParams(**{n: best[n] for n in ("regParam", "elasticNetParam", "standardization", "maxIter")})
+    told = model.explain_params(lr).where(F.col("name").isin("regParam", "elasticNetParam", "standardization", "maxIter"))
+    return told.select("name", F.lower("value").alias("value"))
+
+
+def _sql_model(model_name: str, src: str, y: str, columns: dict[str, str], tag: str) -> tuple[str, str]:
+    """(CTEs, SELECT) of an OLS model with inference: central moments, then one sweep per column.
+    p values by Simpson's rule on the t density."""
+    k = len(columns)
+    n = range(1, k + 2)
+    z = {i: e for i, e in enumerate([*columns.values(), y], 1)}
+    ctes = [f"{tag}d AS (SELECT * FROM (SELECT {', '.join(f'CAST({e} AS DOUBLE) AS z{i}' for i, e in z.items())} FROM {src}) WHERE "
+            + " AND ".join(f"z{i} IS NOT NULL" for i in n) + ")",
+            f"{tag}m AS (SELECT count(*) AS n, {', '.join(f'avg(z{i}) AS m{i}' for i in n)}, "
+            + ", ".join(f"covar_pop(z{i}, z{j}) * count(*) AS s{i}_{j}" for i in n for j in n if i <= j) + f" FROM {tag}d)",
+            f"{tag}s0 AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, s{min(i, j)}_{max(i, j)} AS v FROM {tag}m" for i in n for j in n) + ")"]
+    for q in range(1, k + 1):
+        ctes.append(f"""{tag}s{q} AS (SELECT a.i, a.j, CASE WHEN a.i = {q} AND a.j = {q} THEN 1 / p.v WHEN a.i = {q} THEN a.v / p.v
+  WHEN a.j = {q} THEN -a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v FROM {tag}s{q - 1} a
+  JOIN {tag}s{q - 1} p ON p.i = {q} AND p.j = {q} JOIN {tag}s{q - 1} r ON r.i = a.i AND r.j = {q} JOIN {tag}s{q - 1} c ON c.i = {q} AND c.j = a.j)""")
+    last = f"{tag}s{k}"
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(columns, 1))
+    means = "CASE {0} " + " ".join(f"WHEN {i} THEN m{i}" for i in range(1, k + 1)) + " END"
+    ctes += [
+        f"{tag}e AS (SELECT i, v AS est FROM {last} WHERE j = {k + 1} AND i <= {k})",
+        f"{tag}g AS (SELECT n - {k} - 1 AS free, (SELECT v FROM {last} WHERE i = {k + 1} AND j = {k + 1}) AS sse, s{k + 1}_{k + 1} AS spread, m.* FROM {tag}m m)",
+        f"{tag}names(i, term) AS (VALUES {names}, ({k + 1}, '(Intercept)'))",
+        f"""{tag}f AS (SELECT e.i, est, sqrt(sse / free * x.v) AS se FROM {tag}e e JOIN {last} x ON x.i = e.i AND x.j = e.i, {tag}g
+  UNION ALL SELECT {k + 1}, m{k + 1} - (SELECT sum(est * {means.format('i')}) FROM {tag}e),
+    sqrt(sse / free * (1.0 / n + (SELECT sum(v * {means.format('i')} * {means.format('j')}) FROM {last} WHERE i <= {k} AND j <= {k}))) FROM {tag}g)""",
+        f"{tag}t AS (SELECT f.*, est / se AS t, free, 1 - sse / spread AS r2, n, least(abs(est / se), 40) / 2000 AS h FROM {tag}f f, {tag}g)",
+        f"""{tag}p AS (SELECT i, 1 - 2 * exp(any_value(lgamma((free + 1) / 2.0) - lgamma(free / 2.0))) / sqrt(any_value(free) * pi()) * any_value(h) / 3
+    * sum(CASE WHEN u IN (0, 2000) THEN 1 WHEN u % 2 = 1 THEN 4 ELSE 2 END * pow(1 + u * h * u * h / free, -(free + 1) / 2.0)) AS p
+  FROM {tag}t, range(0, 2001) r(u) GROUP BY i)"""]
+    select = f"""SELECT '{model_name}' AS model, term, round(est, 3) AS estimate, round(se, 4) AS std_error, round(t, 4) AS t_value,
+       round(abs(p), 4) AS p_value, round(r2, 6) AS r2, n FROM {tag}t JOIN {tag}p USING (i) JOIN {tag}names USING (i)"""
+    return ", ".join(ctes), select
+
+
+def _sql_models(models: dict[str, dict[str, str]], src: str, y: str, start: str) -> str:
+    parts = [_sql_model(name, src, y, columns, f"q{i}") for i, (name, columns) in enumerate(models.items())]
+    return f"{start}, {', '.join(c for c, _ in parts)}\n" + "\nUNION ALL ".join(s for _, s in parts)
+
+
+def _model_columns(df: DataFrame) -> DataFrame:
+    return df.select("model", "term", F.round("estimate", 3).alias("estimate"), F.round("std_error", 4).alias("std_error"),
+                     F.round("t_value", 4).alias("t_value"), F.round("p_value", 4).alias("p_value"),
+                     F.round("r2", 6).alias("r2"), "n")
+
+
+_SUMMARY_TERMS = ["c_acctbal", "c_nationkey", "o_orderstatus"]
+
+
+@register("ols_summary", _sql_models({f"momTotalPrice ~ {' + '.join(_SUMMARY_TERMS)}": {
+    "c_acctbal": "c_acctbal", "c_nationkey": "c_nationkey",
+    **{f"o_orderstatus_{v}": f"(o_orderstatus = '{v}')::INT" for v in ("P", "O")}}}, "k", "momTotalPrice", _SQL_CODED))
 def ols_summary(spark, sf_dir):
-    """OLS with standard errors, t and p values, a factor among the predictors."""
-    j = _model_table(spark, sf_dir)
-    return model.ols_summary(j, "momTotalPrice", ["c_acctbal", "c_nationkey", "o_orderstatus"])
+    """OLS with standard errors, t and p values, a factor among the predictors, from one scan."""
+    return _model_columns(model.ols_summary(_model_table(spark, sf_dir), "momTotalPrice", _SUMMARY_TERMS))
+
 
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
-@register("interaction_models")
+
+@register("interaction_models", _sql_models({
+    "status_code": {"c_acctbal": "c_acctbal", "c_nationkey:status_code": "c_nationkey * status_code"},
+    "priority_code": {"c_acctbal": "c_acctbal", "c_nationkey:priority_code": "c_nationkey * priority_code"},
+    "o_orderpriority": {"c_acctbal": "c_acctbal", **{
+        f"c_nationkey:o_orderpriority_{v}": f"c_nationkey * (o_orderpriority = '{v}')::INT" for v in reversed(_PRIORITIES)}}},
+    "k", "momTotalPrice", _SQL_CODED))
 def interaction_models(spark, sf_dir):
-    """One adjusted model per feature with a product term and no main effect."""
-    j = _model_table(spark, sf_dir)
-    return model.interaction_models(j, "momTotalPrice", ["c_acctbal"], "c_nationkey",
-                                    ["status_code", "priority_code", "o_orderpriority"])
+    """One adjusted model per feature with a product term and no main effect, all from one scan."""
+    return _model_columns(model.interaction_models(_model_table(spark, sf_dir), "momTotalPrice", ["c_acctbal"],
+                                                   "c_nationkey", ["status_code", "priority_code", "o_orderpriority"]))
 
 
 def _sql_ols2(src: str, y: str, x1: str, x2: str, names: tuple[str, str], ctes: str = "") -> str:
