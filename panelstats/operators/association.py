@@ -3,10 +3,10 @@
 Gamma is computed from the contingency table, the only part that touches the
 data: one scan emits (pair, x level, y level) for every requested column pair
 and one aggregate counts the cells (partial aggregation map-side, so only
-cells are shuffled).  Concordant and discordant masses then come from prefix
-sums over each pair's grid of observed levels, R x C cells -- the same table
-the classical algorithm builds -- using window functions partitioned by grid
-row and grid column; no cell is ever paired with every other cell.
+cells are shuffled).  Concordant and discordant masses then come from
+dominance counts over the cells that occur (:mod:`.dominance`): no cell is
+paired with every other cell, and no grid of all levels is built, so columns
+with millions of values work like answer scales.
 
 Notation (Agresti, *Categorical Data Analysis*): for cell (i, j) with count
 n_ij, A_ij is the count of cells strictly above-left or below-right (concordant
@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import handover
+from . import dominance
+
 
 def _c(c: str | Column) -> Column:
     if isinstance(c, Column):
@@ -87,60 +90,90 @@ def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]],
 
 
 def concordance(cells: DataFrame) -> DataFrame:
-    """Per grid cell of every pair: count n, concordant mass A and discordant mass D.
-
-    Cells are hash-partitioned by pair once; every later window, distinct and
-    aggregate is keyed by pair plus grid coordinates, so Spark reuses that
-    partitioning instead of shuffling again.
+    """Per cell of every pair's table: count n, concordant mass A and discordant mass D.
+
+    Cells are ranked by (x, y descending) and by (y, x descending): of two cells the one
+    that is smaller in both ranks is the one with the strictly smaller x and y.  So the mass
+    below-left of a cell is a dominance count (:mod:`.dominance`), and the other three
+    quadrants follow from it, the marginal counts and the running masses along both ranks.
+    The work is cells x log(cells), only cells that occur take part, and no task gathers a
+    pair's table.  Runs jobs: the cells and both rankings are stored.
     """
-    byp = Window.partitionBy("pair")
-    ranked = (cells.repartition("pair")
-              .withColumn("rx", F.dense_rank().over(byp.orderBy(F.col("xn").asc_nulls_first(),
-                                                                 F.col("xs").asc_nulls_first())) - 1)
-              .withColumn("ry", F.dense_rank().over(byp.orderBy(F.col("yn").asc_nulls_first(),
-                                                                 F.col("ys").asc_nulls_first())) - 1))
-    ranked = ranked.select("pair", "rx", "ry", "n", (F.max("ry").over(byp) + 1).alias("n_cols"),
-                           (F.col("ry") == F.min("ry").over(Window.partitionBy("pair", "rx"))).alias("first"))
-    # Dense grid in the same pass: the first cell of each grid row also emits a
-    # zero for every column of that row; the sum per grid position fills gaps.
-    cell = F.array(F.struct(F.col("ry").alias("ry"), F.col("n").alias("n")))
-    zeros = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1),
-                        lambda j: F.struct(j.alias("ry"), F.lit(0.0).alias("n")))
-    items = F.when(F.col("first"), F.concat(cell, zeros)).otherwise(cell)
-    g = (ranked.select("pair", "rx", F.inline(items))
-         .groupBy("pair", "rx", "ry").agg(F.sum("n").alias("n")))
-    row = Window.partitionBy("pair", "rx").orderBy("ry")
-    z = F.lit(0.0)
-    g = g.select("pair", "rx", "ry", "n",
-                 F.coalesce(F.sum("n").over(row.rowsBetween(1, Window.unboundedFollowing)), z).alias("r_after"),
-                 F.coalesce(F.sum("n").over(row.rowsBetween(Window.unboundedPreceding, -1)), z).alias("r_before"))
-    colw = Window.partitionBy("pair", "ry").orderBy("rx")
-    below = colw.rowsBetween(1, Window.unboundedFollowing)
-    above = colw.rowsBetween(Window.unboundedPreceding, -1)
-    return g.select(
-        "pair", "rx", "ry", "n",
-        (F.coalesce(F.sum("r_after").over(below), z) + F.coalesce(F.sum("r_before").over(above), z)).alias("A"),
-        (F.coalesce(F.sum("r_before").over(below), z) + F.coalesce(F.sum("r_after").over(above), z)).alias("D"),
-    )
+    cells = handover(cells, "contingency_cells")
+    n = cells.count()
+    g = _measured_in_one_strip(cells, n) if n <= 1 << dominance.MOST_DIGITS else _measured_in_strips(cells, n)
+    c = F.col
+    # ties: of the same x those with a larger y come before it in px, of the same y those with a larger x in py
+    x_tie_above, y_tie_right = c("mx") - c("sx"), c("my") - c("sy")
+    above_left = c("sx") - c("low") - (c("ny") - c("n") - y_tie_right)
+    below_right = c("sy") - c("low") - (c("nx") - c("n") - x_tie_above)
+    above_right = c("total") - c("sx") - c("nx") - below_right - y_tie_right
+    return g.select("pair", "n", (c("low") + above_right).alias("A"), (above_left + below_right).alias("D"))
+
+
+_X, _Y = ("xn", "xs"), ("yn", "ys")
+
+
+def _up(level: Sequence[str]) -> list[Column]:
+    return [F.col(v).asc_nulls_first() for v in level]
+
+
+def _down(level: Sequence[str]) -> list[Column]:
+    return [F.col(v).desc_nulls_last() for v in level]
+
+
+def _measured_in_strips(cells: DataFrame, n: int) -> DataFrame:
+    """Per cell: ``low`` (mass below-left), ``total`` of the pair, and per axis the mass of the
+    cell's level (``nx``), of smaller levels (``sx``) and before the cell in its rank (``mx``)."""
+    parts = max(8, min(512, n >> dominance.MOST_DIGITS))
+    g = dominance.ranked(cells, [F.col("pair"), *_up(_X), *_down(_Y)], "px", parts)
+    g = dominance.ranked(g, [F.col("pair"), *_up(_Y), *_down(_X)], "py", parts)
+    for rank, level, mark in (("px", _X, "x"), ("py", _Y, "y")):
+        g = dominance.mass_before(g, "pair", rank, "n", dominance.strip_digits(n), f"m{mark}")
+        names = [f"__{v}" for v in level]
+        levels = dominance.small(g.groupBy("pair", *[F.col(v).alias(w) for v, w in zip(level, names)])
+                                 .agg(F.sum("n").alias(f"n{mark}"), F.min(f"m{mark}").alias(f"s{mark}"))
+                                 .withColumnRenamed("pair", "__pair"))
+        same = F.col("pair") == F.col("__pair")
+        for v, w in zip(level, names):
+            same = same & F.col(v).eqNullSafe(F.col(w))
+        g = g.join(levels, same).drop("__pair", *names)
+    totals = F.broadcast(cells.groupBy("pair").agg(F.sum("n").alias("total")))  # one row per column pair
+    return dominance.dominated(handover(g, "marginal_masses").join(totals, "pair"), "pair", "px", "py", "n", n, "low")
+
+
+def _measured_in_one_strip(cells: DataFrame, n: int) -> DataFrame:
+    """The columns of :func:`_measured_in_strips` where all cells together are one strip at most:
+    windows over a pair are bounded by that, and one exchange serves them all."""
+    pair = Window.partitionBy("pair")
+    g = cells
+    for rank, order in (("px", [*_up(_X), *_down(_Y)]), ("py", [*_up(_Y), *_down(_X)])):
+        g = g.withColumn(rank, F.row_number().over(pair.orderBy(*order)).cast("long") - 1)
+    for rank, level, mark in (("px", _X, "x"), ("py", _Y, "y")):
+        same = Window.partitionBy("pair", *level)
+        before = pair.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+        g = g.withColumn(f"m{mark}", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+        g = g.withColumn(f"n{mark}", F.sum("n").over(same)).withColumn(f"s{mark}", F.min(f"m{mark}").over(same))
+    g = g.withColumn("total", F.sum("n").over(pair))
+    return dominance.with_smaller_in_both(g, ["pair"], "px", max(n - 1, 1).bit_length(), "py", "n", ["pair", "px"], "low")
 
 
 def gamma_from_cells(cells: DataFrame, level: float | None = 0.95) -> DataFrame:
     """Gamma (and with ``level`` its ASE and confidence interval) per pair."""
     g = concordance(cells)
-    byp = Window.partitionBy("pair")
-    g = g.select("*", F.sum(F.col("n") * F.col("A")).over(byp).alias("P"),
-                 F.sum(F.col("n") * F.col("D")).over(byp).alias("Q"))
-    # Both totals are known per cell, so the deviation sum needs no second pass.
-    dev = F.col("n") * F.pow(F.col("Q") * F.col("A") - F.col("P") * F.col("D"), 2)
-    out = g.groupBy("pair").agg(F.first("P").alias("P"), F.first("Q").alias("Q"),
-                                F.sum("n").alias("n_obs"), F.sum(dev).alias("S"))
+    if level is not None:  # the deviations need both totals first
+        g = handover(g, "concordance")
+    out = g.groupBy("pair").agg(F.sum(F.col("n") * F.col("A")).alias("P"), F.sum(F.col("n") * F.col("D")).alias("Q"),
+                                F.sum("n").alias("n_obs"))
     # No untied pair at all (P + Q = 0): gamma is undefined and comes out null.
-    out = out.withColumn("gamma", F.try_divide(F.col("P") - F.col("Q"), F.col("P") + F.col("Q")))
+    gamma_ = F.try_divide(F.col("P") - F.col("Q"), F.col("P") + F.col("Q")).alias("gamma")
     if level is None:
-        return out.select("pair", "n_obs", "P", "Q", "gamma")
+        return out.select("pair", "n_obs", "P", "Q", gamma_)
+    dev = F.col("n") * F.pow(F.col("Q") * F.col("A") - F.col("P") * F.col("D"), 2)
+    spread = g.join(F.broadcast(out), "pair").groupBy("pair").agg(F.sum(dev).alias("S"))
     z = NormalDist().inv_cdf(1 - (1 - level) / 2)
     ase = F.try_divide(F.lit(4.0), F.pow(F.col("P") + F.col("Q"), 2)) * F.sqrt("S")
-    return (out.select("pair", "n_obs", "P", "Q", "gamma", ase.alias("ase"))
+    return (out.join(F.broadcast(spread), "pair").select("pair", "n_obs", "P", "Q", gamma_, ase.alias("ase"))
             .withColumn("lower", F.col("gamma") - F.lit(z) * F.col("ase"))
             .withColumn("upper", F.col("gamma") + F.col("ase") * F.lit(z)))
 

@@ -35,17 +35,26 @@ def test_codebook_is_broadcast_answers_not_shuffled(q):
     assert "Exchange hashpartitioning" not in p
 
 
-def test_gamma_single_scan_two_exchanges(q):
-    p = plan(q("gamma_interval"))
-    assert p.count("FileScan parquet") == 1
-    assert len(re.findall(r"Exchange (hashpartitioning|SinglePartition)", p)) <= 2
-    assert "Join" not in p
-
-
-def test_gamma_matrix_one_scan_per_table(q):
-    p = plan(q("gamma_matrix"))
-    assert p.count("FileScan parquet") == 2  # orders and customer, once each
-    assert len(re.findall(r"Exchange hashpartitioning", p)) <= 4
+def test_gamma_counts_cells_in_one_scan(spark):
+    """One scan of the table gives the cells; what follows reads only the stored cells."""
+    from panelstats.operators import association
+
+    df = spark.read.parquet(f"{SF}/orders.parquet")
+    p = plan(association.contingency(df, [("o_orderstatus", "o_orderpriority"), ("o_orderpriority", "o_orderstatus")]))
+    assert p.count("FileScan parquet") == 1 and len(re.findall(r"Exchange hashpartitioning", p)) == 1
+    p = plan(association.gamma(df, [("o_orderstatus", "o_orderpriority")], level=None))
+    assert "orders.parquet" not in p and "Join" not in p and len(re.findall(r"Exchange", p)) <= 2
+
+
+def test_no_window_of_strips_holds_a_whole_pair(spark, monkeypatch):
+    from panelstats.operators import association, dominance
+
+    monkeypatch.setattr(dominance, "MOST_DIGITS", 3)
+    p = plan(association.gamma(spark.read.parquet(f"{SF}/lineitem.parquet"), [("l_extendedprice", "l_quantity")], level=None))
+    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", p)
+    assert windows
+    # every window is cut by a strip, or ranges over the table of strip pairs alone
+    assert all("__s" in w or "__node" in w for w in windows)
 
 
 def test_answer_tally_one_pass(q):
