@@ -171,17 +171,70 @@ def pivot_first(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: s
         values = sorted_labels(df, pivot_col)
     if not values:
         raise ValueError("pivot_first needs at least one pivot value")
+    return spread_cells(answer_cells(df, keys, pivot_col, value_col, order, values), keys, values)
+
+
+#: Column names of a table of cells besides its keys.
+LABEL, VALUE = "__label", "__value"
+
+
+def answer_cells(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: str, order: Sequence[str],
+                 values: Sequence[str] | None = None) -> DataFrame:
+    """One row per (keys, label): the earliest value by ``order``, null order keys last.
+
+    Labels outside ``values`` become the null label, so their key groups stay.  Shuffled on
+    keys and label after map-side reduction: one key group's raw rows are split by label.
+    """
     ordering = F.struct(*[x for o in order for x in (_c(o).isNull(), _c(o))])
-    p, v = _c(pivot_col), _c(value_col)
+    p = _c(pivot_col)
+    label = p if values is None else F.when(p.isin(list(values)), p)
+    return df.groupBy(*[_c(k).alias(k) for k in keys], label.alias(LABEL)).agg(F.min_by(_c(value_col), ordering).alias(VALUE))
+
+
+def spread_cells(cells: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Cells -> wide: a column per entry of ``values``, null where a key group has no such cell.
+
+    Each label gets its position from a dictionary (as long as the list of columns).  A key
+    group's cells are gathered in order of position and become one array with nulls in the
+    gaps, from which the columns are read by position: a wide row costs as much as it is
+    long, however many labels there are.
+    """
+    spark = cells.sparkSession
     names = [f"__key{i}" for i in range(len(keys))]
-    cells = (df.groupBy(*[_c(k).alias(n) for k, n in zip(keys, names)],
-                        F.when(p.isin(list(values)), p).alias("__label"))
-             .agg(F.min_by(v, ordering).alias("__value")))
-    # one row per cell is left: a group's answers are a map of at most len(values) entries
-    entry = F.when(F.col("__label").isNotNull(), F.struct("__label", "__value"))
-    wide = cells.groupBy(*names).agg(F.map_from_entries(F.collect_list(entry)).alias("__cells"))
-    kind = cells.schema["__label"].dataType  # values may be given as text of another type
-    return wide.select(*names, *[F.try_element_at("__cells", F.lit(val).cast(kind)) for val in values]).toDF(*keys, *values)
+    kind = cells.schema[LABEL].dataType  # values may be given as text of another type
+    book = spark.createDataFrame([(str(v), i) for i, v in enumerate(values)], "__text string, __at int")
+    book = F.broadcast(book.select(F.col("__text").cast(kind).alias(LABEL), "__at"))
+    cell = F.when(F.col("__at").isNotNull(), F.struct("__at", VALUE))
+    wide = (cells.join(book, LABEL, "left").groupBy(*[_c(k).alias(n) for k, n in zip(keys, names)])
+            .agg(F.array_sort(F.collect_list(cell)).alias("__cells")))
+    gap = lambda n: F.array_repeat(F.lit(None).cast(cells.schema[VALUE].dataType), n)
+    until = lambda i: F.coalesce(F.get(F.col("__cells"), i + 1)["__at"], F.lit(len(values)))
+    head = F.array(gap(F.coalesce(F.get(F.col("__cells"), F.lit(0))["__at"], F.lit(len(values)))))
+    rest = F.transform("__cells", lambda c, i: F.concat(F.array(c[VALUE]), gap(until(i) - c["__at"] - 1)))
+    wide = wide.select(*names, F.flatten(F.concat(head, rest)).alias("__row"))
+    return wide.select(*names, *[F.get("__row", F.lit(i)) for i in range(len(values))]).toDF(*keys, *values)
+
+
+def pivot_kept(df: DataFrame, keys: Sequence[str], pivot_col: str, value_col: str, order: Sequence[str],
+               participant: str, assessment: str, min_exclusive: int = 25, labels_of_kept: bool = True,
+               broadcast_rows: int | None = 1_000_000) -> DataFrame:
+    """Qualify and pivot in one read of the raw answers.
+
+    The answers are reduced to cells (:func:`answer_cells`), which are stored; everything
+    else reads the cells: the distinct assessments per participant (two-level, so a
+    participant with a third of all rows is spread over its assessments), the participants
+    with more than ``min_exclusive``, the labels that those answered (or, without
+    ``labels_of_kept``, that anyone answered), and the wide table.
+    The kept ids are broadcast if a count shows at most ``broadcast_rows``; more are joined
+    by shuffle, where AQE splits a participant with many cells.  ``participant`` and
+    ``assessment`` are among ``keys``.
+    """
+    cells = handover(answer_cells(df, keys, pivot_col, value_col, order), "answer_cells")
+    kept = keep_participants(cells, participant, assessment, min_exclusive, broadcast_rows=broadcast_rows)
+    labels = sorted_labels(kept if labels_of_kept else cells, LABEL)
+    if not labels:
+        return kept.select(*[_c(k) for k in keys]).distinct()
+    return spread_cells(kept, keys, labels)
 
 
 def pivot_agg(df: DataFrame, keys: Sequence[str], pivot_col: str, values: Sequence[str],

@@ -88,11 +88,9 @@ ORDER BY user_id, day
 """)
 def wide_scores(spark, sf_dir):
     """Users with > 25 distinct days, wide by event type, composite."""
-    w = wide(spark, sf_dir)
-    # Qualify on the wide table (one row per user and day) with windows: raw
-    # answers are shuffled once, already reduced to one value per cell, and a
-    # hot user never sends raw rows to one task.
-    w = panel.qualify_assessments(w, "user_id", "day", min_exclusive=25)
+    # The events are read once, for the cells; qualification, labels and the wide table read those.
+    w = panel.pivot_kept(answers(spark, sf_dir), ["user_id", "day"], "event_type", "value", ORDER, "user_id", "day",
+                         min_exclusive=25, labels_of_kept=False)
     w = w.select("*", composite_sum(["click", "view"]).alias("click_view_score"))
     return w.orderBy("user_id", "day")
 

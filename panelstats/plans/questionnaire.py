@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import composite_sum, first_non_null, or_missing, products
-from ..functions.labels import clean_label, question_key, sorted_labels
+from ..functions.labels import clean_label, question_key
 from ..operators import association, model, panel, stats
 from ..operators.codebook import encode_categories, score_answers
 from ..sources.io import col, handover, r_name, safe_names
@@ -32,24 +32,18 @@ def wrangle(answers: DataFrame, min_assessments_exclusive: int = 25, game_id_lim
 
     Game questions are dropped, answers scored by the code-book, labels cleaned
     and pivoted (earliest answer by ``order`` wins), participants with too few
-    assessments removed, and composite scores added.  The question labels
-    become columns, so they are discovered once (a bounded distinct list).
+    assessments removed, and composite scores added.  The columns are the labels
+    that remaining participants answered (a bounded distinct list).  The raw
+    answers are read once.
     """
     df = panel.drop_out_of_scope(answers, "QuestionId", game_id_limit)
     df = df.withColumn("Q_id_string_cleaned", clean_label(question_key("QuestionId", "Question")))
-    # Column names: labels answered by qualifying participants.  Found from the
-    # distinct (participant, assessment, label) triples, qualified by windows, so
-    # no join can be pushed down onto the raw answers; this read needs four
-    # columns and no scores.
-    triples = df.select("participantUUID", "assessmentNumber", "Q_id_string_cleaned").distinct()
     df = score_answers(df, "QuestionId", "AnswerText", rules, out_col="ValidatedScore")
-    triples = panel.qualify_assessments(triples, "participantUUID", "assessmentNumber", min_assessments_exclusive)
-    names = sorted_labels(triples, "Q_id_string_cleaned")
-    # Pivot first (partial aggregation, one shuffle on the wide keys), then keep
-    # qualifying participants on the wide table, one row per assessment.
-    wide = panel.pivot_first(df, WIDE_KEYS, "Q_id_string_cleaned", "ValidatedScore", order, names)
-    wide = panel.qualify_assessments(wide, "participantUUID", "assessmentNumber", min_assessments_exclusive)
-    wide = wide.select([col(c) for c in WIDE_KEYS + names])
+    # One read of the raw answers: they become cells, from which participants are qualified,
+    # the labels of the qualified found, and the wide table spread.
+    wide = panel.pivot_kept(df, WIDE_KEYS, "Q_id_string_cleaned", "ValidatedScore", order,
+                            "participantUUID", "assessmentNumber", min_assessments_exclusive)
+    names = wide.columns[len(WIDE_KEYS):]
     missing = sorted({c for items in composites.values() for c in items} - set(names))
     if missing:
         raise ValueError(f"composite items missing from the answers: {missing}")
