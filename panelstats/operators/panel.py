@@ -76,20 +76,44 @@ def checked_broadcast(df: DataFrame, max_rows: int | None, store: bool = False)
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+#: A key with at least this share of the rows is hot; there are at most 1 / HOT_SHARE such keys.
+HOT_SHARE = 0.001
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list[str]:
+    """Keys (as text) that hold at least ``share`` of the rows, by a heavy-hitter sketch.
+
+    One scan of the key column; every task keeps a sketch of ten times as many counters as
+    there can be hot keys, and the sketches are merged, so what reaches the driver is bounded
+    by ``share`` alone.  The sketch's counts are over by a fifth of ``share`` at most.
+    """
+    most = int(-(-1 // share))
+    text = _c(key).cast("string")
+    got = (df.select(text.alias("k")).where(F.col("k").isNotNull())
+           .agg(F.expr(f"approx_top_k(k, {most}, {10 * most})").alias("top"), F.count(F.lit(1)).alias("n")).first())
+    return [] if not got["n"] else [t["item"] for t in got["top"] if t["item"] is not None and t["count"] >= share * got["n"]]
+
+
 def salted_join(many: DataFrame, one: DataFrame, cond_keys: Sequence[tuple[str, str]], how: str,
-                buckets: int, salt_by: Sequence[str]) -> DataFrame:
+                buckets: int, salt_by: Sequence[str], hot: Sequence[str] | None = None) -> DataFrame:
     """Equi-join where one key may hold a large share of ``many``'s rows.
 
-    Each row of ``many`` gets a salt ``pmod(xxhash64(salt_by), buckets)``,
-    deterministic so a retried task sees the same value; every row of ``one``
-    (at most a few per key) is repeated once per salt.  A hot key is then spread
-    over ``buckets`` tasks, and the output is partitioned by (key, salt), so a
-    following aggregate by the key shuffles its partial results instead of
-    running the hot key in one task.  ``how`` is ``inner`` or ``left_semi``.
+    Rows of ``many`` whose (first) key is ``hot`` (default: found by :func:`hot_keys`) get a
+    salt ``pmod(xxhash64(salt_by), buckets)``, deterministic so a retried task sees the same
+    value; ``one``'s rows of a hot key (at most a few per key) are repeated once per salt.
+    A hot key is then spread over ``buckets`` tasks, and the output is partitioned by (key,
+    salt), so a following aggregate by the key shuffles its partial results instead of
+    running the hot key in one task.  All other rows of both sides have one salt and are
+    moved once.  ``how`` is ``inner`` or ``left_semi``.
     """
-    salt = F.pmod(F.xxhash64(*[_c(c) for c in salt_by]), F.lit(buckets)).alias("__salt")
-    left = many.select("*", salt)
-    right = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("__salt_r"))
+    left_key, right_key = cond_keys[0]
+    if hot is None:
+        hot = hot_keys(many, left_key)
+    is_hot = lambda c: F.coalesce(_c(c).cast("string").isin(list(hot)), F.lit(False)) if hot else F.lit(False)
+    salt = F.when(is_hot(left_key), F.pmod(F.xxhash64(*[_c(c) for c in salt_by]), F.lit(buckets))).otherwise(F.lit(0).cast("long"))
+    salts = F.when(is_hot(right_key), F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = many.select("*", salt.alias("__salt"))
+    right = one.select("*", F.explode(salts).alias("__salt_r"))
     cond = F.col("__salt") == F.col("__salt_r")
     for a, b in cond_keys:
         cond = cond & (left[a] == right[b])
@@ -262,9 +286,10 @@ def spread_baseline(moment: DataFrame, base: DataFrame, moment_key: str, base_ke
       side is then not shuffled at all, so no participant can be hot.
     * ``salt_buckets``: otherwise (or without a count), a salted sort-merge
       join (:func:`salted_join`, salt from ``salt_by``, default all momentary
-      columns) spreads a participant with most of the rows over that many
-      tasks.  AQE cannot split such a participant itself when an aggregate by
-      participant follows, since the split would need another shuffle.
+      columns) spreads each participant with a large share of the rows over
+      that many tasks; all others are joined without salt.  AQE cannot split
+      such a participant itself when an aggregate by participant follows,
+      since the split would need another shuffle.
     * neither: the planner chooses (AQE broadcast or skew-split join).
     """
     cond = moment[moment_key] == base[base_key]

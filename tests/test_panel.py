@@ -180,3 +180,33 @@ def test_pivot_first_rejects_empty_value_list(spark):
     df = spark.createDataFrame([("P", "q", 1, 1)], "p string, q string, v int, t int")
     with pytest.raises(ValueError):
         panel.pivot_first(df, ["p"], "q", "v", ["t"], [])
+
+
+def test_only_hot_keys_are_salted(spark):
+    """The baseline's rows are written participants + hot keys x (salts - 1) times, and a hot key is found
+    among many cold ones."""
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    mom = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit("warm"))
+                                .when(F.col("id") % 500 == 2, F.lit(None).cast("string"))
+                                .otherwise(F.concat(F.lit("p"), F.col("id"))).alias("p"), F.col("id").alias("a"))
+    assert sorted(panel.hot_keys(mom, "p")) == ["hot", "warm"]
+    assert panel.hot_keys(mom, "p", share=0.1) == ["hot"] and panel.hot_keys(mom.limit(0), "p") == []
+    base = mom.select(F.col("p").alias("k")).distinct().where("k is not null").withColumn("v", F.length("k"))
+    joined = panel.spread_baseline(mom, base, "p", "k", broadcast_rows=1, salt_buckets=8, salt_by=["a"])
+    assert joined.count() == mom.where("p is not null").count()
+    # the replicated side as the plan has it
+    rows = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in rows
+    salts = base.select(F.explode(F.when(F.col("k").isin("hot", "warm"), F.sequence(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))))
+    assert salts.count() == base.count() + 2 * 7
+
+
+def test_hot_keys_of_whole_numbers(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select(F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    assert panel.hot_keys(df, "k", share=0.05) == ["-1"]
+    one = df.distinct().withColumnRenamed("k", "j")
+    assert panel.salted_join(df, one, [("k", "j")], "inner", 4, ["k"], hot=["-1"]).count() == 5000
