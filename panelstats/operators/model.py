@@ -74,6 +74,70 @@ def holdout_split(df: DataFrame, key: Column | str, frac_test: float = 0.5,
     return df.where(h < cut), df.where(h >= cut)
 
 
+#: Binary digits of the hash that one histogram tells apart, and the rows that are few enough
+#: to come to the driver as single hashes.
+SELECT_DIGITS, SELECT_FEW = 12, 10_000
+LONG_DIGITS = 60
+
+
+def _long_hash(key: Column | str, seed: int) -> Column:
+    """The first 60 bits of the md5 of ``key:seed``; :func:`split_hash` is its first 32."""
+    k = F.col(key) if isinstance(key, str) else key
+    h = F.md5(F.concat(F.coalesce(k.cast("string"), F.lit("")), F.lit(f":{seed}")))
+    return F.conv(F.substring(h, 1, LONG_DIGITS // 4), 16, 10).cast("bigint")
+
+
+def kth_smallest(df: DataFrame, value: Column, k: int, digits: int = LONG_DIGITS) -> int | None:
+    """The ``k``-th smallest (from 1) of whole numbers below 2^``digits``, without a sort.
+
+    A histogram of the leading digits tells which bin holds it, then a histogram within that
+    bin, and so on until so few values are left that they are looked at singly.  Each step
+    is one scan that brings at most 2^``SELECT_DIGITS`` counts to the driver; nothing is
+    shuffled but partial counts.  ``None`` if there are fewer than ``k`` values.
+    """
+    rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
+    low, shift = 0, digits
+    while True:
+        width = min(SELECT_DIGITS, shift)
+        shift -= width
+        bins = rows.groupBy(F.shiftright("v", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(bins, key=lambda r: r["bin"]):
+            if k <= r["n"]:
+                break
+            k -= r["n"]
+        else:
+            return None
+        low = r["bin"] << shift
+        if not shift:
+            return low
+        rows = rows.where((F.col("v") >= low) & (F.col("v") < low + (1 << shift)))
+        if r["n"] <= SELECT_FEW:
+            return sorted(x["v"] for x in rows.collect())[k - 1]
+
+
+def exact_holdout(df: DataFrame, key: Column | str, frac_test: float = 0.5, seed: int = 123,
+                  by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test) with exactly round(n x ``frac_test``) test units (M4, M9).
+
+    A unit is a row, ordered by the hash of its ``key``, or with ``by`` a participant: then
+    all rows of a participant are on one side, and n counts the participants.  The units
+    with the largest hashes are held out; the border is found by :func:`kth_smallest`.  The
+    split depends on the keys alone, not on the partitioning.  Rows with equal keys share a
+    hash and go to one side, so the count is exact where keys are unique; a null key counts
+    as the empty text, a row without participant belongs to a participant of its own name "".
+    """
+    RegressionParams(fracTest=frac_test)
+    h = _long_hash(by if by is not None else key, seed)
+    units = df.select(_quoted(by).alias("u")).distinct() if by is not None else df
+    of_unit = _long_hash("u", seed) if by is not None else h
+    n = units.count()
+    train = n - round(n * frac_test)
+    if train <= 0:
+        return df.where(F.lit(False)), df
+    cut = kth_smallest(units, of_unit, train)
+    return df.where(h <= cut), df.where(h > cut)
+
+
 # -- fit, predict, evaluate ---------------------------------------------------
 
 def fit_input(df: DataFrame, columns: Sequence[str]) -> DataFrame:

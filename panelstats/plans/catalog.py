@@ -705,6 +705,32 @@ def holdout_split(spark, sf_dir):
     return o.select("o_orderkey", F.when(b < cut, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
+def _md5_order_sql(key: str, seed: int = 123) -> str:
+    return f"('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 15))::BIGINT"
+
+
+@register("exact_holdout", f"""
+WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_md5_order_sql('o_orderkey')}) AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN i <= n - round_even(n * 0.3, 0) THEN 'train' ELSE 'test' END AS split FROM r""")
+def exact_holdout(spark, sf_dir):
+    """M4 M9: exactly round(0.3 n) rows held out, the border found by histograms of the key's hash."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    train, test = model.exact_holdout(o, "o_orderkey", 0.3)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+@register("participant_holdout", f"""
+WITH u AS (SELECT user_id, row_number() OVER (ORDER BY {_md5_order_sql('user_id')}) AS i, count(*) OVER () AS n
+           FROM (SELECT DISTINCT user_id FROM events))
+SELECT e.user_id, CASE WHEN any_value(i) <= any_value(n) - round_even(any_value(n) * 0.25, 0) THEN 'train' ELSE 'test' END AS split,
+       count(*) AS n_answers FROM events e JOIN u USING (user_id) GROUP BY e.user_id""")
+def participant_holdout(spark, sf_dir):
+    """M4 M9: a quarter of the participants held out with all their answers; the sides share none."""
+    train, test = model.exact_holdout(table(spark, sf_dir, "events").select("user_id", "event_id"), "event_id", 0.25, by="user_id")
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.groupBy("user_id", "split").agg(F.count(F.lit(1)).alias("n_answers"))
+
+
 @register("ols_two", """
 WITH s AS (SELECT covar_samp(l_quantity, l_extendedprice) AS sy1, covar_samp(l_discount, l_extendedprice) AS sy2,
                   var_samp(l_quantity) AS s11, var_samp(l_discount) AS s22,

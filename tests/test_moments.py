@@ -141,3 +141,27 @@ def test_t_tail_of_known_cases():
         assert moments.t_tail(t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi, rel=1e-9)
         assert moments.t_tail(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
         assert moments.t_tail(t, 1e9) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+
+
+@pytest.mark.parametrize(("digits", "few"), [(12, 10_000), (4, 1), (3, 20)])
+def test_kth_smallest_without_a_sort(spark, monkeypatch, digits, few):
+    monkeypatch.setattr(model, "SELECT_DIGITS", digits)
+    monkeypatch.setattr(model, "SELECT_FEW", few)
+    values = sorted([int(x) for x in np.random.default_rng(3).integers(0, 1 << 20, 300)] + [7] * 40)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long").repartition(4)
+    for k in (1, 20, 45, 340):
+        assert model.kth_smallest(df, F.col("v"), k, digits=20) == values[k - 1]
+    assert model.kth_smallest(df, F.col("v"), 341, digits=20) is None
+
+
+@pytest.mark.parametrize("frac", [0.1, 0.37, 0.9])
+def test_exact_holdout_counts_and_participants(spark, frac):
+    df = spark.range(1003).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("p"), F.col("id") % 50)).alias("who"))
+    train, test = model.exact_holdout(df, "id", frac)
+    assert test.count() == round(1003 * frac) and train.count() + test.count() == 1003
+    again = model.exact_holdout(df.repartition(9), "id", frac)[1]
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in test.collect())
+    train, test = model.exact_holdout(df, "id", frac, by="who")
+    a, b = ({r.who for r in d.collect()} for d in (train, test))
+    assert not a & b and len(b) == round(51 * frac) and len(a) + len(b) == 51
+    assert [d.count() for d in model.exact_holdout(df.limit(0), "id", frac)] == [0, 0]
