@@ -34,8 +34,8 @@ from dataclasses import dataclass
 from math import log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -274,14 +274,15 @@ def smoothed(grams: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENC
     return out.select("gram", F.log10("p").alias("log_p"))
 
 
-def looked_up(docs: list[list[bytes]], grams: pa.Array, log_p: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """log10 probability of each document; ``grams`` holds all of theirs, each once."""
+def looked_up(docs: list[list[bytes]], grams: pd.Index, log_p: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 probability of each document; ``grams`` holds all of theirs, each once, and keeps its
+    hash table from call to call."""
     data, start, stop = stream_of(docs, depth)
     per = np.zeros(len(data) + 1)
     for a in range(0, len(data), SLICE):
         code = codes_of(data[max(0, a - depth):a + SLICE], depth)[min(a, depth):]
         # what ends in the padding is in no document
-        per[a:a + len(code)] = log_p.take(pc.index_in(pa.array(code), value_set=grams).fill_null(0).to_numpy())
+        per[a:a + len(code)] = log_p[grams.get_indexer(code)]
     return np.add.reduceat(per, np.stack([start, stop], 1).ravel())[::2]
 
 
@@ -304,7 +305,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         logs = {w: log10(n + 1) for w, n in shared.value.items()}
-        grams, log_p = found["gram"].combine_chunks(), found["log_p"].to_numpy()
+        grams, log_p = pd.Index(found["gram"].to_numpy()), np.append(found["log_p"].to_numpy(), 0.0)
         out = []
         for batch in slices(docs.to_batches(), "text", SLICE):
             own = [words_of(t) for t in texts(batch).to_pylist()]
@@ -334,7 +335,10 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     schema = ("row long, doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, "
               "rare array<struct<word: binary, m: long>>")
     found = own_grams.select(F.col("slice").alias("of"), "gram").join(tree, "gram").select("of", "gram", "log_p")
-    scored = stored(dealt.groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(run, schema), "scored")
+    # a partition per slice: what a task gets does not grow with the corpus
+    parts = max(1, own_grams.select("slice").distinct().count())
+    scored = stored(dealt.repartition(parts, "slice").groupBy("slice")
+                    .cogroup(found.repartition(parts, "of").groupBy("of")).applyInArrow(run, schema), "scored")
     rest = words.where(F.col("n") < often)
     found = (scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m").join(rest, "word")
              .groupBy("row").agg(F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("more_sums")))
