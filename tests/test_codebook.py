@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import types as T
 
-from panelstats.operators.codebook import OrdinalRule, check_rules, encode_categories, score_answers
+from panelstats.operators.codebook import OrdinalRule, check_rules, encode_categories, id_range, intervals, score_answers
 from panelstats.plans import codebooks as cb
 
 
@@ -90,3 +90,38 @@ def test_large_book_uses_a_lookup_join_with_same_codes(spark):
     assert got == sorted([("a5", 5), ("a199", 199), ("zz", -1), (None, -1)], key=repr)
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert out.columns == ["c", "c_numeric"]
+
+
+def test_ranges_are_never_expanded(spark):
+    rules = [OrdinalRule(id_range(1, 10**9), "yes", "1"), OrdinalRule(id_range(10**9 + 1, 10**12), "yes", "2"),
+             OrdinalRule(range(0, -5), "no", "0"), OrdinalRule(id_range(5, 7), "no", "3")]
+    with pytest.raises(ValueError):
+        check_rules(rules)  # an empty range
+    rules.pop(2)
+    assert len(check_rules(rules)) == 3
+    df = spark.createDataFrame([(q, a) for q in (0, 1, 10**9, 10**9 + 1, 10**12, 10**12 + 1, 6, None) for a in ("yes", "no", None)],
+                               "qid long, answer string")
+    got = {(r["qid"], r["answer"]): r["s"] for r in score_answers(df, "qid", "answer", rules, out_col="s").collect()}
+    assert [got[q, "yes"] for q in (0, 1, 10**9, 10**9 + 1, 10**12, 10**12 + 1, 6, None)] == ["yes", "1", "1", "2", "2", "yes", "1", None]
+    assert got[6, "no"] == "3" and got[1, "no"] == "no" and got[6, None] is None
+    plan = score_answers(df, "qid", "answer", rules)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Generate" not in plan
+
+
+def test_a_question_in_several_tuples_and_gaps():
+    assert intervals(OrdinalRule((5, 1, 2, 9), "a", "1")) == [(1, 2), (5, 5), (9, 9)]
+    assert intervals(OrdinalRule(range(3, 9, 2), "a", "1")) == [(3, 3), (5, 5), (7, 7)]
+    for rules in ([OrdinalRule((1, 1), "a", "1")], [OrdinalRule(id_range(1, 50), "a", "1"), OrdinalRule((50,), "a", "1")]):
+        with pytest.raises(ValueError):
+            check_rules(rules)
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 1000])
+def test_scanned_and_searched_books_agree(spark, n):
+    """Intervals of every other ten ids: one answer with n of them, one with a single one."""
+    rules = [OrdinalRule(id_range(20 * i, 20 * i + 9), "a", str(i)) for i in range(n)] + [OrdinalRule((7,), "b", "x")]
+    df = spark.range(-3, 20 * n + 30).selectExpr("id AS qid", "explode(array('a', 'b', 'c', null)) AS answer")
+    want = {(q, a): None if a is None else str(q // 20) if a == "a" and 0 <= q < 20 * n and q % 20 < 10 else "x" if (q, a) == (7, "b") else a
+            for q in range(-3, 20 * n + 30) for a in ("a", "b", "c", None)}
+    out = score_answers(df, "qid", "answer", rules, out_col="s")
+    assert {(r["qid"], r["answer"]): r["s"] for r in out.collect()} == want and out.columns == ["qid", "answer", "s"]
