@@ -148,23 +148,14 @@ def regression_job(df: DataFrame, params: model.RegressionParams = model.Regress
     }
 
 
-def association_report(df: DataFrame) -> dict[str, DataFrame]:
-    """Correlations, gamma, OLS with inference and interaction models (E5)."""
+GAMMA_ROWS = ["baseWellBeingScore", cb.GENDER, cb.GREW_UP, cb.EDUCATION, cb.OCCUPATION]
+GAMMA_COLUMNS = [*GAMMA_ROWS, cb.INDOORS, cb.TREES, cb.SKY, cb.BIRDS, cb.WATER, cb.NATURE]
+
+
+def association_report(df: DataFrame, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Correlations, gamma, OLS with inference and interaction models (E5); with ``only`` just
+    the parts of those names."""
     num = df.withColumn(cb.AGE, col(cb.AGE).try_cast("double"))
-    out = {
-        "pearson": association.pearson(num, [("baseWellBeingScore", cb.AGE),
-                                             ("baseWellBeingScore", cb.GENDER + "_numeric")],
-                                       names=["base_wellbeing_age", "base_wellbeing_gender"]),
-        "gamma": association.gamma_matrix(
-            num, ["baseWellBeingScore", cb.GENDER, cb.GREW_UP, cb.EDUCATION, cb.OCCUPATION],
-            ["baseWellBeingScore", cb.GENDER, cb.GREW_UP, cb.EDUCATION, cb.OCCUPATION, cb.INDOORS,
-             cb.TREES, cb.SKY, cb.BIRDS, cb.WATER, cb.NATURE]),
-        "gamma_interval": association.gamma(num, [(cb.GENDER, cb.OCCUPATION)], level=0.95),
-        "describe": stats.describe(num, [cb.AGE, "baseWellBeingScore", "momWellBeingScore",
-                                         "baseImpulseScore"]),
-        "mean_assessments": stats.mean_assessments(df, "momParticipantUUID", "momAssessmentNumber"),
-        "occupations": stats.distinct_per_participant(df, "momParticipantUUID", cb.OCCUPATION),
-    }
     r = safe_names(num)
     y = "momWellBeingScore"
     numeric = [c + "_numeric" for c in [cb.GENDER, cb.GREW_UP, cb.EDUCATION, cb.OCCUPATION,
@@ -172,12 +163,23 @@ def association_report(df: DataFrame) -> dict[str, DataFrame]:
     place = [c + "_numeric" for c in [cb.TREES, cb.SKY, cb.BIRDS, cb.WATER, cb.NATURE]]
     terms = ([r_name(c) for c in ["baseWellBeingScore", cb.AGE] + numeric] + [r_name(cb.INDOORS)]
              + [r_name(c) for c in place])
-    out["ols"] = model.ols_summary(r, y, terms)
     covars = [r_name(c) for c in ["baseWellBeingScore", cb.AGE, cb.GENDER + "_numeric",
                                   cb.OCCUPATION + "_numeric"]]
     feats = [r_name(cb.INDOORS)] + [r_name(c) for c in place]
-    out["interaction_models"] = model.interaction_models(r, y, covars, "baseImpulseScore", feats)
-    return out
+    parts = {
+        "pearson": lambda: association.pearson(num, [("baseWellBeingScore", cb.AGE),
+                                                     ("baseWellBeingScore", cb.GENDER + "_numeric")],
+                                               names=["base_wellbeing_age", "base_wellbeing_gender"]),
+        "gamma": lambda: association.gamma_matrix(num, GAMMA_ROWS, GAMMA_COLUMNS),
+        "gamma_interval": lambda: association.gamma(num, [(cb.GENDER, cb.OCCUPATION)], level=0.95),
+        "describe": lambda: stats.describe(num, [cb.AGE, "baseWellBeingScore", "momWellBeingScore",
+                                                 "baseImpulseScore"]),
+        "mean_assessments": lambda: stats.mean_assessments(df, "momParticipantUUID", "momAssessmentNumber"),
+        "occupations": lambda: stats.distinct_per_participant(df, "momParticipantUUID", cb.OCCUPATION),
+        "ols": lambda: model.ols_summary(r, y, terms),
+        "interaction_models": lambda: model.interaction_models(r, y, covars, "baseImpulseScore", feats),
+    }
+    return {name: part() for name, part in parts.items() if only is None or name in only}
 
 
 def run_study(answers: DataFrame, params: model.RegressionParams = model.RegressionParams(),
