@@ -30,7 +30,8 @@ from ..functions.labels import clean_label, label_quality, question_key, sorted_
 from ..operators import association, model, panel, stats
 from ..operators.codebook import OrdinalRule, encode_categories, id_range, score_answers
 from ..session import shared_dir
-from ..sources.io import col, declared_schema, first_rows, handover, profile, read_csv, run_sql, safe_names, write_table
+from ..sources.io import (
+    col, declared_schema, first_rows, handover, profile, read_csv, read_csv_checked, run_sql, safe_names, write_table)
 
 # The event types of the driver's tables, for the columns of the SQL twins; the queries discover theirs.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -139,6 +140,29 @@ def csv_inferred(spark, sf_dir):
     return read_csv(spark, path)
 
 
+_BAD_LINE = "CASE WHEN o_orderkey % 50 = 3 THEN 'price' WHEN o_orderkey % 70 = 4 THEN 'short' WHEN o_orderkey % 90 = 5 THEN 'long' END"
+
+
+@register("csv_malformed", f"""
+WITH o AS (SELECT *, {_BAD_LINE} AS fault FROM orders)
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE fault IS NULL) AS n_rows, count(fault) AS n_rejected,
+       sum(o_custkey) FILTER (WHERE fault IS NULL) AS custkeys, count(*) FILTER (WHERE fault = 'price') AS n_rejected_for_price
+FROM o""")
+def csv_malformed(spark, sf_dir):
+    """A CSV file with unparsable, short and long lines; every line is a row or a rejected line."""
+    o = table(spark, sf_dir, "orders").withColumn("fault", F.expr(_BAD_LINE))
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", F.when(F.col("fault") == "price", "unknown").otherwise(F.col("o_totalprice").cast("string")),
+                       F.when(F.col("fault").isNull() | (F.col("fault") != "short"), F.col("o_orderstatus")), F.when(F.col("fault") == "long", "more"))
+    path = shared_dir(spark, "csv_malformed")
+    o.select(line.alias("value")).write.text(path)
+    schema = declared_schema([("key", "bigint"), ("custkey", "bigint"), ("price", "double"), ("status", "string")])
+    good, rejected = read_csv_checked(spark, path, schema, header=False)
+    a = good.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("custkey").alias("custkeys"))
+    b = rejected.agg(F.count("line").alias("n_rejected"), F.count_if(F.col("line").contains("unknown")).alias("n_rejected_for_price"))
+    both = a.join(F.broadcast(b), F.lit(True))  # one row each
+    return both.select((F.col("n_rows") + F.col("n_rejected")).alias("n_lines"), "n_rows", "n_rejected", "custkeys", "n_rejected_for_price")
+
+
 @register("parquet_handover", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
 def parquet_handover(spark, sf_dir):
     """A table handed over through the shared folder as parquet."""
@@ -550,6 +574,36 @@ def mean_assessments(spark, sf_dir):
     return m.select(F.round("mean_assessments", 4).alias("mean_assessments"))
 
 
+_STATE_COLS = ["event_type", "props"]
+_HALVES = ["day < DATE '2024-01-16'", "day >= DATE '2024-01-16'"]
+
+
+def _state_halves(spark, sf_dir, state) -> list[DataFrame]:
+    """States of the events before and from a day on, each stored by itself with the month as its period."""
+    a = answers(spark, sf_dir)
+    return [handover(state(a.where(half), "user_id", _STATE_COLS, F.date_trunc("month", "ts")), "state") for half in _HALVES]
+
+
+@register("merged_state_counts", " UNION ALL ".join(
+    f"SELECT '{c}' AS question, CAST({c} AS VARCHAR) AS answer, count(DISTINCT CASE WHEN {c} IS NOT NULL THEN user_id END) AS n_participants "
+    f"FROM events GROUP BY {c}" for c in _STATE_COLS))
+def merged_state_counts(spark, sf_dir):
+    """Participants per answer from two merged states, without the events."""
+    return stats.counts_of_state(stats.merge_states(*_state_halves(spark, sf_dir, stats.report_state)))
+
+
+@register("merged_sketch_counts", " UNION ALL ".join(
+    f"SELECT '{c}' AS question, CAST({c} AS VARCHAR) AS answer, count(DISTINCT user_id) AS n_participants, true AS within_error "
+    f"FROM events GROUP BY {c}" for c in _STATE_COLS))
+def merged_sketch_counts(spark, sf_dir):
+    """The same from merged sketches, held against the exact counts: within four standard errors."""
+    rough = stats.counts_of_sketches(*_state_halves(spark, sf_dir, stats.sketch_state), out_col="estimate")
+    exact = stats.participants_per_answers(answers(spark, sf_dir), "user_id", _STATE_COLS)
+    error = F.abs(F.col("estimate") - F.col("n_participants")) <= F.ceil(4 * 1.04 / 64 * F.col("n_participants"))
+    same = (rough["question"] == exact["question"]) & rough["answer"].eqNullSafe(exact["answer"])
+    return rough.join(exact, same).select(exact["question"], exact["answer"], "n_participants", error.alias("within_error"))
+
+
 _DESCRIBE = ["l_quantity", "l_extendedprice", "l_discount"]
 
 

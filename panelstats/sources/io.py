@@ -76,6 +76,29 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.csv(path)
 
 
+#: Column of a checked scan that holds the text of a line that does not fit the schema.
+REJECTED_LINE = "__rejected_line"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType,
+                     header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of a CSV scan in which every line is accounted for.
+
+    A line with a value that does not parse as its column's type, or with too few or too
+    many fields, is rejected whole: its text is in the second table (column ``line``), and
+    nothing of it is in the first.  Every line but headers and blank ones is in exactly one
+    of them.  The file is parsed once, into a stored table that both results read; Spark
+    would otherwise prune the columns it need not parse and with them the errors.
+    """
+    schema = declared_schema(schema)
+    whole = T.StructType([*schema.fields, T.StructField(REJECTED_LINE, T.StringType())])
+    parsed = (spark.read.option("header", header).option("mode", "PERMISSIVE").option("enforceSchema", True)
+              .option("columnNameOfCorruptRecord", REJECTED_LINE).schema(whole).csv(path))
+    stored = handover(parsed, "checked_scan")
+    bad = F.col(REJECTED_LINE).isNotNull()
+    return stored.where(~bad).drop(REJECTED_LINE), stored.where(bad).select(F.col(REJECTED_LINE).alias("line"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = True,
                 single_file: bool = False, mode: str = "overwrite") -> str:
     """Write a table (S3/S4).  ``single_file`` funnels through one task: small outputs only."""

@@ -62,3 +62,16 @@ def test_first_rows_and_profile(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "x int")
     assert [r[0] for r in io.first_rows(df, 2, ["x"]).collect()] == [1, 2]
     assert tuple(io.profile(df).first()) == (3, 1)
+
+
+def test_every_line_is_a_row_or_rejected(spark, tmp_path):
+    from panelstats.sources.io import declared_schema, read_csv_checked
+
+    lines = ["a,b,c", "1,2.5,x", "two,2.5,x", "3,,", '4,1.0,"quoted, text"', "5,1.0", "6,1.0,x,more", "", "7,nan?,x", "8,0.5,y"]
+    path = tmp_path / "in.csv"
+    path.write_text("\n".join(lines) + "\n")
+    schema = declared_schema([("a", "int"), ("b", "double"), ("c", "string")])
+    rows, rejected = read_csv_checked(spark, str(path), schema)
+    assert sorted(map(tuple, rows.collect())) == [(1, 2.5, "x"), (3, None, None), (4, 1.0, "quoted, text"), (8, 0.5, "y")]
+    assert sorted(r["line"] for r in rejected.collect()) == sorted(["two,2.5,x", "5,1.0", "6,1.0,x,more", "7,nan?,x"])
+    assert rows.count() + rejected.count() == len(lines) - 2  # the header and the blank line

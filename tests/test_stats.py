@@ -72,3 +72,22 @@ def test_answer_tally_of_many_answers_equals_that_of_few(spark):
     more = answers | {f"n_{i}": f"no such answer {i}" for i in range(100)}
     many = stats.answer_tally(df, ["t", "g", "a"], more).select("question", *answers, "n_total")
     assert sorted(map(tuple, many.collect())) == few
+
+
+def test_states_of_two_halves_merge_to_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"p{i % 37}" if i % 5 else "hot", ("x", "y", None)[i % 3], str(i % 7), i % 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "who string, a string, v string, day int")
+    parts = [stats.report_state(df.where(c), "who", ["a", "v"], "day") for c in ("day < 2", "day >= 2")]
+    state = stats.merge_states(*parts, parts[0])  # a state met twice changes nothing
+    want = stats.participants_per_answers(df, "who", ["a", "v"]).collect()
+    assert sorted(map(tuple, stats.counts_of_state(state).collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert sorted(map(tuple, stats.means_of_state(state).where("question = 'v'").collect())) == sorted(
+        map(tuple, stats.means_of_distinct(df, "who", ["v"]).collect()))
+    rough = {(r["question"], r["answer"]): r["n_participants"] for r in stats.counts_of_sketches(
+        *[stats.sketch_state(df.where(c), "who", ["a", "v"], "day") for c in ("day < 2", "day >= 2")]).collect()}
+    exact = {(r["question"], r["answer"]): r[0] for r in df.select(F.col("who"), F.inline(F.array(
+        F.struct(F.lit("a").alias("question"), F.col("a").alias("answer")), F.struct(F.lit("v").alias("question"), F.col("v").alias("answer")))))
+        .groupBy("question", "answer").agg(F.countDistinct("who").alias("n")).select("n", "question", "answer").collect()}
+    assert rough.keys() == exact.keys() and all(abs(rough[k] - n) <= 1 + 0.05 * n for k, n in exact.items())
