@@ -11,8 +11,8 @@ The grade of a rating is the number of its good marks: quality, and not toxic (0
 Edge cases: ratings with a null in any column are not used, of several ratings of a
 document the lowest counts; documents without any word (or null) get expected grade 0,
 tail probability 0 and are not kept; with fewer than two grades rated every document with a
-word gets the only grade (the top grade if none) and is kept; repeated rows are scored
-alike; an empty table gives an empty result; other columns are ignored.
+word gets the only grade (the top grade if none) for certain, and is kept if that is the top
+grade; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from .common import pick, schema_with, slices, texts
 BUCKETS, BANDS, SAMPLE, LEAST_DOCS = 1 << 18, 12, 10_000, 5
 PASSES, RATE, LASSO = 150, 0.3, 7e-4
 TOP_GRADE, KEEP = 2, 0.5
+SLICE = 2_000_000  # bytes of text at a time
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOLS = "#*$%&<>=@^~"
 N_SHARES = 9
@@ -77,13 +78,13 @@ def summed(weights: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return ends[at] - ends[at - sizes]
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, top: int = TOP_GRADE) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int = TOP_GRADE) -> Ordinal:
     n_features = BUCKETS + N_SHARES * BANDS
     w = np.zeros(n_features)
     t = np.linspace(-1.0, 1.0, top)
     if len(set(grades.tolist())) < 2:
         return Ordinal(w, t, int(grades[0]) if len(grades) else top)
-    flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    flat = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=n_features) >= min(LEAST_DOCS, len(rows))
     keep = seen[flat]
@@ -122,21 +123,22 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Fits on the ``sample`` rated documents whose ids hash lowest; their features come to the driver."""
+    """Fits on the ``sample`` rated documents whose ids hash lowest; their features come to the driver,
+    packed as 32-bit integers, one row per id (of rows that repeat an id the text that hashes lowest)."""
     rows = pick(docs, doc_id="long", text="string")
     # ids first, so that only sampled texts move
-    chosen = rows.select("doc_id").join(ratings, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = rows.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("grade", "text")
+    chosen = rows.select("doc_id").join(ratings, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = (rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade")
+              .agg(F.min(F.struct(F.xxhash64("text"), F.col("text").alias("text"))).alias("t")).select("grade", "t.text"))
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            found = [np.array(features(t), np.int32) for t in texts(batch).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))],
-                                             names=["grade", "features"])
+        for batch in slices(batches, "text", SLICE):
+            found = [np.sort(np.array(features(t), "<i4")).tobytes() for t in texts(batch).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["grade", "features"])
 
-    got = picked.mapInArrow(run, "grade int, features array<int>").collect()
-    got = sorted(((r["grade"], sorted(r["features"])) for r in got if r["features"]))  # an order of its own
-    return fit([f for _, f in got], np.array([g for g, _ in got], np.int64))
+    got = picked.mapInArrow(run, "grade int, features binary").collect()
+    got = sorted((r["grade"], bytes(r["features"])) for r in got if r["features"])  # an order of its own
+    return fit([np.frombuffer(f, "<i4") for _, f in got], np.array([g for g, _ in got], np.int64))
 
 
 def score(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
@@ -147,7 +149,7 @@ def score(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
     top = len(model.thresholds)
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = [features(t) for t in texts(batch).to_pylist()]
             sizes = np.array([len(f) for f in found], np.int64)
             flat = np.array([x for f in found for x in f], np.int64)
@@ -156,7 +158,7 @@ def score(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
             else:
                 p = np.tile(np.arange(1, top + 1) <= model.only, (len(found), 1)).astype(float)
             p[sizes == 0] = 0
-            kept = (sizes > 0) & ((p[:, -1] >= keep) | (model.only is not None))
+            kept = (sizes > 0) & (p[:, -1] >= keep)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(1)), pa.array(p[:, -1]), pa.array(kept)],
                                              names=[*batch.schema.names, *names])
 
