@@ -2,11 +2,21 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
 but the last return the columns of ``documents``.
+
+Edge cases: a document with null or empty text has no word, so the quality classifier
+rejects it; texts may be of any length; a null language takes no part in training; ratings
+with nulls are not used; a document without id is scored like any other, is no near
+duplicate of any, and is packed; rows that repeat an id are scored each, and the near
+duplicates stage keeps one of them, the text that hashes lowest; of documents that tie in a
+group the smallest id stays; empty tables give empty results; further columns are carried
+along as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstats.llm import crf_language, ordinal_quality, packing, partenum_join
@@ -17,19 +27,29 @@ from panelstats.llm.queries import vocabulary
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+#: Columns that the operators read; all others get neutral names while an operator adds its own.
+READ = ("doc_id", "text", "lang")
+
+
+def where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: Column | str) -> DataFrame:
+    """The rows of ``docs`` for which the columns that ``judge`` adds meet ``condition``."""
+    neutral = [c if c in READ else f"own_{i}" for i, c in enumerate(docs.columns)]
+    return judge(docs.toDF(*neutral)).where(condition).select(*neutral).toDF(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade is at least one half."""
     ship(spark)
     model = ordinal_quality.train(docs, ordinal_quality.graded(table(spark, sf_dir, "labels")))
-    return ordinal_quality.score(docs, model).where("kept").select(*docs.columns)
+    return where(docs, lambda d: ordinal_quality.score(d, model), "kept")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one recognised language; learned from those not held out."""
     ship(spark)
     model = crf_language.train(docs, crc_bucket("doc_id", 4) != 2)
-    found = crf_language.label(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    told = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return where(docs, lambda d: crf_language.label(d, model), told)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +60,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = written(groups.select("doc_id").distinct(), "kept")
     kept = among(docs, ids, "doc_id")
     if groups.count() > ids.count():  # rows that repeat an id
-        kept = kept.dropDuplicates(["doc_id"])
+        least = F.min_by(F.struct("*"), F.struct(F.xxhash64("text"), F.col("text")))
+        kept = kept.groupBy(F.col("doc_id").alias("of")).agg(least.alias("row")).select("row.*")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
