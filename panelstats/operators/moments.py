@@ -207,13 +207,17 @@ def least_squares(m: Moments, least_pivot: float = 1e-9) -> dict:
 def t_tail(t: float, free: float) -> float:
     """Two-sided tail probability of Student's t: the regularised incomplete beta function
     I_x(free / 2, 1 / 2) at x = free / (free + t^2), by its continued fraction."""
+    if free > 1e6:  # the normal tail of a value corrected to order 1 / free
+        return math.erfc(abs(t) * (1 - 1 / (4 * free)) / math.sqrt(1 + t * t / (2 * free)) / math.sqrt(2))
     x, y = free / (free + t * t), t * t / (free + t * t)
     a, b = free / 2, 0.5
     if not x:
         return 0.0
     if not y:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(y))
+    # log(gamma(a + 1/2) / gamma(a)); by its series where the difference of two logs would lose digits
+    grown = math.log(a) / 2 - 1 / (8 * a) + 1 / (192 * a ** 3) if a > 1e3 else math.lgamma(a + b) - math.lgamma(a)
+    front = math.exp(grown - math.lgamma(b) - a * math.log1p(t * t / free) + b * math.log(y))
     if x < (a + 1) / (a + b + 2):
         return front * _beta_fraction(a, b, x) / a
     return 1 - front * _beta_fraction(b, a, y) / b

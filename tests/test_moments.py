@@ -140,7 +140,10 @@ def test_t_tail_of_known_cases():
     for t in (0.1, 1.0, 3.0, 40.0):
         assert moments.t_tail(t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi, rel=1e-9)
         assert moments.t_tail(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
-        assert moments.t_tail(t, 1e9) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+        assert moments.t_tail(t, 1e12) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-8)
+    for t in (0.1, 1.0, 3.0, 6.0):  # the forms for few and many degrees of freedom meet
+        assert moments.t_tail(t, 1e6) == pytest.approx(moments.t_tail(t, 1e6 + 1), rel=1e-6)
+        assert moments.t_tail(t, 2000) == pytest.approx(moments.t_tail(t, 2001), rel=2e-2)
 
 
 @pytest.mark.parametrize(("digits", "few"), [(12, 10_000), (4, 1), (3, 20)])
