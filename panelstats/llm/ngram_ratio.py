@@ -1,11 +1,16 @@
 """Quality rules with a hashed n-gram log-likelihood ratio (operator 3), in DataFrame functions only.
 
-The words of a text are reduced to their shapes (runs of lower-case letters, capitals,
-other letters and digits become one character each, everything else stays), and the shapes'
-unigrams and bigrams are hashed into buckets.  Two smoothed multinomials over the buckets
-are estimated, one from the trusted documents and one from the raw corpus, all documents of
-each.  A document's score is the sum over its n-grams of log(p_trusted / p_raw), divided by
-their number, and every document is kept or not by one fixed threshold on it.
+The unigrams and bigrams of a text's lower-cased words are hashed into buckets, and so, into
+buckets of their own, are those of its word shapes (runs of lower-case letters, capitals,
+other letters and digits become one character each, everything else stays).  For each of the
+two kinds two smoothed multinomials over the buckets are estimated, one from the trusted
+documents and one from the raw corpus, all documents of each.  A document's score is the sum
+over its n-grams of log(p_trusted / p_raw), divided by their number, and every document is
+kept or not by one fixed threshold on it.
+
+One scan counts both multinomials.  The log ratios, a number per bucket, become one array in
+the scoring plan, so a document's n-grams are looked up where its text is read: nothing is
+joined or shuffled per n-gram.
 
 Within a text, repeated 5-word windows are found by sorting the windows' hashes with their
 positions, so a text of n words costs n log n; texts without any repeat skip that.
@@ -21,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, among, pick, written
+from .common import BROADCAST_IDS, SPACES, pick, written
 
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -1.0
+WORD_BUCKETS, SHAPE_BUCKETS, SMOOTHING, THRESHOLD = 1 << 16, 1 << 14, 1.0, -0.15
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -71,54 +76,61 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def shape_grams(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the unigrams and bigrams of a text's word shapes."""
-    shape = text
-    for pattern, to in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[\p{Lo}\p{Lt}\p{Lm}]+", "o"), (r"\p{N}+", "0")):
-        shape = F.regexp_replace(shape, pattern, to)
-
+def grams_of(hashes: Column, buckets: int, first: int) -> Column:
+    """Buckets, from ``first`` on, of the unigrams and bigrams of a sequence of hashes."""
     def grams(h: Column) -> Column:
         two = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>"))
         return F.concat(h, F.transform(two, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))))
 
-    hashed = bound(F.transform(words_of(shape), lambda w: F.xxhash64(w)), grams)
-    return F.transform(hashed, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return F.transform(bound(hashes, grams), lambda h: (F.pmod(h, F.lit(buckets)) + first).cast("int"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """(bucket, ratio) for every bucket: log p_trusted - log p_raw.  At most ``buckets`` rows.
+def text_grams(text: Column, words: Column) -> Column:
+    """Buckets of a text's word n-grams, then of its shape n-grams."""
+    shape = text
+    for pattern, to in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[\p{Lo}\p{Lt}\p{Lm}]+", "o"), (r"\p{N}+", "0")):
+        shape = F.regexp_replace(shape, pattern, to)
+    return F.concat(grams_of(F.transform(words, lambda w: F.xxhash64(F.lower(w))), WORD_BUCKETS, 0),
+                    grams_of(F.transform(words_of(shape), lambda w: F.xxhash64(w)), SHAPE_BUCKETS, WORD_BUCKETS))
 
-    ``trusted``: the distinct doc_ids of the trusted documents, stored.
-    """
-    def counts(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.explode(shape_grams(F.col("text"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
+def log_ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> str | None:
+    """log p_trusted - log p_raw of every bucket, in order, as a JSON array; None without trusted
+    n-grams.  ``trusted``: the distinct doc_ids of the trusted documents, stored.
+    """
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    raw, good = counts(rows, "raw"), counts(among(rows, trusted, "doc_id"), "good")
-    both = written(raw.join(F.broadcast(good), "bucket", "left").fillna(0, ["good"]), "ngrams")  # at most ``buckets`` rows
-    totals = both.agg(F.sum("raw").alias("r"), F.sum("good").alias("g")).first()
-    if not totals["g"]:
-        return both.select("bucket", F.lit(None).cast("double").alias("ratio"))
-
-    def log_p(count: str, total: int) -> Column:
-        return F.log((F.col(count) + smoothing) / (total + smoothing * buckets))
-
-    return both.select("bucket", (log_p("good", totals["g"]) - log_p("raw", totals["r"])).alias("ratio"))
-
-
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    ids = trusted.withColumn("good", F.lit(1))
+    rows = rows.join(F.broadcast(ids) if trusted.count() <= BROADCAST_IDS else ids, "doc_id", "left")
+    found = rows.select("good", F.explode(text_grams(F.col("text"), words_of(F.col("text")))).alias("bucket"))
+    counts = written(found.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")), "ngrams")  # a row per bucket
+    size = WORD_BUCKETS + SHAPE_BUCKETS
+    both = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left")
+    both = both.fillna(0, ["raw", "good"]).withColumn("shape", F.col("bucket") >= WORD_BUCKETS)
+    totals = both.groupBy("shape").agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"), F.count("*").alias("n"))
+    both = both.join(F.broadcast(totals), "shape")
+
+    def log_p(count: str, total: str) -> Column:
+        return F.log((F.col(count) + smoothing) / (F.col(total) + smoothing * F.col("n")))
+
+    rows = both.select("bucket", "all_good", (log_p("good", "all_good") - log_p("raw", "all_raw")).alias("ratio"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"])
+    told = rows.agg(F.to_json(ordered).alias("ratios"), F.min("all_good").alias("good")).first()
+    return told["ratios"] if told["good"] else None
+
+
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, the base columns, base_failed, score, kept."""
     rows = pick(docs, doc_id="long", text="string")
-    ratios = log_ratios(rows, trusted, buckets)
+    ratios = log_ratios(rows, trusted)
     full = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", words_of(F.col("text")))
     base = base_columns(F.col("text"), F.col("words"))
-    full = full.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(c.alias(k) for k, c in base.items()),
-                       shape_grams(F.col("text"), buckets).alias("grams"))
-    # a second select: beside an explode the base columns would be computed for every n-gram
-    full = full.select("row", "doc_id", *base, F.explode_outer("grams").alias("bucket"))
-    # a document's n-grams follow each other in one task, so the partial sums leave one row a document
-    scored = (full.join(F.broadcast(ratios), "bucket", "left").groupBy("row", "doc_id", *base)
-              .agg(F.avg("ratio").alias("score")).drop("row"))
+    if ratios is None:
+        score = F.lit(None).cast("double")
+    else:
+        table = F.from_json(F.lit(ratios), "array<double>")
+        score = bound(text_grams(F.col("text"), F.col("words")), lambda grams: F.try_divide(
+            F.aggregate(grams, F.lit(0.0), lambda sum_, g: sum_ + F.get(table, g)), F.size(grams)))
+    scored = full.select("doc_id", *(c.alias(k) for k, c in base.items()), score.alias("score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (scored.withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("score").isNull() | (F.col("score") >= threshold))))
