@@ -2,12 +2,14 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import plain_suffix_tree
 import public_tokenizers as P
 import tiktoken
 from panelstats.llm import (
@@ -117,26 +119,40 @@ def test_window_plan_uses_every_id_once(histogram):
 
 
 def test_neighbours_reach_recall(spark):
+    """On a table of which the fit sees a quarter: recall, exact scores, order and ties."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[500:700] = x[499]
     rows = [(i, [float(v) for v in x[i]], "clash") for i in range(3000)]
-    rows += [(3000, None, ""), (3001, [0.0] * 16, ""), (3002, [float("nan")] * 16, ""), (3020, [1.0], "")]
+    rows += [(3000, None, ""), (3001, [0.0] * 16, ""), (3002, [float("nan")] * 16, ""), (3020, [1.0], ""), (40, rows[40][1], ""), (None, rows[41][1], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = collections.defaultdict(dict)
-    for r in learned_partitions.search(df, F.col("vec_id") % 20 == 0, k=20, part_rows=200).collect():
-        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    got = collections.defaultdict(list)
+    for r in learned_partitions.search(df, F.col("vec_id") % 20 == 0, k=20, sample=750).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 3000, 20))
     y, hits = x.astype(float), 0
     for q, found in got.items():
+        assert [r for r, _, _ in found] == list(range(1, 21)) and len({v for _, v, _ in found}) == 20
+        for _, v, s in found:
+            assert v != q and abs(s - y[v] @ y[q]) < 1e-9
+        # highest first, equal scores by ascending id
+        assert found == sorted(found, key=lambda f: (-f[2], f[1]))
         s = y @ y[q]
         s[q] = -np.inf
         best = np.lexsort((np.arange(3000), -np.round(s, 9)))[:20]
-        hits += len(set(best.tolist()) & set(found.values()))
+        hits += len(set(best.tolist()) & {v for _, v, _ in found})
     assert hits >= 0.9 * 20 * len(got)
+    # 201 equal vectors: a query among them finds the smallest ids of the others first
+    assert [v for _, v, _ in got[500]] == [499, *range(501, 520)]
     assert learned_partitions.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_fewer_candidates_than_asked_for(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
+    got = learned_partitions.search(df, F.col("vec_id") == 0, k=20).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(i, i, 1.0) for i in range(1, 6)]
+
+
 def test_base_counts_of_quality_rules(docs, texts, empty, spark):
     trusted = spark.createDataFrame([(i,) for i in range(20, 40)], "doc_id long")
     rows = ngram_ratio.judge(docs, trusted).collect()
@@ -154,6 +170,52 @@ def test_base_counts_of_quality_rules(docs, texts, empty, spark):
     assert ngram_ratio.judge(empty, trusted).count() == 0
 
 
+def test_ngram_ratio_equals_a_plain_ratio(spark):
+    """Scores and verdicts against a plain Python ratio with the same buckets, which Spark's hash gives."""
+    import regex
+
+    r = random.Random(12)
+    prose = ["The quick brown fox jumps over a lazy dog", "Seven brave sailors crossed the northern sea", "x9 $$ #4f !!", "zzq xxv qqk vvj wwp kkt ppl"]
+    rows = [(i, " ".join(r.choice(prose[:2] if i < 20 else prose).split()[k] for k in range(4) for _ in range(r.randint(1, 5))), "c") for i in range(60)]
+    rows += [(100, None, "c"), (101, "", "c"), (102, "The", "c"), (None, rows[3][1], "c"), (5, rows[40][1], "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(4)
+    trusted = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+
+    def shaped(t):
+        for p, to in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[\p{Lo}\p{Lt}\p{Lm}]+", "o"), (r"\p{N}+", "0")):
+            t = regex.sub(p, to, t)
+        return t
+
+    sets = [[w.lower() for w in (t or "").split()] for _, t, _ in rows], [shaped(t or "").split() for _, t, _ in rows]
+    hashes = dict(map(tuple, spark.createDataFrame([(w,) for w in {w for s in sets for d in s for w in d}], "w string").select("w", F.xxhash64("w")).collect()))
+    pairs = {(hashes[a], hashes[b]) for s in sets for d in s for a, b in zip(d, d[1:])}
+    two = {(a, b): h for a, b, h in spark.createDataFrame(sorted(pairs), "a long, b long").select("a", "b", F.xxhash64("a", "b")).collect()}
+    grams, ratio = [[] for _ in rows], {}
+    for s, size, first in ((sets[0], ngram_ratio.WORD_BUCKETS, 0), (sets[1], ngram_ratio.SHAPE_BUCKETS, ngram_ratio.WORD_BUCKETS)):
+        raw, good = collections.Counter(), collections.Counter()
+        for at, d in enumerate(s):
+            h = [hashes[w] for w in d]
+            own = [first + x % size for x in h + [two[a, b] for a, b in zip(h, h[1:])]]
+            grams[at] += own
+            if rows[at][1] is not None:
+                raw.update(own)
+                if rows[at][0] is not None and rows[at][0] < 20:
+                    good.update(own)
+        for g in raw:
+            ratio[g] = math.log((good[g] + 1) / (sum(good.values()) + size)) - math.log((raw[g] + 1) / (sum(raw.values()) + size))
+    want = [sum(ratio[g] for g in own) / len(own) if own else None for own in grams]
+    got = ngram_ratio.judge(df, trusted).collect()
+    key = lambda i, n, s: (str(i), n, -9.0 if s is None else round(s, 9))
+    assert sorted(key(x["doc_id"], x["n_words"], x["score"]) for x in got) == sorted(
+        key(row[0], len(d), s) for row, d, s in zip(rows, sets[0], want))
+    assert all(x["kept"] == (not x["base_failed"] and (x["score"] is None or x["score"] >= ngram_ratio.THRESHOLD)) for x in got)
+    # equal shapes, other words: other scores
+    a, b = (ngram_ratio.judge(spark.createDataFrame([*rows, (200, t, "c")], df.schema), trusted).where("doc_id = 200").first()["score"]
+            for t in ("the quick brown fox jumps over a lazy dog again", "zzq qqqqq vvvvv kkt wwwww pppp a llll ttt sssss"))
+    assert a > b
+    assert all(x["score"] is None for x in ngram_ratio.judge(df, trusted.limit(0)).collect())
+
+
 def test_suffix_tree_is_a_distribution_and_base_is_exact(docs, texts, empty):
     held = F.col("doc_id") % 7 == 2
     rows = suffix_tree_lm.score(docs, held).collect()
@@ -175,13 +237,21 @@ def test_suffix_tree_is_a_distribution_and_base_is_exact(docs, texts, empty):
     for g, k in grams.items():
         for d in range(6):
             contexts[d, (g >> 8) & ((1 << 8 * d) - 1)][g & 255] += k
-    tree = suffix_tree_lm.build(contexts)
+    tree = plain_suffix_tree.build(contexts)
     mass = 10.0 ** tree.log_p
     mass[:, -1] *= 256 - (tree.log_p.shape[1] - 1)
     assert np.allclose(mass.sum(1), 1)
     assert suffix_tree_lm.score(empty, held).count() == 0
 
 
+def test_with_one_grade_only_the_top_one_is_kept(spark):
+    df = spark.createDataFrame([(i, f"some words {i}", "x") for i in range(6)] + [(0, "some other words", "x"), (None, "words", "y")], "doc_id long, text string, kept string")
+    for q, t, want in ((0, 1, False), (1, 0, True)):
+        marks = spark.createDataFrame([(i, q, t) for i in range(6)], "doc_id long, quality int, toxic int")
+        rows = ordinal_quality.score(df, ordinal_quality.train(df, ordinal_quality.graded(marks))).collect()
+        assert len(rows) == 8 and all(r["kept"] is want for r in rows)
+
+
 def test_ordinal_model_orders_grades_and_rejects_empty(spark, empty):
     r = random.Random(2)
     def text(g):
@@ -193,6 +263,11 @@ def test_ordinal_model_orders_grades_and_rejects_empty(spark, empty):
     model = ordinal_quality.train(df, ordinal_quality.graded(labels))
     assert (np.diff(model.thresholds) >= 0).all()
     got = {x["doc_id"]: x for x in ordinal_quality.score(df, model).collect()}
+    for i, text in list(zip((x["doc_id"] for x in df.collect()), (x["text"] for x in df.collect())))[:20]:
+        ids = ordinal_quality.features(text or "")
+        tails = [1 / (1 + math.exp(-(sum(model.weights[j] for j in ids) - t))) if ids else 0.0 for t in model.thresholds]
+        assert got[i]["expected_grade"] == pytest.approx(sum(tails), abs=1e-6) and got[i]["tail_prob"] == pytest.approx(tails[-1], abs=1e-6)
+        assert got[i]["kept"] == (bool(ids) and tails[-1] >= ordinal_quality.KEEP)
     assert sum(got[i]["kept"] == (i % 3 == 2) for i in range(300)) > 280
     assert not got[300]["kept"] and not got[301]["kept"]
     assert ordinal_quality.score(empty, ordinal_quality.train(empty, ordinal_quality.graded(labels))).count() == 0
@@ -227,6 +302,37 @@ def test_language_of_documents_and_words(spark, empty):
     assert crf_language.label(empty, crf_language.train(empty, F.lit(True))).count() == 0
 
 
+def test_letters_marks_and_other_numbers():
+    assert crf_language.words_of("½ ² ① 12 !") == [] and crf_language.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 A1b") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "a", "b"]
+    model = crf_language.fit([(["en"] * 2, ["the", "of"]), (["de"] * 2, ["und", "der"])])
+    names, score = crf_language.Labeller(model).documents(["½", "①②", "the", "", "\u0301"])
+    assert names == ["und", "und", "en", "und", "und"] and score.tolist()[:2] == [0, 0]
+
+
+def test_a_long_text_is_one_chain(monkeypatch):
+    """Code-switched texts of up to 1,000 words, labelled together in pieces and small lots, as one unbroken chain each."""
+    r = random.Random(8)
+    vocab = {"de": "und der die haus dass", "en": "the of and thing house"}
+    chains = [(lang, [r.choice(vocab[lang].split()) for _ in range(24)]) for lang in vocab for _ in range(40)]
+    r.shuffle(chains)
+    model = crf_language.fit(crf_language.joined(chains))
+    # learned from the joined chains: a change is rarer than staying, and not left to a penalty alone
+    assert (np.diag(model.trans) > model.trans.min(1)).all()
+    assert any(len(set(langs)) == 2 for langs, _ in crf_language.joined(chains))
+    long = [" ".join(r.choice(vocab[lang].split() + ["ab", "cd"]) for lang in ("en", "de") * n for _ in range(25)) for n in (1, 20, 3)]
+    monkeypatch.setattr(crf_language, "PIECE", 7)
+    monkeypatch.setattr(crf_language, "LOT", 5)
+    post, sizes, found = crf_language.Labeller(model).words([*long, "", "the"])
+    assert sizes.tolist() == [50, 1000, 150, 0, 1]
+    at = 0
+    for words in found:
+        if words:
+            emit = crf_language.emissions(words, model.weights)[None]
+            want, _, _ = crf_language.marginals(emit, model.trans, np.array([len(words)]))
+            assert np.allclose(post[at:at + len(words)], want[0])
+        at += len(words)
+
+
 def test_warc_round_trip(spark):
     r = random.Random(4)
     pages = [(i, f"http://h/{i}", "<p>" + r.choice(["same", str(i)]) + "é" * (i % 50), 1) for i in range(300)]
@@ -303,5 +409,5 @@ def test_suffix_tree_asks_every_context(spark):
     for g, n in zip(*suffix_tree_lm.grams_of(words[:-1]), strict=True):
         for d in range(6):
             contexts[d, (int(g) >> 8) & ((1 << 8 * d) - 1)][int(g) & 255] += int(n)
-    want = suffix_tree_lm.log_probabilities(suffix_tree_lm.build(contexts), words)
+    want = plain_suffix_tree.log_probabilities(plain_suffix_tree.build(contexts), words)
     assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-6)
