@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER_BYTES, among, pick, slices, texts, written
+from .common import LOWER_BYTES, among, pick, slices, stored, texts
 
 SHINGLE, OVER, UNDER = 5, 75, 100  # similarity of at least OVER / UNDER
 SMALL_DISTANCE, SLACK, BLOCK, AT_ONCE = 16, 0.1, 1_000, 100
-SLICE = 4_000_000
+SLICE = 2_000_000
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -223,7 +223,7 @@ def close_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """Of the stored pairs (a, b) those whose whole sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(whole_sets(among(docs, written(ids, f"{name}-ids"), "doc_id")), f"{name}-sets")
+    sets = stored(whole_sets(among(docs, stored(ids, f"{name}-ids"), "doc_id")), f"{name}-sets")
 
     def run(frames):
         for f in frames:
@@ -231,7 +231,7 @@ def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
             yield f.loc[yes, ["a", "b"]]
 
     side = lambda s: sets.select(F.col("node").alias(s), F.col("elements").alias(f"x{s}"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"), f"{name}-links")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,14 +240,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the smallest label among its neighbours' and its own, and then
     its label's label, so the number of rounds grows with the logarithm of the longest chain.
     """
-    edges = written(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    edges = stored(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
                     .select("e.a", "e.b").distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         better = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "least").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = written(better.join(jump, "component", "left")
+        new = stored(better.join(jump, "component", "left")
                       .select("node", "old", F.least("component", "further").alias("component")), "labels")
         if not new.where("component < old").limit(1).count():
             return new.select("node", "component")
@@ -335,21 +335,21 @@ def cross_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, tested:
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     docs = pick(docs, doc_id="long", text="string")
-    told = written(described(docs), "documents")
+    told = stored(described(docs), "documents")
     filled = told.where("fp is not null and doc_id is not null")
-    reps = written(filled.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
+    reps = stored(filled.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     nodes = filled.join(reps.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"])
-    nodes = written(nodes.select(F.col("doc_id").alias("node"), "n", "bits"), "nodes")
-    ids = written(reps.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    nodes = stored(nodes.select(F.col("doc_id").alias("node"), "n", "bits"), "nodes")
+    ids = stored(reps.select(F.col("rep").alias("doc_id")).distinct(), "ids")
 
     sigs = signed(among(docs, ids, "doc_id"))
     bucket = Window.partitionBy("sig")
-    shared = written(sigs.withColumn("leader", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket))
+    shared = stored(sigs.withColumn("leader", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket))
                      .where("leader < last").select("sig", "leader", "node"), "shared")
     best = (shared.where("leader < node").groupBy("node", "leader").agg(F.count("*").alias("c"))
             .groupBy("node").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("m"))
             .select((-F.col("m.l")).alias("a"), F.col("node").alias("b")))
-    first = written(close_enough(best, nodes), "first")
+    first = stored(close_enough(best, nodes), "first")
     links = verified(first, docs, "first")
     # versions of one document are one document
     versions = (filled.join(reps, "fp").groupBy("doc_id").agg(F.collect_set("rep").alias("r")).where(F.size("r") > 1)
@@ -359,7 +359,7 @@ def join(docs: DataFrame) -> DataFrame:
     # the nearest of another component is most likely to link; what is left then is searched in full
     for name, nearest in (("second", True), ("third", False)):
         labels = components(links)
-        pairs = written(cross_pairs(members, nodes, labels, tested, nearest), name)
+        pairs = stored(cross_pairs(members, nodes, labels, tested, nearest), name)
         links, tested = links.unionByName(verified(pairs, docs, name)), tested.unionByName(pairs)
     labels = components(links)
 
