@@ -56,3 +56,14 @@ def test_gamma_of_nothing(spark):
     assert association.gamma(spark.createDataFrame([], "a int, b int"), [("a", "b")]).count() == 0
     only = association.gamma(spark.createDataFrame([(1, 1), (1, 1)], "a int, b int"), [("a", "b")]).first()
     assert only["gamma"] is None and only["n_obs"] == 2
+
+
+def test_rows_of_a_strip_are_moved_once(spark, monkeypatch):
+    """Per digit of a rank a row is counted in its task; no copy of it is made and shuffled."""
+    monkeypatch.setattr(dominance, "MOST_DIGITS", 4)
+    df = spark.range(400).select(F.lit(0).alias("g"), F.col("id").alias("a"), ((F.col("id") * 7) % 400).alias("b"), F.lit(1.0).alias("w"))
+    out = dominance.dominated(df, "g", "a", "b", "w", 400, "m")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Window" not in plan and plan.count("FlatMapGroupsInArrow") == 2
+    b = np.arange(400) * 7 % 400
+    assert {x["a"]: x["m"] for x in out.collect()} == {i: float((b[:i] < b[i]).sum()) for i in range(400)}
