@@ -34,7 +34,9 @@ WINDOW = 5
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    for space in SPACES:  # byte searches; translate looks up every character
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def bound(value: Column, then) -> Column:
@@ -66,11 +68,11 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
 
 def base_columns(text: Column, words: Column) -> dict[str, Column]:
     length = F.char_length(text)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " " + SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.char_length(F.translate(text, " " + SPACES, "")).cast("long"),
-        "n_symbols": (length - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+        "n_symbols": (length - F.char_length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long"),
         "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words),
     }

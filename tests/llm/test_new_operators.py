@@ -229,3 +229,17 @@ def test_least_squares_are_shapley_values():
         want = [sum((table[s | 1 << i] - table[s]) * math.factorial(s.bit_count()) * math.factorial(k - 1 - s.bit_count())
                     for s in range(1 << k) if not s >> i & 1) for i in range(k)]
         assert [sum(w * v for w, v in zip(row, table, strict=True)) for row in filter_audit.shapley_map(k)] == want
+
+
+def test_ngram_ratio_looks_up_no_single_character(spark):
+    """Words, symbols and lines are found by searches; translate takes a look-up per character."""
+    from panelstats.llm import ngram_ratio
+
+    text = "a\tb\x0bc\x0c d\r\n \t\x0b\x0c\r\n#x|<> é z\nq q\nq q\n 😀 "
+    df = spark.createDataFrame([(text,), ("",), (" \n ",)], "text string")
+    words = ngram_ratio.words_of(F.col("text"))
+    out = df.select(words.alias("words"), *[c.alias(k) for k, c in ngram_ratio.base_columns(F.col("text"), words).items()])
+    assert "translate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = [tuple(r) for r in out.collect()]
+    assert rows[0][0] == ["a", "b", "c", "d", "#x|<>", "é z", "q", "q", "q", "q", "😀"]
+    assert rows[0][1:] == (11, 17, 4, 1, 0) and rows[1][1:] == rows[2][1:] == (0, 0, 0, 0, 0)
