@@ -35,7 +35,7 @@ from .token_planes import with_end
 
 LONGEST, SHORTEST, GRAIN = 1024, 64, 32
 BUCKET_ROWS, STEP_IDS = 2_000, 65_536
-SLICE = 2_000_000  # bytes of text at a time
+SLICE = 4_000_000  # bytes of text at a time
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, grain_crcs array<long>"
 
 
