@@ -58,3 +58,11 @@ def test_keys_of_any_kind_are_gathered(spark):
                                "k struct<i: int, s: string>, d double, v string").coalesce(1)
     got = {(str(r["k"]), str(r["d"])): r["v"] for r in panel.gathered(df, 2).collect()}
     assert got == {("Row(i=1, s='a')", "0.0"): ["x", "y"], ("Row(i=2, s=None)", "nan"): ["z"], ("None", "None"): [None]}
+
+
+def test_merging_tasks_grow_with_the_answers(spark, monkeypatch):
+    monkeypatch.setattr(panel, "MERGE_ANSWERS", 5)
+    df = _answers(spark)
+    got = panel.pivot_kept(df, ["p", "n"], "q", "v", ["t", "i"], "p", "n", 2)
+    assert got.rdd.getNumPartitions() >= 16  # at least the 80 answers that all stretches together hold
+    assert _rows(got) == _rows(_plain(df, 2, True))
