@@ -25,6 +25,8 @@ from panelstats.llm.queries import vocabulary
 
 #: A document stays if its language's share of the word posteriors is at least this.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Bytes of text that packing takes at a time, beside what the workers hold from the stages before.
+PACKED_BYTES = 4_000_000
 
 
 #: Columns that the operators read; all others get neutral names while an operator adds its own.
@@ -68,7 +70,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     ship(spark)
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, most=PACKED_BYTES)
 
 
 STAGES = [("quality classifier", quality), ("language ID", language), ("n-gram Jaccard join", near_duplicates), ("packing", pack)]
@@ -76,8 +78,18 @@ STAGES = [("quality classifier", quality), ("language ID", language), ("n-gram J
 ORACLE_SQL = None
 
 
+#: Rows that go to a Python worker at a time: a batch of whole texts is held on both sides at once.
+BATCH_ROWS = 1_000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    finally:
+        spark.conf.set(key, before)
     return docs

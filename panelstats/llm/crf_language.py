@@ -131,12 +131,13 @@ class Crf:
 
 
 def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
-    if not words:
-        return np.zeros((0, weights.shape[1]))
-    found = [features(w) for w in words]
-    sizes = np.array([len(f) for f in found])
-    flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
-    return np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0)
+    out = np.zeros((len(words), weights.shape[1]))
+    for a in range(0, len(words), LOT):  # a word has some dozens of features
+        found = [features(w) for w in words[a:a + LOT]]
+        sizes = np.array([len(f) for f in found])
+        flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
+        out[a:a + LOT] = np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0)
+    return out
 
 
 def joined(chains: list[tuple[str, list[str]]]) -> list[tuple[list[str], list[str]]]:

@@ -35,7 +35,7 @@ from .token_planes import with_end
 
 LONGEST, SHORTEST, GRAIN = 1024, 64, 32
 BUCKET_ROWS, STEP_IDS = 2_000, 65_536
-SLICE = 4_000_000  # bytes of text at a time
+SLICE = 8_000_000  # bytes of text at a time: the larger, the fewer chunks are looked up again
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, grain_crcs array<long>"
 
 
@@ -44,13 +44,13 @@ def grains(length: int, grain: int) -> list[int]:
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, longest: int = LONGEST, grain: int = GRAIN,
-              keep_ids: bool = False) -> DataFrame:
+              keep_ids: bool = False, most: int = SLICE) -> DataFrame:
     """Windows of ``longest`` ids and a remainder per document; a remainder also carries the
     crc32 of each grain, from which that of any part cut at grains follows.  ``keep_ids``
-    adds the ids themselves."""
+    adds the ids themselves.  A task takes ``most`` bytes of text at a time."""
     def run(batches):
         enc = encoder(path)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", most):
             ids, at = with_end(*enc.encode(texts(batch)), end_id)
             data = ids.astype("<u4", copy=False)
             total = np.diff(at)
@@ -278,11 +278,11 @@ def pack(pieces: DataFrame, longest: int = LONGEST, shortest: int = SHORTEST, gr
     return ranked.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, keep_ids: bool = False, **settings) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, keep_ids: bool = False, most: int = SLICE, **settings) -> DataFrame:
     """Tokenizes, cuts and packs ``docs`` (doc_id, text); the pieces are stored, so texts are
     tokenized once."""
     cuts = {k: v for k, v in settings.items() if k in ("longest", "grain")}
-    return pack(written(pieces_of(docs, path, end_id, keep_ids=keep_ids, **cuts), "pieces"), **settings)
+    return pack(written(pieces_of(docs, path, end_id, keep_ids=keep_ids, most=most, **cuts), "pieces"), **settings)
 
 
 def sequences(packed: DataFrame, pad_id: int = 0) -> DataFrame:
