@@ -3,7 +3,8 @@
 Every byte has a printable character; the vocabulary is written in those characters.
 A text is cut at spaces into chunks ("word with the space before it").  The splitting
 pattern never joins a non-space character with a following space, so a chunk between
-two non-space characters encodes alone as it does inside its text.  Distinct chunks of a
+two non-space characters encodes alone as it does inside its text, and so do a word and what
+follows it in the chunk.  Distinct chunks of a
 batch are encoded once by the tokenizers library, and the ids are gathered by index.
 Texts for which that cut is not proven safe (runs of white space around a cut) are
 encoded whole.  The memory of encoded chunks is bounded and is only a memory: ids do
@@ -18,7 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ from .common import pick, slices, texts
 
 CHUNKS_KEPT = 600_000
 JOINED = 512
+#: A chunk of letters, then a mark that is no letter: the splitting pattern always cuts between them.
+#: Apostrophes are left out, as some patterns keep contractions with their word.
+WORD_AND_REST = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſА-я]+)([!-&(-@\[-`{-~\n].*)", re.S)
 
 
 def byte_characters() -> list[str]:
@@ -91,9 +97,11 @@ def token_bytes(tok) -> list[bytes]:
     return out
 
 
-def _open_end(chunk: str) -> bool:
-    """Whether white space may run on from this chunk into the next."""
-    return not chunk or chunk[-1].isspace() or chunk[-1] in "\u180e\u200b\ufeff"
+def _open_ends(chunks: pa.Array) -> np.ndarray:
+    """Whether white space may run on from each chunk into the next."""
+    last = pc.utf8_slice_codeunits(chunks, -1).dictionary_encode()
+    found = [not c or c.isspace() or c in "\u180e\u200b\ufeff" for c in last.dictionary.to_pylist()]
+    return np.array(found, bool)[np.asarray(last.indices)]
 
 
 class ChunkEncoder:
@@ -113,22 +121,49 @@ class ChunkEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _room(self, ids: int, chunks: int) -> None:
+        while self.used + ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + chunks > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
+
+    def _add(self, names: list[str], ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Stores ids of which ``names[i]`` has ``size[i]`` from ``first[i]`` on."""
+        self._room(len(ids), len(names))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.begin[self.n:self.n + len(names)] = self.used + first
+        self.size[self.n:self.n + len(names)] = size
+        self.code.update(zip(names, range(self.n, self.n + len(names)), strict=True))
+        self.used, self.n = self.used + len(ids), self.n + len(names)
+
     def _learn(self, chunks: list[str]) -> None:
+        """A word and what follows it are learned apart, and each once: many chunks share them."""
+        cuts = [WORD_AND_REST.fullmatch(c) for c in chunks]
+        both = [(c, m[1], f" {m[2]}") for c, m in zip(chunks, cuts, strict=True) if m]
+        fresh = dict.fromkeys(c for c, m in zip(chunks, cuts, strict=True) if not m)
+        for _, word, rest in both:
+            fresh[word] = fresh[rest] = None
+        self._learn_pieces([c for c in fresh if c not in self.code])
+        if not both:
+            return
+        parts = np.array([[self.code[word], self.code[rest]] for _, word, rest in both]).ravel()
+        n = self.size[parts]
+        end = np.cumsum(n)
+        ids = self.flat[np.repeat(self.begin[parts] - (end - n), n) + np.arange(end[-1])]
+        size = n[::2] + n[1::2]
+        self._add([c for c, _, _ in both], ids, end[1::2] - size, size)
+
+    def _learn_pieces(self, chunks: list[str]) -> None:
+        """Chunks, and rests of chunks (marked by a space in front), which are encoded behind the word "a"."""
         for k in range(0, len(chunks), JOINED):
             some = chunks[k:k + JOINED]
-            ids = self.whole(" " + " ".join(some))
-            ends = np.cumsum([len(c.encode()) + 1 for c in some])
-            at = np.searchsorted(np.cumsum(self.token_len[ids]), ends) + 1
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while self.n + len(some) > len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.begin, self.size))
-            self.flat[self.used:self.used + len(ids)] = ids
-            first = np.concatenate([[0], at[:-1]])
-            self.begin[self.n:self.n + len(some)] = self.used + first
-            self.size[self.n:self.n + len(some)] = at - first
-            self.code.update(zip(some, range(self.n, self.n + len(some)), strict=True))
-            self.used, self.n = self.used + len(ids), self.n + len(some)
+            rest = np.fromiter((c[:1] == " " for c in some), bool, len(some))
+            ids = self.whole(" " + " ".join([f"a{c[1:]}" if c[:1] == " " else c for c in some]))
+            length = np.array([len(c.encode()) + 1 for c in some])
+            ends, until = np.cumsum(length), np.cumsum(self.token_len[ids])
+            at = np.searchsorted(until, ends) + 1
+            first = np.where(rest, np.searchsorted(until, ends - length + 2) + 1, np.concatenate([[0], at[:-1]]))
+            self._add(some, ids, first, at - first)
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): text ``i`` has ``ids[offsets[i]:offsets[i + 1]]``."""
@@ -141,15 +176,14 @@ class ChunkEncoder:
         coded = words.dictionary_encode()
         uniq = coded.dictionary.to_numpy(zero_copy_only=False)
         index = np.asarray(coded.indices)
-        loose = np.fromiter(map(_open_end, uniq), bool, len(uniq))
-        bad = np.add.reduceat(loose[index].astype(np.int64), at[:-1]) > 0
         if self.n > self.kept:
             self._forget()
-        codes = [self.code.get(c, -1) for c in uniq]
-        if new := [c for c, k, x in zip(uniq, codes, loose, strict=True) if k < 0 and not x]:
-            self._learn(new)
-            codes = [self.code.get(c, -1) for c in uniq]
-        codes = np.array(codes, np.int64)
+        loose = _open_ends(coded.dictionary)
+        bad = np.add.reduceat(loose[index].astype(np.int64), at[:-1]) > 0
+        codes = np.fromiter(map(self.code.get, uniq, repeat(-1)), np.int64, len(uniq))
+        if len(new := np.flatnonzero((codes < 0) & ~loose)):
+            self._learn(names := uniq[new].tolist())
+            codes[new] = [self.code[c] for c in names]
         known = codes >= 0
         begin, size = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
         begin[known], size[known] = self.begin[codes[known]], self.size[codes[known]]

@@ -5,12 +5,29 @@ import string
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from panelstats.llm import crf_language
+from panelstats.llm import byte_bpe, crf_language
 
 import corpus_pipeline
 
 
+def test_a_word_is_learned_once_whatever_follows_it(monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    enc = byte_bpe.ChunkEncoder(byte_bpe.load_tokenizer(tokenizers.path("byte_bpe_50k.json")))
+    learned = []
+    real = enc._learn_pieces
+    monkeypatch.setattr(enc, "_learn_pieces", lambda chunks: learned.extend(chunks) or real(chunks))
+    found = ["so wordly, wordly. wordly\nThe wordly!! don't I'm, été, été. éte1 x", "a wordly, b wordly.", "Ωword, ſo- привет. 中文, 中文."]
+    for _ in range(2):
+        ids, at = enc.encode(pa.array(found, pa.large_string()))
+        for i, t in enumerate(found):
+            assert ids[at[i]:at[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+    assert learned.count("wordly") == 1 and len(learned) == len(set(learned))
+    assert not {"wordly,", "wordly.", "wordly!!", "été,"} & set(learned)
+
+
 def test_emissions_take_some_words_at_a_time():
     rnd = random.Random(1)
     words = ["".join(rnd.choices(string.ascii_lowercase, k=8)) for _ in range(12_000)]
