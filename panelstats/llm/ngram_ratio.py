@@ -44,11 +44,15 @@ def bound(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def after(values: Column, n: int) -> Column:
+    """The array without its first ``n`` elements."""
+    return F.slice(values, F.lit(n + 1), F.greatest(F.size(values) - n, F.lit(0)))
+
+
 def repeated_words(words: Column, n: int = WINDOW) -> Column:
     """Number of words in n-word windows that occur twice or more."""
     def of_hashes(h: Column) -> Column:
-        at = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n))))
+        return F.transform(after(h, n - 1), lambda last, i: F.xxhash64(F.get(h, i), *(F.get(h, i + k) for k in range(1, n - 1)), last))
 
     def covered(windows: Column) -> Column:
         rows = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -78,22 +82,27 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def grams_of(hashes: Column, buckets: int, first: int) -> Column:
-    """Buckets, from ``first`` on, of the unigrams and bigrams of a sequence of hashes."""
-    def grams(h: Column) -> Column:
-        two = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.concat(h, F.transform(two, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))))
-
-    return F.transform(bound(hashes, grams), lambda h: (F.pmod(h, F.lit(buckets)) + first).cast("int"))
+def grams_of(hashes: Column) -> Column:
+    """Hashes of the unigrams and bigrams of a sequence of hashes."""
+    return bound(hashes, lambda h: F.concat(h, F.transform(after(h, 1), lambda x, i: F.xxhash64(F.get(h, i), x))))
 
 
 def text_grams(text: Column, words: Column) -> Column:
-    """Buckets of a text's word n-grams, then of its shape n-grams."""
+    """Hashes of a text's word n-grams and of its shape n-grams, as a struct of two arrays."""
     shape = text
-    for pattern, to in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"[\p{Lo}\p{Lt}\p{Lm}]+", "o"), (r"\p{N}+", "0")):
+    for pattern, to in ((r"\p{Ll}++", "a"), (r"\p{Lu}++", "A"), (r"[\p{Lo}\p{Lt}\p{Lm}]++", "o"), (r"\p{N}++", "0")):
         shape = F.regexp_replace(shape, pattern, to)
-    return F.concat(grams_of(F.transform(words, lambda w: F.xxhash64(F.lower(w))), WORD_BUCKETS, 0),
-                    grams_of(F.transform(words_of(shape), lambda w: F.xxhash64(w)), SHAPE_BUCKETS, WORD_BUCKETS))
+    return F.struct(grams_of(F.transform(words, lambda w: F.xxhash64(F.lower(w)))).alias("words"),
+                    grams_of(F.transform(words_of(shape), lambda w: F.xxhash64(w))).alias("shapes"))
+
+
+def word_bucket(h: Column) -> Column:
+    return h.bitwiseAND(WORD_BUCKETS - 1).cast("int")  # a power of two
+
+
+def shape_bucket(h: Column) -> Column:
+    """Bucket of a shape n-gram; they come after those of the words."""
+    return (h.bitwiseAND(SHAPE_BUCKETS - 1) + WORD_BUCKETS).cast("int")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> str | None:
@@ -103,7 +112,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     ids = trusted.withColumn("good", F.lit(1))
     rows = rows.join(F.broadcast(ids) if trusted.count() <= BROADCAST_IDS else ids, "doc_id", "left")
-    found = rows.select("good", F.explode(text_grams(F.col("text"), words_of(F.col("text")))).alias("bucket"))
+    grams = bound(text_grams(F.col("text"), words_of(F.col("text"))),
+                  lambda g: F.struct(F.size(g["words"]).alias("n"), F.concat(g["words"], g["shapes"]).alias("h")))
+    grams = rows.select("good", grams.alias("g")).select("good", "g.n", F.posexplode("g.h").alias("at", "h"))
+    found = grams.select("good", F.when(F.col("at") < F.col("n"), word_bucket(F.col("h"))).otherwise(shape_bucket(F.col("h"))).alias("bucket"))
     counts = written(found.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")), "ngrams")  # a row per bucket
     size = WORD_BUCKETS + SHAPE_BUCKETS
     both = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counts), "bucket", "left")
@@ -130,8 +142,13 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
         score = F.lit(None).cast("double")
     else:
         table = F.from_json(F.lit(ratios), "array<double>")
-        score = bound(text_grams(F.col("text"), F.col("words")), lambda grams: F.try_divide(
-            F.aggregate(grams, F.lit(0.0), lambda sum_, g: sum_ + F.get(table, g)), F.size(grams)))
+
+        def mean(g: Column) -> Column:
+            of_words = F.aggregate(g["words"], F.lit(0.0), lambda sum_, h: sum_ + F.get(table, word_bucket(h)))
+            both = F.aggregate(g["shapes"], of_words, lambda sum_, h: sum_ + F.get(table, shape_bucket(h)))
+            return F.try_divide(both, F.size(g["words"]) + F.size(g["shapes"]))
+
+        score = bound(text_grams(F.col("text"), F.col("words")), mean)
     scored = full.select("doc_id", *(c.alias(k) for k, c in base.items()), score.alias("score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (scored.withColumn("base_failed", failed)

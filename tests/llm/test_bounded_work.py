@@ -7,8 +7,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from panelstats.llm import byte_bpe, crf_language
+from panelstats.llm import byte_bpe, crf_language, ngram_ratio
 
 import corpus_pipeline
 
@@ -51,3 +52,13 @@ def test_pipeline_hands_over_small_batches(spark, tmp_path, monkeypatch):
     before = spark.conf.get(key)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3
     assert int(seen[0]) == corpus_pipeline.BATCH_ROWS and spark.conf.get(key) == before
+
+
+def test_grams_of_short_and_long_sequences(spark):
+    rows = spark.createDataFrame([([],), ([5],), ([5, 7],), ([5, 7, 5],)], "h array<long>")
+    got = [r[0] for r in rows.select(ngram_ratio.grams_of(F.col("h"))).collect()]
+    pair = lambda a, b: spark.range(1).select(F.xxhash64(F.lit(a).cast("long"), F.lit(b).cast("long"))).first()[0]
+    assert got == [[], [5], [5, 7, pair(5, 7)], [5, 7, 5, pair(5, 7), pair(7, 5)]]
+    for h in (-3, 0, 1 << 40, -(1 << 62) + 9):
+        word, shape = spark.range(1).select(ngram_ratio.word_bucket(F.lit(h).cast("long")), ngram_ratio.shape_bucket(F.lit(h).cast("long"))).first()
+        assert (word, shape) == (h % ngram_ratio.WORD_BUCKETS, ngram_ratio.WORD_BUCKETS + h % ngram_ratio.SHAPE_BUCKETS)
