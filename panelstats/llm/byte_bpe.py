@@ -19,9 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ CHUNKS_KEPT = 600_000
 JOINED = 512
 #: A chunk of letters, then a mark that is no letter: the splitting pattern always cuts between them.
 #: Apostrophes are left out, as some patterns keep contractions with their word.
-WORD_AND_REST = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſА-я]+)([!-&(-@\[-`{-~\n].*)", re.S)
+WORD_AND_REST = r"(?s)\A(?P<word>[A-Za-zÀ-ÖØ-öø-ſА-я]+)(?P<rest>[!-&(-@\[-`{-~\n].*)\z"
 
 
 def byte_characters() -> list[str]:
@@ -138,20 +137,22 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """A word and what follows it are learned apart, and each once: many chunks share them."""
-        cuts = [WORD_AND_REST.fullmatch(c) for c in chunks]
-        both = [(c, m[1], f" {m[2]}") for c, m in zip(chunks, cuts, strict=True) if m]
-        fresh = dict.fromkeys(c for c, m in zip(chunks, cuts, strict=True) if not m)
-        for _, word, rest in both:
-            fresh[word] = fresh[rest] = None
+        cuts = pc.extract_regex(pa.array(chunks, pa.large_string()), WORD_AND_REST)
+        cut = np.asarray(cuts.is_valid())
+        words, rests = (cuts.drop_null().field(f).dictionary_encode() for f in ("word", "rest"))
+        own, after = words.dictionary.to_pylist(), [f" {r}" for r in rests.dictionary.to_pylist()]
+        fresh = dict.fromkeys([*compress(chunks, ~cut), *own, *after])
         self._learn_pieces([c for c in fresh if c not in self.code])
-        if not both:
+        if not own:
             return
-        parts = np.array([[self.code[word], self.code[rest]] for _, word, rest in both]).ravel()
+        parts = np.empty(2 * len(words), np.int64)
+        for k, (names, coded) in enumerate(((own, words), (after, rests))):
+            parts[k::2] = np.array([self.code[c] for c in names])[np.asarray(coded.indices)]
         n = self.size[parts]
         end = np.cumsum(n)
         ids = self.flat[np.repeat(self.begin[parts] - (end - n), n) + np.arange(end[-1])]
         size = n[::2] + n[1::2]
-        self._add([c for c, _, _ in both], ids, end[1::2] - size, size)
+        self._add(list(compress(chunks, cut)), ids, end[1::2] - size, size)
 
     def _learn_pieces(self, chunks: list[str]) -> None:
         """Chunks, and rests of chunks (marked by a space in front), which are encoded behind the word "a"."""

@@ -2,6 +2,7 @@
 
 import random
 import string
+import sys
 import tracemalloc
 
 import numpy as np
@@ -62,3 +63,23 @@ def test_grams_of_short_and_long_sequences(spark):
     for h in (-3, 0, 1 << 40, -(1 << 62) + 9):
         word, shape = spark.range(1).select(ngram_ratio.word_bucket(F.lit(h).cast("long")), ngram_ratio.shape_bucket(F.lit(h).cast("long"))).first()
         assert (word, shape) == (h % ngram_ratio.WORD_BUCKETS, ngram_ratio.WORD_BUCKETS + h % ngram_ratio.SHAPE_BUCKETS)
+
+
+def test_chunks_are_cut_by_arrow_and_not_one_by_one():
+    """Fewer Python calls than chunks: each word and each rest is met once, a chunk itself never."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    enc = byte_bpe.ChunkEncoder(byte_bpe.load_tokenizer(tokenizers.path("byte_bpe_50k.json")))
+    words = [f"{a}{b}ßж" for a in "abcdefghijklmnopqrstuvwxy" for b in "zxwv"]
+    rests = [*(f"{a}{b}" for a in ".,;:!?)]}" for b in ["", "1", "x", "\nx", "\r1", "é'", "\n\nb.", "\u2028q", "🙂", "]"])]
+    chunks = [w + r for w in words for r in rests] + ["'s", "don't", "3.14", "x", "漢字.", "a\x00", "¡ay!"]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        enc._learn(chunks)
+    finally:
+        sys.setprofile(None)
+    assert len(chunks) > 9_000 and len(calls) < 4_000
+    for c in chunks[::97] + chunks[-8:]:
+        k = enc.code[c]
+        got = enc.flat[enc.begin[k]:enc.begin[k] + enc.size[k]].tolist()
+        assert got == enc.whole(f" {c}").tolist()
