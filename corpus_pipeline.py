@@ -70,7 +70,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     ship(spark)
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, most=PACKED_BYTES)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, most=PACKED_BYTES, lasting=False)
 
 
 STAGES = [("quality classifier", quality), ("language ID", language), ("n-gram Jaccard join", near_duplicates), ("packing", pack)]

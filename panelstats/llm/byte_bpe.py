@@ -110,9 +110,9 @@ class ChunkEncoder:
         self.tok, self.kept = tok, kept
         self.token_bytes = token_bytes(tok)
         self.token_len = np.array([len(t) for t in self.token_bytes], np.int64)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.begin, self.size, self.n = np.empty(1 << 17, np.int64), np.empty(1 << 17, np.int64), 0
@@ -178,7 +178,7 @@ class ChunkEncoder:
         uniq = coded.dictionary.to_numpy(zero_copy_only=False)
         index = np.asarray(coded.indices)
         if self.n > self.kept:
-            self._forget()
+            self.forget()
         loose = _open_ends(coded.dictionary)
         bad = np.add.reduceat(loose[index].astype(np.int64), at[:-1]) > 0
         codes = np.fromiter(map(self.code.get, uniq, repeat(-1)), np.int64, len(uniq))

@@ -35,8 +35,8 @@ from .common import pick, schema_with, slices, texts
 BUCKETS = 1 << 17
 SAMPLE_DOCS, SAMPLE_CHAINS, SAMPLE_WORDS, MIXED = 4_000, 6_000, 24, 6
 PASSES, RATE, RIDGE = 30, 0.4, 1e-4
-#: Words whose emissions a task keeps; words of a piece of a chain, and pieces worked on at a time.
-WORDS_KEPT, PIECE, LOT, SLICE = 400_000, 64, 2_048, 2_000_000
+#: Words whose emissions a task keeps; words of a piece of a chain; new words, pieces and bytes of text at a time.
+WORDS_KEPT, PIECE, LOT, PIECES, SLICE = 400_000, 64, 2_048, 256, 500_000
 
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
@@ -199,7 +199,7 @@ class Labeller:
 
     def __init__(self, model: Crf):
         self.model = model
-        self.weights = model.weights.astype(np.float64)
+        self.weights = np.asarray(model.weights, np.float64)
         self._forget()
 
     def _forget(self):
@@ -210,7 +210,12 @@ class Labeller:
         if len(self.code) > WORDS_KEPT:
             self._forget()
         if new := [w for w in set(words) if w not in self.code]:
-            self.emit = np.concatenate([self.emit, emissions(new, self.weights)])
+            n = len(self.code)
+            if n + len(new) > len(self.emit):  # room for half as many more: small batches are added often
+                more = np.empty((n + len(new) + n // 2, self.emit.shape[1]))
+                more[:n] = self.emit[:n]
+                self.emit = more
+            self.emit[n:n + len(new)] = emissions(new, self.weights)
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
         return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
@@ -234,8 +239,8 @@ class Labeller:
         broken = (pieces > 1)[text_of]
 
         def lots(rows):
-            for a in range(0, len(rows), LOT):
-                own = rows[a:a + LOT]
+            for a in range(0, len(rows), PIECES):
+                own = rows[a:a + PIECES]
                 mask = np.arange(int(length[own[0]])) < length[own, None]
                 place = np.where(mask, begin[own, None] + np.arange(mask.shape[1]), 0)
                 yield own, mask, place, self.emit[codes[place]]

@@ -44,10 +44,11 @@ def grains(length: int, grain: int) -> list[int]:
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, longest: int = LONGEST, grain: int = GRAIN,
-              keep_ids: bool = False, most: int = SLICE) -> DataFrame:
+              keep_ids: bool = False, most: int = SLICE, lasting: bool = True) -> DataFrame:
     """Windows of ``longest`` ids and a remainder per document; a remainder also carries the
     crc32 of each grain, from which that of any part cut at grains follows.  ``keep_ids``
-    adds the ids themselves.  A task takes ``most`` bytes of text at a time."""
+    adds the ids themselves.  A task takes ``most`` bytes of text at a time; what it learned stays
+    for its worker's next task, unless that serves other work too (``lasting`` false)."""
     def run(batches):
         enc = encoder(path)
         for batch in slices(batches, "text", most):
@@ -72,6 +73,8 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, longest: int = LONGEST, g
                                      pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        if not lasting:
+            enc.forget()
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, PIECES + ", ids array<int>" * keep_ids)
 
@@ -278,11 +281,12 @@ def pack(pieces: DataFrame, longest: int = LONGEST, shortest: int = SHORTEST, gr
     return ranked.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, keep_ids: bool = False, most: int = SLICE, **settings) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 0, keep_ids: bool = False, most: int = SLICE,
+                   lasting: bool = True, **settings) -> DataFrame:
     """Tokenizes, cuts and packs ``docs`` (doc_id, text); the pieces are stored, so texts are
     tokenized once."""
     cuts = {k: v for k, v in settings.items() if k in ("longest", "grain")}
-    return pack(written(pieces_of(docs, path, end_id, keep_ids=keep_ids, most=most, **cuts), "pieces"), **settings)
+    return pack(written(pieces_of(docs, path, end_id, keep_ids=keep_ids, most=most, lasting=lasting, **cuts), "pieces"), **settings)
 
 
 def sequences(packed: DataFrame, pad_id: int = 0) -> DataFrame:

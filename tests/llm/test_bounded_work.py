@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelstats.llm import byte_bpe, crf_language, ngram_ratio
+from panelstats.llm import byte_bpe, common, crf_language, ngram_ratio
 
 import corpus_pipeline
 
@@ -83,3 +83,59 @@ def test_chunks_are_cut_by_arrow_and_not_one_by_one():
         k = enc.code[c]
         got = enc.flat[enc.begin[k]:enc.begin[k] + enc.size[k]].tolist()
         assert got == enc.whole(f" {c}").tolist()
+
+
+def test_language_of_a_batch_takes_little_memory():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=5)) for _ in range(500)]
+    batch = [" ".join(rnd.choices(words, k=400)) for _ in range(800)]  # 1.9 MB: more than a task takes at a time
+    r = np.random.default_rng(2)
+    model = crf_language.Crf(list("abcdef"), r.normal(size=(crf_language.BUCKETS, 6)), r.normal(size=(6, 6)))
+    labeller = crf_language.Labeller(model)
+    labeller.documents(batch[:1])
+    peaks = []
+    for part in common.slices([pa.RecordBatch.from_arrays([pa.array(batch)], names=["text"])], "text", crf_language.SLICE):
+        tracemalloc.start()
+        try:
+            names, score = labeller.documents(part.column(0).to_pylist())
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+        assert len(names) == len(score) == part.num_rows
+    assert max(peaks) < 40e6
+    whole = labeller.documents(batch)
+    alone = [labeller.documents([t]) for t in batch[:20]]
+    assert whole[0][:20] == [a[0][0] for a in alone] and np.allclose(whole[1][:20], [a[1][0] for a in alone])
+
+
+def test_emissions_of_batches_are_those_of_all_words():
+    rnd = random.Random(3)
+    words = list({"".join(rnd.choices(string.ascii_lowercase, k=4)) for _ in range(3_000)})
+    weights = np.random.default_rng(3).normal(size=(crf_language.BUCKETS, 3))
+    labeller = crf_language.Labeller(crf_language.Crf(list("abc"), weights, np.zeros((3, 3))))
+    codes = np.concatenate([labeller._codes(words[a:a + 170]) for a in range(0, len(words), 170)])
+    assert len(np.unique(codes)) == len(words) and np.allclose(labeller.emit[codes], crf_language.emissions(words, weights))
+
+
+def test_pipeline_leaves_no_chunks_in_its_workers(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    from panelstats.llm import packing
+    from panelstats.llm.queries import vocabulary
+
+    path = vocabulary("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"some words and w{i} more of them") for i in range(40)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([byte_bpe.encoder(path).n] * batch.num_rows)], names=["n"])
+
+    def left():
+        return max(r["n"] for r in docs.select("doc_id").mapInArrow(held, "n long").collect())
+
+    found = {}
+    for lasting in (True, False):
+        found[lasting] = sorted(map(str, packing.pieces_of(docs, path, 0, lasting=lasting).collect()))
+        assert lasting or left() == 0
+    assert found[True] == found[False]
+    corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert left() == 0
