@@ -66,3 +66,31 @@ def test_merging_tasks_grow_with_the_answers(spark, monkeypatch):
     got = panel.pivot_kept(df, ["p", "n"], "q", "v", ["t", "i"], "p", "n", 2)
     assert got.rdd.getNumPartitions() >= 16  # at least the 80 answers that all stretches together hold
     assert _rows(got) == _rows(_plain(df, 2, True))
+
+
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_only_assessments_in_several_stretches_are_moved(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(panel, "MOVED_ANSWERS", 0)
+    df = _answers(spark, 1).sortWithinPartitions("p", "n")
+    real = panel.gathered
+    monkeypatch.setattr(panel, "gathered", lambda df, n: real(df, n, 50))  # cuts a few assessments in two
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        stored = []
+        write = panel.handover
+        monkeypatch.setattr(panel, "handover", lambda df, name: stored.append((name, write(df, name))) or stored[-1][1])
+        got = panel.pivot_kept(df, ["p", "n"], "q", "v", ["t", "i"], "p", "n", 2, True, broadcast)
+        assert _rows(got) == _rows(_plain(df, 2, True))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    several = {r[0] for r in dict(stored)["several_stretches"].collect()}
+    keys = df.select("p", "n").distinct()
+    assert 0 < len(several) < keys.count()
+    assert ("Union" in got._jdf.queryExecution().analyzed().toString()) == (broadcast > 0)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_answers_of_which_all_or_no_assessments_are_in_several_stretches(spark, monkeypatch, parts):
+    monkeypatch.setattr(panel, "MOVED_ANSWERS", 0)
+    df = _answers(spark, parts) if parts > 1 else _answers(spark, 1).sortWithinPartitions("p", "n")
+    assert _rows(panel.pivot_kept(df, ["p", "n"], "q", "v", ["t", "i"], "p", "n", 2)) == _rows(_plain(df, 2, True))
