@@ -94,3 +94,40 @@ def test_answers_of_which_all_or_no_assessments_are_in_several_stretches(spark,
     monkeypatch.setattr(panel, "MOVED_ANSWERS", 0)
     df = _answers(spark, parts) if parts > 1 else _answers(spark, 1).sortWithinPartitions("p", "n")
     assert _rows(panel.pivot_kept(df, ["p", "n"], "q", "v", ["t", "i"], "p", "n", 2)) == _rows(_plain(df, 2, True))
+
+
+def test_labels_are_cleaned_before_answers_count_as_of_one_label(spark, monkeypatch):
+    rows = [("a", 1, "1_What's it?", 2, "late"), ("a", 1, "1_Whats it", 1, "early"), ("a", 1, "2_x", None, "none"), ("a", 2, None, 1, "n")]
+    df = spark.createDataFrame(rows, "p string, n int, q string, t int, v string").coalesce(1)
+    found = []
+    for reduces in (panel.reduces, lambda schema: False):
+        monkeypatch.setattr(panel, "reduces", reduces)
+        found.append(_rows(panel.pivot_kept(df, ["p", "n"], "q", "v", ["t"], "p", "n", 1, clean=True)))
+    assert found[0] == found[1]
+    assert found[0][0] == ["p", "n", "1_Whats it", "2_x"] and "Row(p='a', n=1, 1_Whats it='early', 2_x='none')" in found[0][1]
+
+
+def test_ties_take_the_least_value_and_null_first_whatever_the_way(spark, monkeypatch):
+    rows = [("a", i, f"q{j % 3}", [1, None, 1, 1][j % 4], [None, "x", "y", "x", None][j % 5]) for i in range(3) for j in range(20)]
+    df = spark.createDataFrame(rows, "p string, n int, q string, t int, v string").coalesce(1)
+    for order in (["t"], ["t", "v"], ["v", "t"]):
+        found = []
+        for reduces in (panel.reduces, lambda schema: False):
+            monkeypatch.setattr(panel, "reduces", reduces)
+            found.append(_rows(panel.pivot_kept(df, ["p", "n"], "q", "v", order, "p", "n", 1)))
+        monkeypatch.undo()
+        assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("hashed", [8_000_000, 0])
+@pytest.mark.parametrize("moved", [0, 1_000_000])
+def test_kept_participants_too_many_to_broadcast_are_told_by_hashes(spark, monkeypatch, hashed, moved):
+    monkeypatch.setattr(panel, "HASHED_IDS", hashed)
+    monkeypatch.setattr(panel, "MOVED_ANSWERS", moved)
+    stored = []
+    write = panel.handover
+    monkeypatch.setattr(panel, "handover", lambda df, name: stored.append(name) or write(df, name))
+    df = _answers(spark)
+    got = panel.pivot_kept(df, ["p", "n"], "q", "v", ["t", "i"], "p", "n", 2, True, 0)
+    assert _rows(got) == _rows(_plain(df, 2, True))
+    assert ("kept_cells" in stored) == (hashed == 0)  # the cells are joined by participant only beyond the bound

@@ -18,3 +18,13 @@ def test_study_gamma_gives_the_interval_and_the_other_parts(spark, monkeypatch):
     # together the two queries run the whole report
     assert sorted(n for only in asked for n in only) == sorted(["pearson", "gamma", "gamma_interval", "describe", "mean_assessments",
                                                                 "occupations", "ols", "interaction_models"])
+
+
+def test_answers_are_the_ones_the_sql_derives(spark):
+    """Answers of one order and one customer: places, the answer given twice, the one left out."""
+    df = study.answers(spark, "/root/testdata/sf0.001")
+    assert df.columns == ["participantUUID", "assessmentNumber", "geotagStart", "geotagEnd", "QuestionId", "Question", "AnswerText",
+                          "AnswerValue", "TimeAnswered"]
+    twice = df.where("QuestionId = 132").groupBy("participantUUID", "assessmentNumber").agg({"TimeAnswered": "count"}).collect()
+    assert {r[2] for r in twice} == {2}
+    assert df.where("QuestionId >= 2000").count() == len(twice)
